@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import mixing
+from strandloom.llm import bpe, mixing
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (mixing,)
+MODULES = (bpe, mixing)
 
 
 def queries():
