@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, mixing
+from strandloom.llm import bpe, mixing, quality, simhash
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (bpe, mixing)
+MODULES = (bpe, mixing, quality, simhash)
 
 
 def queries():
