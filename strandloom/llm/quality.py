@@ -16,11 +16,11 @@ from strandloom.session import table, written
 
 #: Measures, in thousandths: (name, numerator, denominator, least margin around the quartiles, has a lower bound).
 MEASURES = (
-    ("word_length", "word_chars", "n_words", 750, True),
+    ("word_length", "word_chars", "n_words", 1000, True),
     ("symbols", "n_symbols", "n_words", 150, False),
     ("exclaims", "n_exclaims", "n_words", 300, False),
-    ("dup_lines", "n_dup_lines", "n_lines", 300, False),
-    ("repeats", "n_repeat_words", "n_words", 250, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 400, False),
+    ("repeats", "n_repeat_words", "n_words", 350, False),
 )
 #: Quartile fences: so many interquartile ranges beyond the quartiles. Groups of fewer texts use the wider sketch.
 FENCE, LEAST_TEXTS = 3, 100
