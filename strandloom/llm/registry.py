@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, mixing, quality, simhash
+from strandloom.llm import bpe, mixing, quality, simhash, toxicity
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (bpe, mixing, quality, simhash)
+MODULES = (bpe, mixing, quality, simhash, toxicity)
 
 
 def queries():
