@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe, mixing, pii, quality, simhash, toxicity
+from strandloom.llm import bpe, linededup, mixing, pii, quality, simhash, toxicity
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (pii, toxicity, quality, simhash, mixing, bpe)
+MODULES = (pii, linededup, toxicity, quality, simhash, mixing, bpe)
 
 
 def queries():
