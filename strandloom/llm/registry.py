@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandloom.llm import bpe, linededup, mixing, pii, quality, simhash, toxicity
+from strandloom.llm import bpe, capfilters, linededup, mixing, pii, quality, simhash, toxicity
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (corpus_pipeline, pii, linededup, toxicity, quality, simhash, mixing, bpe)
+MODULES = (corpus_pipeline, pii, linededup, toxicity, quality, capfilters, simhash, mixing, bpe)
 
 
 def queries():
