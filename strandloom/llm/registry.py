@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandloom.llm import bpe, capfilters, licenses, linededup, mixing, pii, quality, simhash, toxicity
+from strandloom.llm import bpe, capfilters, crossentropy, licenses, linededup, mixing, pii, quality, simhash, toxicity
 from strandloom.llm.registry_base import ORACLES, QUERIES
 
-MODULES = (corpus_pipeline, pii, linededup, licenses, toxicity, quality, capfilters, simhash, mixing, bpe)
+MODULES = (corpus_pipeline, pii, linededup, licenses, toxicity, quality, capfilters, simhash, crossentropy, mixing, bpe)
 
 
 def queries():
