@@ -32,3 +32,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark touches the path, so any store Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table over the cores if its files make fewer tasks than there are; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
