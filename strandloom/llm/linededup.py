@@ -22,7 +22,7 @@ MIN_TOKENS, LEAD = 4, 3
 FIELD_TOKENS, FIELDS, LEAST_CONSTANT = 16, 8, 6
 #: A token with a digit. It can only start where a token does, and does not backtrack, so long tokens stay linear.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
-BLANKS, ENDS = r"[\x20\x09-\x0D]+", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
+BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -31,15 +31,18 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, line, n, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text."""
-    lines = docs.where("text IS NOT NULL").select(row_key(docs).alias("rid"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    plain = lines.withColumn("s", F.regexp_replace(F.regexp_replace("s", ENDS, ""), BLANKS, " ")).where("s LIKE '% %'")
-    counted = plain.withColumn("n", F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= MIN_TOKENS)
-    masked = counted.withColumn("s", F.when(F.col("s").rlike("[0-9]"), F.regexp_replace("s", VARIABLE, "<*>")).otherwise(F.col("s")))
-    hashed = masked.select("rid", "doc_id", "line", "n", F.xxhash64("n", F.substring_index("s", " ", LEAD)).alias("leaf"), F.xxhash64("s").alias("tmpl"), F.when(F.col("n") >= FIELD_TOKENS, F.split("s", " ")).alias("t"))
-    start = lambda k: F.floor(k * F.col("n") / FIELDS).cast("int")
-    field = F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda k: F.xxhash64(F.array_join(F.slice("t", start(k) + 1, start(k + 1) - start(k)), " ")))
-    return hashed.select("rid", "doc_id", "line", "n", "leaf", "tmpl", F.when(F.col("t").isNotNull(), field).alias("fields"))
+    """(rid, doc_id, line, n, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text.
+
+    Lines are cut into tokens inside the generator: its output is computed once, where a filter on a column computed
+    after it would be pushed down and compute it again.
+    """
+    masked = lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, VARIABLE, "<*>")).otherwise(s)
+    tokens = F.transform(F.split("text", "\n"), lambda s: F.split(F.btrim(masked(s), F.lit(" \t\n\x0b\x0c\r")), BLANKS))
+    lines = docs.where("text IS NOT NULL").select(row_key(docs).alias("rid"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
+    n = F.size("t")
+    start = lambda k: F.floor(k * n / FIELDS).cast("int")
+    field = F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
+    return lines.select("rid", "doc_id", "line", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64("t").alias("tmpl"), F.when(n >= FIELD_TOKENS, field).alias("fields"))
 
 
 def recurring(rows: DataFrame, *keys: str) -> DataFrame:
@@ -78,12 +81,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     gone = dropped_lines(docs).groupBy("rid").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("rid", "_rid")
     joined = docs.withColumn("_key", row_key(docs)).join(gone, F.col("_key") == F.col("_rid"), "left")
-    parts = F.split("text", "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")), lambda i: F.get(F.col("_parts"), i)), "\n")
-    cut = joined.withColumn("_parts", parts)
-    names = docs.columns
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    return cut.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names], F.coalesce(F.size("_parts"), F.lit(0)).cast("long").alias("n_lines_"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped_"))
+    # most texts lose nothing and are not cut again
+    cut = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone")), lambda i: F.get("_parts", i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return cut.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias("n_lines_"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped_"))
 
 
 LINES_SQL = f"""
