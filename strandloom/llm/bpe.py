@@ -28,10 +28,10 @@ PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WS = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
-#: Pretokens a worker keeps between batches; beyond that it forgets the older half, so memory stays bounded.
-CACHE_MAX = 600_000
+#: Pretokens a task keeps between batches; beyond that it forgets the older half, so memory stays bounded.
+CACHE_MAX = 250_000
 #: Characters that are encoded together, if several texts have so few.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Above all ids: makes one integer of a pair.
 KEY = 1 << 24
 
@@ -172,7 +172,7 @@ _loaded: dict[str, PairIndexBPE] = {}
 
 
 def tokenizer(path: str) -> PairIndexBPE:
-    """One instance a worker process: the vocabulary is read once and learnt pretokens stay between batches."""
+    """One instance a worker process: the vocabulary is read once, learnt pretokens stay for a task."""
     if path not in _loaded:
         _loaded[path] = PairIndexBPE(path)
     return _loaded[path]
@@ -211,6 +211,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kee
                 out["ids_sha256"] = [hashlib.sha256(bpe.listed(x).encode()).hexdigest() for x in all_ids]
                 out["decoded_sha256"] = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in all_ids]
                 yield out
+        bpe.known.clear()  # an idle worker keeps the vocabulary only
 
     return rows.mapInPandas(run, schema)
 

@@ -11,6 +11,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ WORD = re.compile(r"\w+").findall
 #: Lengths of word beginnings that are features beside whole words: inflected forms share them.
 BEGINNINGS = (4, 5, 6)
 #: Words whose weight a task remembers; beyond that it starts over.
-MEMO_MAX = 300_000
+MEMO_MAX = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -170,6 +171,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
                 out[name] = [r[i] for r in rows]
             out["predicted"] = (out["score"] >= CUTOFF).astype("int32")
             yield out[[*keep, "score", "predicted", "n_offending", "worst_start", "worst_end"]]
+        m.memo.clear()
 
     return docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("text_")).mapInPandas(run, schema)
 
@@ -188,12 +190,18 @@ def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are not predicted toxic."""
-    names = docs.columns
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    text = f"c{names.index('text')}"
-    ok = scored(renamed.withColumn("text", F.col(text)), model, renamed.columns).where("predicted = 0")
-    return ok.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    """The rows of ``docs``, with their columns, that are not predicted toxic. Only texts go to Python and only scores
+    come back; the rows wait in the JVM."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for batch in texts:
+            yield pd.Series([m.score(t)[0] for t in batch])
+        m.memo.clear()
+
+    return docs.where(score("text") < CUTOFF)
 
 
 @register("op4_toxicity_mil")
