@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import dna
 from strandloom.operators.orf import orf_pairs
 from strandloom.plans.registry import query
-from strandloom.session import table
+from strandloom.session import balanced, table
 
 #: DuckDB text of functions.sequence.dna.
 DNA_SQL = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -23,5 +23,5 @@ SELECT doc_id, frame, pos AS start, stop, stop + 3 - pos AS len FROM p WHERE is_
 
 @query("orf_pairs", ORF_PAIRS_SQL)
 def q_orf_pairs(spark, sf_dir):
-    seqs = table(spark, sf_dir, "documents").select("doc_id", dna(F.col("text")).alias("seq"))
+    seqs = balanced(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dna(F.col("text")).alias("seq"))
     return orf_pairs(seqs, "doc_id", "seq").withColumnRenamed("id", "doc_id").withColumns({c: F.col(c).cast("long") for c in ("frame", "start", "stop", "len")})
