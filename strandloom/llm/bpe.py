@@ -29,9 +29,9 @@ WS = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
 #: Pretokens a task keeps between batches; beyond that it forgets the older half, so memory stays bounded.
-CACHE_MAX = 250_000
+CACHE_MAX = 150_000
 #: Characters that are encoded together, if several texts have so few.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Above all ids: makes one integer of a pair.
 KEY = 1 << 24
 
