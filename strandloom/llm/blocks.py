@@ -14,14 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.session import written
+
 BLOCK = 1024
 
 
 def cut_hot(rows: DataFrame, keys: list[str], id_col: str, block: int = BLOCK) -> DataFrame:
-    """``rows`` with columns _i <= _j (the pair of blocks) and _b (the row's block); buckets of one row go."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / block).cast("int").alias("_m"))
+    """``rows`` with columns _i <= _j (the pair of blocks) and _b (the row's block). Only the sizes of the buckets over
+    ``block`` rows are gathered; they are broadcast after counting that they are few, so that the rows themselves are
+    shuffled once, by ``in_groups``."""
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    large = written(large.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / block).cast("int").alias("_m")), "large-buckets")
+    n = large.count()
+    if not n:
+        return rows.withColumns({c: F.lit(0) for c in ("_b", "_i", "_j")})
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    joined = rows.join(counts, on).drop(*[f"_{k}" for k in keys])
+    joined = rows.join(F.broadcast(large) if n <= 100_000 else large, on, "left").withColumn("_m", F.coalesce("_m", F.lit(1))).drop(*[f"_{k}" for k in keys])
     own = F.pmod(F.xxhash64(id_col), F.col("_m")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.struct(F.least(k, F.col("_b")).alias("i"), F.greatest(k, F.col("_b")).alias("j")))
     return joined.withColumn("_b", own).select("*", F.explode(pairs).alias("_p")).select(*rows.columns, "_b", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"))
