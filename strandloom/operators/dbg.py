@@ -132,16 +132,34 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def genome_paths(placed: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(genome_id, contig_id, piece, pos, node_id, contig_end): signed unitigs in the order a contig passes them.
+    """(genome_id, contig_id, piece, pos, node_id, contig_end, at, size): signed unitigs in the order a contig passes
+    them; the unitig lies on the piece from base ``at`` on, which is negative where a contig begins inside it.
 
     A unitig entered again right after it ended is a new step, so steps begin where the unitig changes or the offset
     does not continue.
     """
-    ids = nodes.select("unitig", "node_id")
+    ids = nodes.select("unitig", "node_id", "size")
     steps = placed.join(members.select("kmer", "unitig", "offset", F.col("strand").alias("us")), "kmer").withColumn("sign", F.col("strand") * F.col("us"))
     by = Window.partitionBy("genome_id", "contig_id", "piece").orderBy("pos")
     run = steps.withColumn("before", F.lag(F.struct("unitig", "offset", "sign", "pos")).over(by))
     same = (F.col("before.unitig") == F.col("unitig")) & (F.col("before.sign") == F.col("sign")) & (F.col("offset") == F.col("before.offset") + F.col("sign")) & (F.col("pos") == F.col("before.pos") + 1)
     new = run.where(~F.coalesce(same, F.lit(False))).join(ids, "unitig")
     ordered = new.withColumns({"step": F.row_number().over(by), "contig_end": F.lag(F.lit(1)).over(by).isNull() | F.lead(F.lit(1)).over(by).isNull()})
-    return ordered.select("genome_id", "contig_id", "piece", F.col("step").alias("pos"), (F.col("node_id") * F.col("sign")).alias("node_id"), "contig_end")
+    inside = F.when(F.col("sign") == 1, F.col("offset")).otherwise(F.col("size") - F.length("kmer") - F.col("offset"))
+    return ordered.select("genome_id", "contig_id", "piece", F.col("step").alias("pos"), (F.col("node_id") * F.col("sign")).alias("node_id"), "contig_end", (F.col("pos") - inside).alias("at"), "size")
+
+
+def lift(orfs: DataFrame, node_paths: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """ORFs on pieces as node paths: orfs (genome_id, contig_id, piece, start, end) get coords, an array of
+    (node, s, e) with the end exclusive.
+
+    Contig paths are where an assembly's ORFs lie, so no search through the graph is needed. A range join by bins.
+    """
+    keys = ["genome_id", "contig_id", "piece"]
+    spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / bin_size), F.floor((hi - 1) / bin_size)))
+    left = orfs.select(*keys, "start", "end").distinct().withColumn("bin", spans(F.col("start"), F.col("end")))
+    right = node_paths.select(*keys, "pos", "node_id", "at", "size").withColumn("bin", spans(F.col("at"), F.col("at") + F.col("size")))
+    met = left.join(right, [*keys, "bin"]).where((F.col("at") < F.col("end")) & (F.col("at") + F.col("size") > F.col("start")))
+    part = F.struct("pos", F.col("node_id").alias("node"), (F.greatest("start", "at") - F.col("at")).cast("int").alias("s"), (F.least("end", F.col("at") + F.col("size")) - F.col("at")).cast("int").alias("e"))
+    parts = met.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set(part)).alias("p"))
+    return parts.select(*keys, "start", "end", F.transform("p", lambda x: F.struct(x["node"], x["s"], x["e"])).alias("coords"))

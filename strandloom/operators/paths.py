@@ -47,9 +47,9 @@ def path_sequence(paths: DataFrame, unitigs: DataFrame, keys: list[str], overlap
     """
     from strandloom.functions.sequence import reverse_complement
 
-    parts = paths.select(*keys, F.posexplode("coords").alias("i", "c")).select(*keys, "i", "c.node", "c.s", "c.e")
-    joined = parts.join(unitigs.select("node_id", "seq"), F.abs("node") == F.col("node_id"))
-    strand = F.when(F.col("node") < 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    first = F.when(F.col("i") == 0, F.col("s")).otherwise(F.greatest(F.col("s"), F.lit(overlap)))
-    piece = F.substr(strand, first + 1, F.greatest(F.col("e") - first, F.lit(0)))
-    return joined.select(*keys, "i", piece.alias("piece")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    parts = paths.select(*keys, F.posexplode("coords").alias("_i", "_c"))
+    joined = parts.join(unitigs.select("node_id", F.col("seq").alias("_seq")), F.abs("_c.node") == F.col("node_id"))
+    strand = F.when(F.col("_c.node") < 0, reverse_complement(F.col("_seq"))).otherwise(F.col("_seq"))
+    first = F.when(F.col("_i") == 0, F.col("_c.s")).otherwise(F.greatest(F.col("_c.s"), F.lit(overlap)))
+    cut = joined.select(*keys, F.struct(F.col("_i").alias("i"), F.substr(strand, first + 1, F.greatest(F.col("_c.e") - first, F.lit(0))).alias("piece")).alias("_x"))
+    return cut.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["piece"]), "").alias("seq"))
