@@ -10,6 +10,8 @@ vanishes from the corpus: exact copies of a document keep one copy of each line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,14 +74,36 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return again.unionByName(later(general, recurring(general, "leaf", "sig"), "leaf", "sig"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def dropped_lines_whole(docs: DataFrame) -> DataFrame:
+    """(rid, line): the lines to drop where templates that recur are generalised too.
+
+    The field step takes a row per exact template. A field is constant if two templates of the leaf have it, in two
+    documents or more; a line's template is then that of its constant fields, or the exact one if these are too few.
+    """
+    lines = written(parsed(docs), "lines")
+    templates = written(lines.groupBy("tmpl").agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.min("rid").alias("a"), F.max("rid").alias("b"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields")), "templates")
+    long = templates.where("fields IS NOT NULL")
+    leaves = long.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"))
+    crowded = written(long.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi"), "crowded")
+    cells = crowded.select("tmpl", "leaf", "a", "b", F.size("fields").alias("size"), F.posexplode("fields").alias("k", "h"))
+    constant = cells.groupBy("leaf", "k", "h").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"), F.col("k").alias("_k"), F.col("h").alias("_h"))
+    kept = cells.join(constant, (F.col("leaf") == F.col("_leaf")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left_semi")
+    signed = kept.groupBy("tmpl").agg(F.count("*").alias("n"), F.any_value("size").alias("size"), F.bit_xor(F.xxhash64("k", "h")).alias("sig")).where(F.col("n") * FIELDS >= F.col("size") * LEAST_CONSTANT).select(F.col("tmpl").alias("_tmpl"), "sig")
+    general = written(crowded.join(signed, F.col("tmpl") == F.col("_tmpl")).select("tmpl", "leaf", "sig", "first", "a", "b"), "general")
+    groups = general.groupBy("leaf", "sig").agg(F.min("first").alias("head"), F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), "head")
+    grouped = general.join(groups, (F.col("leaf") == F.col("_leaf")) & (F.col("sig") == F.col("_sig"))).select(F.col("tmpl").alias("_tmpl"), "head")
+    heads = templates.select("tmpl", "first", "a", "b").join(grouped, F.col("tmpl") == F.col("_tmpl"), "left").where("head IS NOT NULL OR a <> b")
+    return later(lines.select("rid", "line", "tmpl"), heads.select("tmpl", F.coalesce("head", "first").alias("first")), "tmpl")
+
+
+def deduplicated(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame] = dropped_lines) -> DataFrame:
     """``docs`` with the lines of recurring templates gone from ``text``, and n_lines, n_dropped beside its columns.
 
     Lines are what \\n separates; kept ones are joined by \\n again. Null texts stay null with no lines, empty ones have
     one line. Rows with the same id and text are one document, so repeats alone do not make a template recur. Ties
     between equal lines go to the smaller doc_id. An empty table gives an empty result.
     """
-    gone = dropped_lines(docs).groupBy("rid").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("rid", "_rid")
+    gone = dropped(docs).groupBy("rid").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("rid", "_rid")
     joined = docs.withColumn("_key", row_key(docs)).join(gone, F.col("_key") == F.col("_rid"), "left")
     # most texts lose nothing and are not cut again
     cut = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
@@ -108,7 +132,33 @@ SELECT w.doc_id, len(string_split(w.text, chr(10)))::BIGINT AS n_lines, coalesce
 FROM documents w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+#: The rule of dropped_lines_whole.
+WHOLE_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS line, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+t AS (SELECT doc_id, line, list_transform(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
+m AS (SELECT doc_id, line, t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{LEAD}], ' ') AS leaf, array_to_string(t, ' ') AS tmpl FROM t WHERE len(t) >= {MIN_TOKENS}),
+e AS (SELECT tmpl, any_value(leaf) AS leaf, any_value(n) AS n, any_value(t) AS t, min(doc_id) AS a, max(doc_id) AS b, {FIELDS} AS z FROM m WHERE n >= {FIELD_TOKENS} GROUP BY tmpl),
+c AS (SELECT *, unnest(range(0, z)) AS k FROM e),
+f AS (SELECT tmpl, leaf, a, b, z, k, array_to_string(t[k * n // z + 1:(k + 1) * n // z], ' ') AS h FROM c),
+o AS (SELECT leaf, k, h FROM f GROUP BY leaf, k, h HAVING count(*) > 1 AND min(a) <> max(b)),
+g AS (SELECT tmpl, leaf AS gl, string_agg(k || ':' || h, '|' ORDER BY k) AS sig FROM f JOIN o USING (leaf, k, h) GROUP BY tmpl, leaf, z HAVING count(*) * {FIELDS} >= z * {LEAST_CONSTANT}),
+u AS (SELECT doc_id, line, gl, sig, CASE WHEN sig IS NULL THEN tmpl END AS own FROM m LEFT JOIN g USING (tmpl)),
+d AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY gl, sig, own ORDER BY doc_id, line) AS k, min(doc_id) OVER (PARTITION BY gl, sig, own) AS a, max(doc_id) OVER (PARTITION BY gl, sig, own) AS b FROM u) WHERE k > 1 AND a <> b),
+k AS (SELECT l.doc_id, string_agg(s, chr(10) ORDER BY line) AS text FROM l ANTI JOIN d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id)
+SELECT w.doc_id, len(string_split(w.text, chr(10)))::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+def counted(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @register("op2_line_templates", LINES_SQL)
 def op2_line_templates(spark, sf_dir):
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return counted(deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@register("op2_line_templates_whole", WHOLE_SQL)
+def op2_line_templates_whole(spark, sf_dir):
+    return counted(deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped_lines_whole))

@@ -1,0 +1,52 @@
+"""Templates that recur are generalised too: against plain loops, and however often each value occurs."""
+
+from collections import defaultdict
+
+from strandloom.llm import linededup as ld
+from tests.llm.plain import tokens
+from tests.llm.test_linededup import corpus
+
+
+def plain(rows):
+    """[(doc_id, text)] with distinct ids -> {doc_id: text}"""
+    lines = []
+    for d, t in rows:
+        for k, s in enumerate(t.split("\n") if t is not None else []):
+            m = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in tokens(s))
+            if len(m) >= ld.MIN_TOKENS:
+                lines.append((d, k, m))
+    docs, cells = defaultdict(set), defaultdict(set)
+    for d, _, m in lines:
+        docs[m].add(d)
+    fields = {}
+    for m in docs:
+        n = len(m)
+        if n >= ld.FIELD_TOKENS:
+            fields[m] = [m[i * n // ld.FIELDS : (i + 1) * n // ld.FIELDS] for i in range(ld.FIELDS)]
+            for i, f in enumerate(fields[m]):
+                cells[n, m[: ld.LEAD], i, f].add(m)
+    groups = defaultdict(list)
+    for d, k, m in lines:
+        same = [(i, f) for i, f in enumerate(fields.get(m, ())) if len(c := cells[len(m), m[: ld.LEAD], i, f]) > 1 and len(set().union(*(docs[x] for x in c))) > 1]
+        wide = m in fields and len(same) * ld.FIELDS >= ld.LEAST_CONSTANT * len(fields[m])
+        groups[(len(m), m[: ld.LEAD], tuple(same)) if wide else m].append((d, k))
+    drop = {x for members in groups.values() if len({d for d, _ in members}) > 1 for x in sorted(members)[1:]}
+    return {d: "\n".join(p for k, p in enumerate(t.split("\n")) if (d, k) not in drop) if t is not None else None for d, t in rows}
+
+
+def whole(spark, rows):
+    out = ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ld.dropped_lines_whole)
+    return {r.doc_id: r.text for r in out.collect()}
+
+
+def test_equals_plain(spark):
+    assert whole(spark, corpus()) == plain(corpus())
+
+
+def test_values_in_two_documents_or_one(spark):
+    line = "dear customer your order for {} has left our house and it will be with you in the next days thank you"
+    names = [a + b for a in "abcde" for b in "vwxyz"]
+    for times in (1, 2):
+        rows = [(i * times + j, line.format(v)) for i, v in enumerate(names) for j in range(times)]
+        rows.append((1000, line.format("lone")))
+        assert [d for d, t in whole(spark, rows).items() if t] == [0]
