@@ -32,7 +32,7 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def parsed(docs: DataFrame) -> DataFrame:
+def parsed(docs: DataFrame, short: bool = False) -> DataFrame:
     """(rid, doc_id, line, n, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text.
 
     Lines are cut into tokens inside the generator: its output is computed once, where a filter on a column computed
@@ -42,9 +42,11 @@ def parsed(docs: DataFrame) -> DataFrame:
     tokens = F.transform(F.split("text", "\n"), lambda s: F.split(F.btrim(masked(s), F.lit(" \t\n\x0b\x0c\r")), BLANKS))
     lines = docs.where("text IS NOT NULL").select(row_key(docs).alias("rid"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
     n = F.size("t")
-    start = lambda k: F.floor(k * n / FIELDS).cast("int")
-    field = F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
-    return lines.select("rid", "doc_id", "line", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64("t").alias("tmpl"), F.when(n >= FIELD_TOKENS, field).alias("fields"))
+    # lines of fewer tokens than FIELD_TOKENS have a field per token, if ``short``
+    size = F.when(n < FIELD_TOKENS, n).otherwise(FIELDS) if short else F.lit(FIELDS)
+    start = lambda k: F.floor(k * n / size).cast("int")
+    field = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
+    return lines.select("rid", "doc_id", "line", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64("t").alias("tmpl"), (field if short else F.when(n >= FIELD_TOKENS, field)).alias("fields"))
 
 
 def recurring(rows: DataFrame, *keys: str) -> DataFrame:
@@ -77,14 +79,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dropped_lines_whole(docs: DataFrame) -> DataFrame:
     """(rid, line): the lines to drop where templates that recur are generalised too.
 
-    The field step takes a row per exact template. A field is constant if two templates of the leaf have it, in two
-    documents or more; a line's template is then that of its constant fields, or the exact one if these are too few.
+    The field step takes a row per exact template, of short lines too, which are compared by token. A field is constant
+    if two templates of the leaf have it, in two documents or more; a line's template is then that of its constant
+    fields, or the exact one if these are too few.
     """
-    lines = written(parsed(docs), "lines")
+    lines = written(parsed(docs, short=True), "lines")
     templates = written(lines.groupBy("tmpl").agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.min("rid").alias("a"), F.max("rid").alias("b"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields")), "templates")
-    long = templates.where("fields IS NOT NULL")
-    leaves = long.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"))
-    crowded = written(long.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi"), "crowded")
+    leaves = templates.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"))
+    crowded = written(templates.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi"), "crowded")
     cells = crowded.select("tmpl", "leaf", "a", "b", F.size("fields").alias("size"), F.posexplode("fields").alias("k", "h"))
     constant = cells.groupBy("leaf", "k", "h").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"), F.col("k").alias("_k"), F.col("h").alias("_h"))
     kept = cells.join(constant, (F.col("leaf") == F.col("_leaf")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left_semi")
@@ -137,7 +139,7 @@ WHOLE_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS line, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 t AS (SELECT doc_id, line, list_transform(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
 m AS (SELECT doc_id, line, t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{LEAD}], ' ') AS leaf, array_to_string(t, ' ') AS tmpl FROM t WHERE len(t) >= {MIN_TOKENS}),
-e AS (SELECT tmpl, any_value(leaf) AS leaf, any_value(n) AS n, any_value(t) AS t, min(doc_id) AS a, max(doc_id) AS b, {FIELDS} AS z FROM m WHERE n >= {FIELD_TOKENS} GROUP BY tmpl),
+e AS (SELECT tmpl, any_value(leaf) AS leaf, any_value(n) AS n, any_value(t) AS t, min(doc_id) AS a, max(doc_id) AS b, CASE WHEN any_value(n) < {FIELD_TOKENS} THEN any_value(n) ELSE {FIELDS} END AS z FROM m GROUP BY tmpl),
 c AS (SELECT *, unnest(range(0, z)) AS k FROM e),
 f AS (SELECT tmpl, leaf, a, b, z, k, array_to_string(t[k * n // z + 1:(k + 1) * n // z], ' ') AS h FROM c),
 o AS (SELECT leaf, k, h FROM f GROUP BY leaf, k, h HAVING count(*) > 1 AND min(a) <> max(b)),

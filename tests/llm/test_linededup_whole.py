@@ -21,10 +21,10 @@ def plain(rows):
     fields = {}
     for m in docs:
         n = len(m)
-        if n >= ld.FIELD_TOKENS:
-            fields[m] = [m[i * n // ld.FIELDS : (i + 1) * n // ld.FIELDS] for i in range(ld.FIELDS)]
-            for i, f in enumerate(fields[m]):
-                cells[n, m[: ld.LEAD], i, f].add(m)
+        size = n if n < ld.FIELD_TOKENS else ld.FIELDS
+        fields[m] = [m[i * n // size : (i + 1) * n // size] for i in range(size)]
+        for i, f in enumerate(fields[m]):
+            cells[n, m[: ld.LEAD], i, f].add(m)
     groups = defaultdict(list)
     for d, k, m in lines:
         same = [(i, f) for i, f in enumerate(fields.get(m, ())) if len(c := cells[len(m), m[: ld.LEAD], i, f]) > 1 and len(set().union(*(docs[x] for x in c))) > 1]
@@ -50,3 +50,13 @@ def test_values_in_two_documents_or_one(spark):
         rows = [(i * times + j, line.format(v)) for i, v in enumerate(names) for j in range(times)]
         rows.append((1000, line.format("lone")))
         assert [d for d, t in whole(spark, rows).items() if t] == [0]
+
+
+def test_short_lines(spark):
+    for line, kept in (("posted in the News by {} this very morning here", 1), ("{} posted this in the News today", 25)):  # the tree's leading tokens stay apart
+        names = [a + b for a in "abcde" for b in "vwxyz"]
+        rows = [(2 * i + j, line.format(v)) for i, v in enumerate(names) for j in range(2)]
+        assert sum(t != "" for t in whole(spark, rows).values()) == kept
+    # two of five words are too many to vary
+    rows = [(i, f"read more about {a} {b}") for i, (a, b) in enumerate([("aa", "bb"), ("cc", "dd"), ("ee", "ff")])]
+    assert whole(spark, rows) == dict(rows)
