@@ -39,6 +39,8 @@ AROUND = 80
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s|.", re.DOTALL)
 DIGITS = re.compile("[^0-9]")
 OBFUSCATED = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?P<at>@| ?[\[({] ?at ?[\])}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: What an address has after the at sign.
+TAIL = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]+)+", re.IGNORECASE)
 QUAD = re.compile(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}")
 
 
@@ -254,21 +256,55 @@ def field(steps: int = 60, rate: float = 0.3, l2: float = 2e-4) -> tuple[dict[st
     return {f: w[i].tolist() for f, i in names.items()}, float(w[-1, 0])
 
 
+def looked_at(text: str) -> list[tuple[int, int]]:
+    """The regions the field segments, each as a whole: those that overlap are one, and none ends within a candidate.
+
+    Runs of digits are whole as found. The surroundings of at signs take in their addresses and end at a blank.
+    """
+    regions = [(m.start(), m.end(), False) for m in NUMBERS.finditer(text)]
+    if "at" in text or "AT" in text or "At" in text:
+        for m in AT.finditer(text):
+            lo = m.start() - (text[m.start() - 1 : m.start()] == " ")
+            while lo > 0 and text[lo - 1] in LOCAL:
+                lo -= 1
+            tail = TAIL.match(text, m.end())
+            regions.append((max(0, min(lo, m.start() - AROUND)), min(len(text), max(tail.end() if tail else 0, m.end() + AROUND)), True))
+    regions = joined(regions)
+    if any(at for _, _, at in regions):
+        ends = [0, *(hi for _, hi, _ in regions)]
+        starts = [*(lo for lo, _, _ in regions), len(text)]
+        for k, (lo, hi, at) in enumerate(regions):
+            while at and lo > ends[k] and not text[lo - 1].isspace():
+                lo -= 1
+            while at and hi < starts[k + 1] and not text[hi].isspace():
+                hi += 1
+            # one that reaches the next without a blank joins it
+            regions[k] = (max(0, lo - (at and k > 0 and lo == ends[k])), hi + (at and k + 1 < len(regions) and hi == starts[k + 1]), at)
+        regions = joined(regions)
+    return [(lo, hi) for lo, hi, _ in regions]
+
+
+def joined(regions: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    """Overlapping regions as one."""
+    out: list[tuple[int, int, bool]] = []
+    for lo, hi, at in sorted(regions):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), at or out[-1][2])
+        else:
+            out.append((lo, hi, at))
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict[str, list[float]], touch: float) -> list[tuple[int, int, int]]:
     """What the field finds outside the base spans: (start, kind, end)."""
-    regions = [(m.start(), m.end()) for m in NUMBERS.finditer(text)]
-    if "at" in text or "AT" in text or "At" in text:
-        regions += [(max(0, m.start() - AROUND), m.end() + AROUND) for m in AT.finditer(text)]
+    regions = looked_at(text)
     out: list[tuple[int, int, int]] = []
     if not regions:
         return out
     taken = [(a, b) for a, _, b in base]
-    done = 0
-    for lo, hi in sorted(regions):
-        lo, hi = max(lo, done), min(hi, len(text))
+    for lo, hi in regions:
         if hi - lo < 7:
             continue
-        done = hi
         near = [(a, b) for a, b in taken if a < hi and lo < b]
         if any(a <= lo and hi - 2 <= b for a, b in near):
             continue
