@@ -169,4 +169,4 @@ def q_family(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_acctbal") / 100).alias("band"), "s_acctbal")
     other = s.select(F.col("s_suppkey").alias("b"), F.col("band").alias("band2"), F.col("s_acctbal").alias("bal2"))
     similar = s.join(other, (F.col("band") == F.col("band2")) & (F.col("s_suppkey") < F.col("b"))).select(F.col("s_suppkey").alias("a"), "b", (1 - F.abs(F.col("s_acctbal") - F.col("bal2")) / 100).alias("identity"))
-    return families.collapse_families(nodes, edges, similar, 0.7, depths=(1,))
+    return families.collapse_families(nodes, edges, similar, 0.7)
