@@ -1,144 +1,103 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
 A line's tokens go down a tree of fixed depth: the token count, then the leading tokens, with tokens that hold a digit
-read as the variable <*>. Lines equal after that masking are one template. In a leaf, longer lines are also cut into
-FIELDS runs of tokens by position; a field whose content no other document of the leaf has is variable, and lines
-with the same constant fields, at least LEAST_CONSTANT of them, are one template too.
+read as the variable <*>. Lines equal after that masking are one exact template. In a leaf, exact templates are also
+cut into fields by position, a token each in shorter lines and FIELDS runs of tokens in longer ones. A field is
+constant if two templates of the leaf have it, in two documents or more, and variable otherwise; templates with the
+same constant fields, LEAST_CONSTANT of FIELDS of them at least, are one.
 A template that recurs across documents is dropped, but for its first line (by doc_id, then line), so that no text
-vanishes from the corpus: exact copies of a document keep one copy of each line among them.
+vanishes from the corpus: exact copies of a document keep one copy of each line among them. With ``keep_first=False``
+the first line goes too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import join_skewed, row_key
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
 #: Lines of fewer tokens are left alone: so short, they recur by chance. LEAD is the depth of the tree below the count.
 MIN_TOKENS, LEAD = 4, 3
-#: Lines of so many tokens are also generalised by field.
+#: Lines of fewer tokens than FIELD_TOKENS have a field per token, others FIELDS runs of tokens.
 FIELD_TOKENS, FIELDS, LEAST_CONSTANT = 16, 8, 6
 #: A token with a digit. It can only start where a token does, and does not backtrack, so long tokens stay linear.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def row_key(docs: DataFrame) -> Column:
-    """What a document is: its id and its text. Repeated rows are one document, two texts under one id are two."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
-
-
-def parsed(docs: DataFrame, short: bool = False) -> DataFrame:
-    """(rid, doc_id, line, n, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text.
+def parsed(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, line, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text.
 
-    Lines are cut into tokens inside the generator: its output is computed once, where a filter on a column computed
-    after it would be pushed down and compute it again.
+    rid says which document: repeated rows are one, two texts under one id are two. rid and tmpl have 128 bits. Lines
+    are cut into tokens inside the generator: its output is computed once, where a filter on a column computed after
+    it would be pushed down and compute it again.
     """
     masked = lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, VARIABLE, "<*>")).otherwise(s)
     tokens = F.transform(F.split("text", "\n"), lambda s: F.split(F.btrim(masked(s), F.lit(" \t\n\x0b\x0c\r")), BLANKS))
-    lines = docs.where("text IS NOT NULL").select(row_key(docs).alias("rid"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
+    lines = docs.where("text IS NOT NULL").select(row_key("doc_id", "text").alias("rid"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
     n = F.size("t")
-    # lines of fewer tokens than FIELD_TOKENS have a field per token, if ``short``
-    size = F.when(n < FIELD_TOKENS, n).otherwise(FIELDS) if short else F.lit(FIELDS)
+    size = F.when(n < FIELD_TOKENS, n).otherwise(FIELDS)
     start = lambda k: F.floor(k * n / size).cast("int")
-    field = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
-    return lines.select("rid", "doc_id", "line", n.alias("n"), F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64("t").alias("tmpl"), (field if short else F.when(n >= FIELD_TOKENS, field)).alias("fields"))
-
-
-def recurring(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur in two documents or more, with the first line of each; combines before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.min("rid").alias("_a"), F.max("rid").alias("_b")).where("_a <> _b").drop("_a", "_b")
-
+    fields = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
+    tmpl = F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"))
+    return lines.select("rid", "doc_id", "line", F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), tmpl.alias("tmpl"), fields.alias("fields"))
 
-def later(rows: DataFrame, templates: DataFrame, *keys: str) -> DataFrame:
-    """Lines of recurring templates other than the first: (rid, line). Plain joins, so AQE can split a hot template."""
-    named = templates.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return rows.join(named, on).where((F.col("rid") != F.col("first.rid")) | (F.col("line") != F.col("first.line"))).select("rid", "line")
 
+def dropped_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
+    """(rid, line): the lines to drop.
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(rid, line): the lines to drop."""
-    lines = written(parsed(docs), "lines")
-    exact = recurring(lines, "tmpl")
-    again = later(lines, exact, "tmpl")
-    rest = lines.where("fields IS NOT NULL").join(exact.select(F.col("tmpl").alias("_t")), F.col("tmpl") == F.col("_t"), "left_anti")
-    leaves = rest.groupBy("leaf").agg(F.min("rid").alias("_a"), F.max("rid").alias("_b")).where("_a <> _b").select(F.col("leaf").alias("_leaf"))
-    crowded = written(rest.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi").select("rid", "doc_id", "line", "leaf", "fields"), "crowded")
-    cells = crowded.select("rid", "doc_id", "line", "leaf", F.posexplode("fields").alias("k", "h"))
-    constant = cells.groupBy("leaf", "k", "h").agg(F.min("rid").alias("_a"), F.max("rid").alias("_b")).where("_a <> _b").select(F.col("leaf").alias("_leaf"), F.col("k").alias("_k"), F.col("h").alias("_h"))
-    kept = cells.join(constant, (F.col("leaf") == F.col("_leaf")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left_semi")
-    general = kept.groupBy("rid", "doc_id", "line", "leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k", "h")).alias("sig")).where(F.col("n") >= LEAST_CONSTANT)
-    return again.unionByName(later(general, recurring(general, "leaf", "sig"), "leaf", "sig"))
-
-
-def dropped_lines_whole(docs: DataFrame) -> DataFrame:
-    """(rid, line): the lines to drop where templates that recur are generalised too.
-
-    The field step takes a row per exact template, of short lines too, which are compared by token. A field is constant
-    if two templates of the leaf have it, in two documents or more; a line's template is then that of its constant
-    fields, or the exact one if these are too few.
+    Fields are compared among exact templates, a row each however often they occur, so what generalises depends on
+    which values there are and not on how many documents have each. Keys that many rows share (a template, a field or
+    a generalised template) are combined before each shuffle and joined back by ``join_skewed``.
     """
-    lines = written(parsed(docs, short=True), "lines")
-    templates = written(lines.groupBy("tmpl").agg(F.min(F.struct("doc_id", "rid", "line")).alias("first"), F.min("rid").alias("a"), F.max("rid").alias("b"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields")), "templates")
-    leaves = templates.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"))
-    crowded = written(templates.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi"), "crowded")
+    lines = written(parsed(docs), "lines")
+    first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
+    in_two = [F.min("a").alias("a"), F.max("b").alias("b")]
+    templates = lines.groupBy("tmpl").agg(first, F.min("rid.a").alias("a"), F.max("rid.a").alias("b"), F.count("*").alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields"))
+    templates = written(templates, "templates")
+    leaves = written(templates.groupBy("leaf").agg(F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").select("leaf", "_n"), "leaves")
+    crowded = written(join_skewed(templates, leaves, ["leaf"]), "crowded")
     cells = crowded.select("tmpl", "leaf", "a", "b", F.size("fields").alias("size"), F.posexplode("fields").alias("k", "h"))
-    constant = cells.groupBy("leaf", "k", "h").agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"), F.col("k").alias("_k"), F.col("h").alias("_h"))
-    kept = cells.join(constant, (F.col("leaf") == F.col("_leaf")) & (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left_semi")
-    signed = kept.groupBy("tmpl").agg(F.count("*").alias("n"), F.any_value("size").alias("size"), F.bit_xor(F.xxhash64("k", "h")).alias("sig")).where(F.col("n") * FIELDS >= F.col("size") * LEAST_CONSTANT).select(F.col("tmpl").alias("_tmpl"), "sig")
-    general = written(crowded.join(signed, F.col("tmpl") == F.col("_tmpl")).select("tmpl", "leaf", "sig", "first", "a", "b"), "general")
-    groups = general.groupBy("leaf", "sig").agg(F.min("first").alias("head"), F.count("*").alias("_n"), F.min("a").alias("_a"), F.max("b").alias("_b")).where("_n > 1 AND _a <> _b").select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), "head")
-    grouped = general.join(groups, (F.col("leaf") == F.col("_leaf")) & (F.col("sig") == F.col("_sig"))).select(F.col("tmpl").alias("_tmpl"), "head")
-    heads = templates.select("tmpl", "first", "a", "b").join(grouped, F.col("tmpl") == F.col("_tmpl"), "left").where("head IS NOT NULL OR a <> b")
-    return later(lines.select("rid", "line", "tmpl"), heads.select("tmpl", F.coalesce("head", "first").alias("first")), "tmpl")
-
-
-def deduplicated(docs: DataFrame, dropped: Callable[[DataFrame], DataFrame] = dropped_lines) -> DataFrame:
-    """``docs`` with the lines of recurring templates gone from ``text``, and n_lines, n_dropped beside its columns.
+    constant = written(cells.groupBy("leaf", "k", "h").agg(F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").select("leaf", "k", "h", "_n"), "constant")
+    kept = join_skewed(cells.drop("a", "b"), constant, ["leaf", "k", "h"])
+    sig = F.struct(F.bit_xor(F.xxhash64("k", "h")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "k", "h")).alias("b")).alias("sig")
+    signed = kept.groupBy("tmpl").agg(F.count("*").alias("n_same"), F.any_value("size").alias("size"), sig).where(F.col("n_same") * FIELDS >= F.col("size") * LEAST_CONSTANT).select("tmpl", "sig")
+    general = written(crowded.join(signed, "tmpl").select("tmpl", "leaf", "sig", "first", "a", "b"), "general")
+    groups = written(general.groupBy("leaf", "sig").agg(F.min("first").alias("head"), F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").drop("a", "b"), "groups")
+    grouped = join_skewed(general.select("tmpl", "leaf", "sig"), groups, ["leaf", "sig"]).select("tmpl", "head")
+    heads = templates.select("tmpl", "first", "a", "b", "n").join(grouped, "tmpl", "left").where("head IS NOT NULL OR a <> b")
+    heads = written(heads.select("tmpl", F.coalesce("head", "first").alias("first"), F.col("n").alias("_n")), "heads")
+    met = join_skewed(lines.select("rid", "line", "tmpl"), heads, ["tmpl"])
+    if keep_first:
+        met = met.where((F.col("rid") != F.col("first.rid")) | (F.col("line") != F.col("first.line")))
+    return met.select("rid", "line")
+
+
+def deduplicated(docs: DataFrame, keep_first: bool = True) -> DataFrame:
+    """``docs`` with the lines of recurring templates gone from ``text``, and n_lines_, n_dropped_ beside its columns.
 
     Lines are what \\n separates; kept ones are joined by \\n again. Null texts stay null with no lines, empty ones have
-    one line. Rows with the same id and text are one document, so repeats alone do not make a template recur. Ties
-    between equal lines go to the smaller doc_id. An empty table gives an empty result.
+    one line. Rows with the same id and text are one document, so repeats alone do not make a template recur; null ids
+    are told apart by their texts. Ties between equal lines go to the smaller doc_id, null before all. An empty table
+    gives an empty result. Columns of any name may be there; only n_lines_ and n_dropped_ would come twice.
     """
-    gone = dropped(docs).groupBy("rid").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("rid", "_rid")
-    joined = docs.withColumn("_key", row_key(docs)).join(gone, F.col("_key") == F.col("_rid"), "left")
+    gone = dropped_lines(docs, keep_first).groupBy("rid").agg(F.collect_set("line").alias("gone"))
+    boxed = docs.select(row_key("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # most texts lose nothing and are not cut again
-    cut = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone")), lambda i: F.get("_parts", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return cut.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines.alias("n_lines_"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped_"))
+    cut = boxed.join(gone, "rid", "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+    n_lines = F.coalesce(F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return cut.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], n_lines.alias("n_lines_"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped_"))
 
 
 LINES_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS line, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 t AS (SELECT doc_id, line, list_transform(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
 m AS (SELECT doc_id, line, t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{LEAD}], ' ') AS leaf, array_to_string(t, ' ') AS tmpl FROM t WHERE len(t) >= {MIN_TOKENS}),
-e AS (SELECT tmpl FROM m GROUP BY tmpl HAVING count(DISTINCT doc_id) > 1),
-x AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY tmpl ORDER BY doc_id, line) AS k FROM m JOIN e USING (tmpl)) WHERE k > 1),
-r AS (SELECT * FROM m WHERE n >= {FIELD_TOKENS} AND tmpl NOT IN (SELECT tmpl FROM e)),
-c AS (SELECT doc_id, line, leaf, n, t, unnest(range(0, {FIELDS})) AS k FROM r),
-f AS (SELECT doc_id, line, leaf, k, array_to_string(t[k * n // {FIELDS} + 1:(k + 1) * n // {FIELDS}], ' ') AS h FROM c),
-o AS (SELECT leaf, k, h FROM f GROUP BY ALL HAVING count(DISTINCT doc_id) > 1),
-g AS (SELECT doc_id, line, leaf, count(*) AS n, string_agg(k || ':' || h, '|' ORDER BY k) AS sig FROM f JOIN o USING (leaf, k, h) GROUP BY doc_id, line, leaf HAVING count(*) >= {LEAST_CONSTANT}),
-y AS (SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY leaf, sig ORDER BY doc_id, line) AS k, min(doc_id) OVER (PARTITION BY leaf, sig) AS a, max(doc_id) OVER (PARTITION BY leaf, sig) AS b FROM g) WHERE k > 1 AND a <> b),
-d AS (SELECT * FROM x UNION SELECT * FROM y),
-k AS (SELECT l.doc_id, string_agg(s, chr(10) ORDER BY line) AS text FROM l ANTI JOIN d ON l.doc_id = d.doc_id AND l.line = d.line GROUP BY l.doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id)
-SELECT w.doc_id, len(string_split(w.text, chr(10)))::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_dropped, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)"""
-
-
-#: The rule of dropped_lines_whole.
-WHOLE_SQL = f"""
-WITH l AS (SELECT doc_id, unnest(range(0, len(p))) AS line, unnest(p) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
-t AS (SELECT doc_id, line, list_transform(regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
-m AS (SELECT doc_id, line, t, len(t) AS n, len(t) || ' ' || array_to_string(t[1:{LEAD}], ' ') AS leaf, array_to_string(t, ' ') AS tmpl FROM t WHERE len(t) >= {MIN_TOKENS}),
 e AS (SELECT tmpl, any_value(leaf) AS leaf, any_value(n) AS n, any_value(t) AS t, min(doc_id) AS a, max(doc_id) AS b, CASE WHEN any_value(n) < {FIELD_TOKENS} THEN any_value(n) ELSE {FIELDS} END AS z FROM m GROUP BY tmpl),
 c AS (SELECT *, unnest(range(0, z)) AS k FROM e),
 f AS (SELECT tmpl, leaf, a, b, z, k, array_to_string(t[k * n // z + 1:(k + 1) * n // z], ' ') AS h FROM c),
@@ -156,11 +115,7 @@ def counted(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op2_line_templates_whole", LINES_SQL)
 @register("op2_line_templates", LINES_SQL)
 def op2_line_templates(spark, sf_dir):
     return counted(deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
-
-
-@register("op2_line_templates_whole", WHOLE_SQL)
-def op2_line_templates_whole(spark, sf_dir):
-    return counted(deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped_lines_whole))

@@ -23,36 +23,27 @@ def dedup_lines(rows):
     lines = []
     for d, t in rows:
         for k, s in enumerate(t.split("\n") if t is not None else []):
-            m = ["<*>" if any(c in "0123456789" for c in w) else w for w in tokens(s)]
+            m = tuple("<*>" if any(c in "0123456789" for c in w) else w for w in tokens(s))
             if len(m) >= ld.MIN_TOKENS:
                 lines.append((d, k, m))
-    drop = set()
-
-    def mark(groups):
-        for members in groups.values():
-            if len({d for d, _ in members}) > 1:
-                drop.update(sorted(members)[1:])
-
-    exact = defaultdict(list)
+    docs, cells, fields = defaultdict(set), defaultdict(set), {}
+    for d, _, m in lines:
+        docs[m].add(d)
+    for m in docs:
+        n = len(m)
+        size = n if n < ld.FIELD_TOKENS else ld.FIELDS
+        fields[m] = [m[i * n // size : (i + 1) * n // size] for i in range(size)]
+        for i, f in enumerate(fields[m]):
+            cells[n, m[: ld.LEAD], i, f].add(m)
+    groups = defaultdict(list)
     for d, k, m in lines:
-        exact[" ".join(m)].append((d, k))
-    mark(exact)
-    rest = [(d, k, m) for d, k, m in lines if len(m) >= ld.FIELD_TOKENS and len({x for x, _ in exact[" ".join(m)]}) == 1]
-    cells, fields = defaultdict(set), {}
-    for d, k, m in rest:
-        n, leaf = len(m), (len(m), tuple(m[: ld.LEAD]))
-        fields[d, k] = (leaf, [tuple(m[i * n // ld.FIELDS : (i + 1) * n // ld.FIELDS]) for i in range(ld.FIELDS)])
-        for i, f in enumerate(fields[d, k][1]):
-            cells[leaf, i, f].add(d)
-    general = defaultdict(list)
-    for (d, k), (leaf, fs) in fields.items():
-        same = tuple((i, f) for i, f in enumerate(fs) if len(cells[leaf, i, f]) > 1)
-        if len(same) >= ld.LEAST_CONSTANT:
-            general[leaf, same].append((d, k))
-    mark(general)
+        same = [(i, f) for i, f in enumerate(fields[m]) if len(c := cells[len(m), m[: ld.LEAD], i, f]) > 1 and len(set().union(*(docs[x] for x in c))) > 1]
+        wide = len(same) * ld.FIELDS >= ld.LEAST_CONSTANT * len(fields[m])
+        groups[(len(m), m[: ld.LEAD], tuple(same)) if wide else m].append((d, k))
+    drop = {x for members in groups.values() if len({d for d, _ in members}) > 1 for x in sorted(members)[1:]}
     out = {}
     for d, t in rows:
         parts = t.split("\n") if t is not None else []
-        gone = [k for k in range(len(parts)) if (d, k) in drop]
-        out[d] = ("\n".join(p for k, p in enumerate(parts) if (d, k) not in drop) if t is not None else None, len(parts), len(gone))
+        left = [p for k, p in enumerate(parts) if (d, k) not in drop]
+        out[d] = ("\n".join(left) if t is not None else None, len(parts), len(parts) - len(left))
     return out
