@@ -16,11 +16,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.blocks import cut_hot, forest, in_groups
-from strandloom.llm.common import components
+from strandloom.llm.common import components, row_key
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
@@ -45,15 +45,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row of ``docs`` as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: str = "doc_id") -> DataFrame:
+    """(``keep``, fp): the fingerprint of the text of every row of ``docs`` as a signed long."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({keep: batch[keep], "fp": fps.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select(keep, "text").mapInPandas(run, f"{keep} {docs.schema[keep].dataType.simpleString()}, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -91,6 +91,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return in_groups(cut_hot(postings, ["s", "v"], "fp"), ["s", "v", "_i", "_j"], handle, "a long, b long")
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp2, c): the component of every distinct fingerprint in ``prints`` (fp), named by one of its fingerprints."""
+    nodes = prints.select("fp").distinct()
+    reach = components(links(nodes))
+    return nodes.join(reach, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "fp").alias("c"))
+
+
 def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link share the smallest doc_id reachable.
 
@@ -99,19 +106,30 @@ def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
     other. Repeated rows each get a row. An empty table gives an empty result. Other columns are not read.
     """
     prints = written(fingerprints(docs, width), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    reach = components(links(nodes.select("fp")))
-    # the component of a fingerprint is named by a fingerprint; its document is the smallest of all members
-    named = nodes.join(reach, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("c"))
-    firsts = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(firsts, "c").select(F.col("fp").alias("fp2"), "component_id")
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    named = firsts.join(classes(prints), F.col("fp") == F.col("fp2"))
+    by_fp = named.select("fp2", F.min("first_id").over(Window.partitionBy("c")).alias("component_id"))
     return prints.join(by_fp, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the first of its component; repeated rows of that id become one."""
-    keep = grouped(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs``, with all their columns, that are the first of their group of near copies.
+
+    First is by doc_id, null ids last, then by a hash of the row's doc_id and text: of several rows without an id, or
+    of two texts under one id, each stands on its own and leaves only if an earlier row of its group stays. Rows equal
+    in doc_id and text are one document and give one row. Blank and null texts are one group. An empty table gives an
+    empty result, and columns of any name may be there. Texts are shuffled once, and copies of a row only by its key.
+    """
+    keyed = docs.select(F.struct("doc_id", row_key("doc_id", "text").alias("key")).alias("k"), "text")
+    prints = written(fingerprints(keyed, width, "k"), "fingerprints")
+    order = F.min(F.struct(F.col("k.doc_id").isNull(), "k.doc_id", "k.key"))
+    of_fp = prints.groupBy("fp").agg(order.alias("first")).join(classes(prints), F.col("fp") == F.col("fp2"))
+    keep = of_fp.groupBy("c").agg(F.min("first").alias("first")).select("first.key")
+    boxed = docs.select(row_key("doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = boxed.join(keep, "key", "left_semi")
+    if not prints.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        left = left.groupBy("key").agg(F.first("row").alias("row"))
+    return left.select("row.*")
 
 
 @register("op7_simhash_groups")

@@ -76,4 +76,16 @@ def test_one_of_each_and_empty(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in plain_groups(rows)})
-    assert simhash.grouped(docs.limit(0)).count() == 0
+    assert simhash.grouped(docs.limit(0)).count() == 0 and simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_loses_no_group(spark):
+    random.seed(8)
+    texts = [" ".join(random.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[2]), (None, texts[2]), (None, texts[4]), (None, texts[4]), (9, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "mine", "x", 1) for d, t in rows], "doc_id long, text string, _id string, key string, row int")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, None)], key=str)
+    assert all((r._id, r.key, r.row) == ("mine", "x", 1) for r in kept.collect())
