@@ -1,6 +1,9 @@
 """Counts of hand-made texts, sketches that merge, and verdicts."""
 
+from pyspark.sql import functions as F
+
 from strandloom.llm import quality
+from strandloom.session import written
 
 
 def docs_of(spark, rows):
@@ -46,4 +49,14 @@ def test_verdicts_adapt_to_the_group(spark):
     kept = quality.filtered(docs_of(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_words"]
     assert {r.doc_id for r in kept.collect()} == {d for d, k in got.items() if k}
-    assert quality.judged(docs_of(spark, rows).limit(0)).count() == 0
+    assert quality.judged(docs_of(spark, rows).limit(0)).count() == 0 and quality.filtered(docs_of(spark, rows).limit(0)).count() == 0
+    by_group = {r.source: r for r in quality.thresholds(written(quality.measured(docs_of(spark, rows)), "t")).where("lang = 'en'").collect()}
+    assert by_group["marked"].symbols_hi > 1000 > by_group["plain"].symbols_hi > 0
+
+
+def test_rows_of_one_id_stand_on_their_own(spark):
+    good = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = [(None, good, "en", "a", "1"), (None, "too short", "en", "a", "2"), (5, good + " z", "en", "a", "3"), (5, "short too", "en", "a", "4"), (5, good + " z", "en", "a", "5"), (6, None, None, None, "6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key string").withColumnsRenamed({"key": "kept"}).withColumn("row", F.col("kept")).withColumn("key", F.col("kept")).withColumn("_id", F.col("kept"))
+    got = quality.filtered(docs)
+    assert got.columns == docs.columns and sorted(r._id for r in got.collect()) == ["1", "3", "5"]
