@@ -44,15 +44,14 @@ def targets(source_sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return final.select("source", "source_size", "weight", F.when(F.col("final").isNull(), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mixing_plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size) -> per source: source_size, target, ``whole`` and ``cut``.
+def mixing_plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(source, size, h: the seeded hash) -> per source: source_size, target, ``whole`` and ``cut``.
 
-    A row is taken ``whole`` = floor(target / source_size) times, and once more if its seeded hash is not above
-    ``cut``: rows in hash order until the words are nearest the target, so to within half a document. To find the cut
+    A row is taken ``whole`` = floor(target / source_size) times, and once more if its hash is not above ``cut``: rows in hash order until the words are nearest the target, so to within half a document. To find the cut
     without sorting a hot source in one task, words are first summed by 4,096 hash ranges, which combines before the
     shuffle; only rows of the one range with the cut, a 4,096th of a source, are ranked.
     """
-    hashed = sized.select("source", "size", seeded(F.col("doc_id"), seed).alias("h")).withColumn("b", F.substring("h", 1, 3))
+    hashed = sized.select("source", "size", "h").withColumn("b", F.substring("h", 1, 3))
     sums = hashed.groupBy("source", "b").agg(F.sum("size").alias("w"))
     per_source = targets(sums.groupBy("source").agg(F.sum("w").alias("source_size")), weights, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -68,42 +67,55 @@ def mixing_plan(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
     return per_source.join(cuts, F.col("s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "whole", F.coalesce("cut", F.when(F.col("need") > 0, "g").otherwise("")).alias("cut"))
 
 
-def seeded(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def seeded(doc_id: Column, text: Column, seed: str) -> Column:
+    """A row's place in the random order: the seeded hash of its id, then the hash of its text. Rows without an id go
+    by their text, so they do not share a place."""
+    own = F.md5(F.coalesce(text, F.lit("")))
+    return F.concat(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), own))), own)
 
 
-def with_times(rows: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """``rows`` (doc_id, source, ...) with source_size, target and times. The plan has a row per source; it is
-    broadcast only after counting that they are few, and joined by shuffle otherwise."""
+def with_times(rows: DataFrame, plan: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``rows`` (source, h, ...) with source_size, target and times. The plan has a row per source; it is broadcast
+    only after counting that they are few, and joined by shuffle otherwise."""
     plan = written(plan, "mixing-plan").withColumnRenamed("source", "_source")
     few = plan.count() <= 100_000
     joined = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
-    again = (seeded(F.col("doc_id"), seed) <= F.col("cut")).cast("long")
-    return joined.withColumn("times", F.col("whole") + again).drop("_source", "whole", "cut")
+    # texts without words weigh nothing, so no cut by words holds them: the epochs do
+    again = (F.col("h") <= F.col("cut")).cast("long")
+    return joined.withColumn("times", F.least(F.col("whole") + again, F.lit(max_epochs))).drop("_source", "whole", "cut", "h")
+
+
+def placed(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), seeded(F.col("doc_id"), F.col("text"), seed).alias("h"))
 
 
 def mix_sizes(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, times for every row of ``docs`` (doc_id, text, source).
 
-    Null sources are one source, null doc_ids hash like empty ones. Rows repeated under one doc_id share a hash and
-    stand or fall together. Null and empty texts have size 0. An empty table gives an empty result; other columns of
-    ``docs`` are not read.
+    Null sources are one source. Rows are ordered by a seeded hash of the doc_id, ties under one id and rows without
+    one by their text; only rows equal in both stand or fall together. Null and empty texts have size 0 and are taken
+    as often as a row at their place, at most ``max_epochs`` times like all. An empty table gives an empty result;
+    other columns of ``docs`` are not read.
     """
-    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    return with_times(sized, mixing_plan(sized, weights, max_epochs, seed), seed)
+    sized = written(placed(docs, seed), "sizes")
+    return with_times(sized, mixing_plan(sized, weights, max_epochs), max_epochs)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken. Texts are never
-    shuffled: whether a row is taken depends on its own hash and its source's line of the plan."""
-    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
-    boxed = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    taken = with_times(boxed, mixing_plan(sized, weights, max_epochs, seed), seed).where("times > 0")
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken.
+
+    Nulls, empty texts, ties, repeated rows and empty tables are treated as in ``mix_sizes``, and columns of any name
+    may be there. Texts are never shuffled: whether a row is taken depends on its own hash and its source's line of
+    the plan.
+    """
+    plan = mixing_plan(written(placed(docs, seed), "sizes"), weights, max_epochs)
+    boxed = docs.select("source", seeded(F.col("doc_id"), F.col("text"), seed).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = with_times(boxed, plan, max_epochs).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 MIX_SQL = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) || md5(coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST) AS k FROM r),

@@ -65,3 +65,19 @@ def test_size_counts_code_points_of_blanks_only(spark):
     texts = ["a b", " ", " a  b ", "\x1ca", "\n", "a\n", None, "x\u0085y z"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(size_of(F.col("t"))).collect()] == [1, 1, 2, 1, 0, 1, 0, 2]
+
+
+def test_empty_texts_of_a_capped_source_and_rows_without_ids(spark):
+    random.seed(4)
+    rows = [(i, None if i % 3 else "", "a", "") for i in range(60)] + [(100 + i, "a few words", "a", "") for i in range(5)]
+    rows += [(None, " ".join(["w", str(i)] * random.randint(1, 40)), "b", "") for i in range(400)] + [(3000, f"same id {i} " * 5, "c", "") for i in range(300)]
+    sized = mix_sizes(docs_of(spark, rows)).collect()
+    assert max(r.times for r in sized) == 3 and {r.times for r in sized if r.source == "a"} == {3}
+    for s in "bc":
+        own = [r for r in sized if r.source == s]
+        assert abs(sum(r.size * r.times for r in own) - own[0].target) <= 80
+    clash = docs_of(spark, rows).withColumns({"row": F.lit(1), "h": F.lit(2), "times": F.lit(3), "_source": F.lit(4)})
+    mixed = mix(clash)
+    assert mixed.columns == clash.columns and mix(clash.limit(0)).count() == 0
+    assert Counter(r.source for r in mixed.collect()) == Counter({s: sum(r.times for r in sized if r.source == s) for s in "abc"})
+    assert mixed.where("row = 1 AND h = 2 AND times = 3 AND _source = 4").count() == mixed.count()
