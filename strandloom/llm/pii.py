@@ -14,7 +14,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -80,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
+def features(text: str, start: int, end: int) -> list[str]:
     """What a whole segment looks like, whatever its kind."""
     s = text[start:end]
     groups = re.findall("[0-9]+", s)
@@ -107,9 +109,17 @@ def features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
 
 
 def segments(text: str, lo: int, hi: int, taken=()) -> tuple[list[int], list[tuple[int, int]]]:
-    """Token ends from lo to hi, and the candidate segments as token ranges: those that start and end like an entity."""
+    """Token ends from lo to hi, and the candidate segments as token ranges: those that start and end like an entity.
+
+    ``taken`` (start, end) lists the spans no segment may touch, by start; they are met in one walk over the tokens.
+    """
     cuts = [lo + m.start() for m in TOKEN.finditer(text[lo:hi])] + [hi]
-    blocked = [any(a < cuts[i + 1] and cuts[i] < b for a, b in taken) for i in range(len(cuts) - 1)]
+    blocked, k, reach = [], 0, 0
+    for a, b in zip(cuts, cuts[1:]):
+        while k < len(taken) and taken[k][0] < b:
+            reach = max(reach, taken[k][1])
+            k += 1
+        blocked.append(reach > a)
     found = []
     for i in range(len(cuts) - 1):
         first = text[cuts[i]]
@@ -201,6 +211,42 @@ def examples(n: int = 360, seed: int = 11):
         yield text + word(), gold
 
 
+def _add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+
+
+def likelihood(n: int, found: list[tuple[int, int]], s: np.ndarray, touch: float, gold: list[tuple[int, int]]) -> tuple[float, np.ndarray, float]:
+    """Of one text of n tokens: the negative log-likelihood of the gold (segment, kind) pairs, in order, and its
+    gradient by the segments' scores and by ``touch``; forward and backward sums over all segmentations."""
+    total = np.logaddexp.reduce(s, axis=1).tolist() if len(found) else []
+    into, out_of = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+    for k, (i, j) in enumerate(found):
+        into[j].append((i, total[k]))
+        out_of[i].append((j, total[k]))
+    plain, ent = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+    for j in range(1, n + 1):
+        plain[j] = _add(plain[j - 1], ent[j - 1])
+        for i, z in into[j]:
+            ent[j] = _add(ent[j], z + _add(plain[i], ent[i] + touch))
+    b_plain, b_ent = [-math.inf] * n + [0.0], [-math.inf] * n + [0.0]
+    for i in range(n - 1, -1, -1):
+        b_plain[i] = b_ent[i] = b_plain[i + 1]
+        for j, z in out_of[i]:
+            b_plain[i], b_ent[i] = _add(b_plain[i], z + b_ent[j]), _add(b_ent[i], z + touch + b_ent[j])
+    whole = _add(plain[n], ent[n])
+    grad, g_touch, loss = np.zeros_like(s), 0.0, whole
+    for k, (i, j) in enumerate(found):
+        grad[k] = math.exp(total[k] + _add(plain[i], ent[i] + touch) + b_ent[j] - whole) * np.exp(s[k] - total[k])
+        g_touch += math.exp(total[k] + ent[i] + touch + b_ent[j] - whole) if ent[i] > -math.inf else 0.0
+    ends = {found[k][1] for k, _ in gold}
+    for k, y in gold:
+        grad[k, y] -= 1
+        touches = found[k][0] in ends
+        g_touch -= touches
+        loss -= s[k, y] + touch * touches
+    return float(loss), grad, g_touch
+
+
 @lru_cache(maxsize=1)
 def field(steps: int = 60, rate: float = 0.3, l2: float = 2e-4) -> tuple[dict[str, list[float]], float]:
     """(weights by feature, one per kind; weight of two entities touching), by maximum likelihood and Adam."""
@@ -208,7 +254,7 @@ def field(steps: int = 60, rate: float = 0.3, l2: float = 2e-4) -> tuple[dict[st
     for text, gold in examples():
         cuts, found = segments(text, 0, len(text))
         index = {(cuts[i], cuts[j]): k for k, (i, j) in enumerate(found)}
-        rows = [[names.setdefault(f, len(names)) for f in ["bias", *features(text, cuts[i], cuts[j], j - i)]] for i, j in found]
+        rows = [[names.setdefault(f, len(names)) for f in ["bias", *features(text, cuts[i], cuts[j])]] for i, j in found]
         data.append((len(cuts) - 1, found, rows, [(index[a, b], y) for a, y, b in gold if (a, b) in index]))
     flat = [f for _, _, rows, _ in data for r in rows for f in r]
     seg_of = np.repeat(np.arange(sum(len(rows) for _, _, rows, _ in data)), [len(r) for _, _, rows, _ in data for r in rows])
@@ -217,36 +263,11 @@ def field(steps: int = 60, rate: float = 0.3, l2: float = 2e-4) -> tuple[dict[st
     w[names["bias"]] = -3
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        touch = w[-1, 0]
         scores = np.stack([np.bincount(seg_of, w[flat, y], n_seg) for y in range(len(KINDS))], axis=1)
         back, g_touch, lo = np.zeros_like(scores), 0.0, 0
         for n, found, rows, gold in data:
-            s = scores[lo : lo + len(rows)]
-            total = np.logaddexp.reduce(s, axis=1).tolist() if len(rows) else []
-            into, out_of = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
-            for k, (i, j) in enumerate(found):
-                into[j].append((i, total[k], k))
-                out_of[i].append((j, total[k]))
-            add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
-            plain, ent = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
-            for j in range(1, n + 1):
-                plain[j] = add(plain[j - 1], ent[j - 1])
-                for i, z, _ in into[j]:
-                    ent[j] = add(ent[j], z + add(plain[i], ent[i] + touch))
-            b_plain, b_ent = [-math.inf] * n + [0.0], [-math.inf] * n + [0.0]
-            for i in range(n - 1, -1, -1):
-                b_plain[i] = b_ent[i] = b_plain[i + 1]
-                for j, z in out_of[i]:
-                    b_plain[i], b_ent[i] = add(b_plain[i], z + b_ent[j]), add(b_ent[i], z + touch + b_ent[j])
-            whole = add(plain[n], ent[n])
-            for k, (i, j) in enumerate(found):
-                p = math.exp(total[k] + add(plain[i], ent[i] + touch) + b_ent[j] - whole)
-                g_touch += math.exp(total[k] + ent[i] + touch + b_ent[j] - whole) if ent[i] > -math.inf else 0.0
-                back[lo + k] += p * np.exp(s[k] - total[k])
-            ends = {found[k][1] for k, _ in gold}
-            for k, y in gold:
-                back[lo + k, y] -= 1
-                g_touch -= found[k][0] in ends
+            _, back[lo : lo + len(rows)], g = likelihood(n, found, scores[lo : lo + len(rows)], w[-1, 0], gold)
+            g_touch += g
             lo += len(rows)
         grad = np.stack([np.bincount(flat, back[seg_of, y], len(w)) for y in range(len(KINDS))], axis=1) / len(data)
         grad[-1, 0] = g_touch / len(data)
@@ -301,18 +322,26 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: dict[str,
     out: list[tuple[int, int, int]] = []
     if not regions:
         return out
-    taken = [(a, b) for a, _, b in base]
+    taken = [(a, b) for a, _, b in base]  # by start
+    # the furthest end among the spans up to each: a region's spans begin after the last one that ends before it
+    reach = list(accumulate((b for _, b in taken), max))
     for lo, hi in regions:
         if hi - lo < 7:
             continue
-        near = [(a, b) for a, b in taken if a < hi and lo < b]
-        if any(a <= lo and hi - 2 <= b for a, b in near):
+        near = taken[bisect_right(reach, lo) : bisect_left(taken, (hi, 0))]
+        # a candidate has four digits or an at sign outside the base spans
+        at, rest = lo, []
+        for a, b in near:
+            rest.append(text[at:a] if a > at else "")
+            at = max(at, b)
+        outside = "".join(rest) + text[at:hi]
+        if len(DIGITS.sub("", outside)) < 4 and "@" not in outside and "at" not in outside.lower():
             continue
         cuts, found = segments(text, lo, hi, near)
         if not found:
             continue
         zero = [0.0] * len(KINDS)
-        scores = np.array([np.sum([weights.get(f, zero) for f in ["bias", *features(text, cuts[i], cuts[j], j - i)]], axis=0) for i, j in found])
+        scores = np.array([np.sum([weights.get(f, zero) for f in ["bias", *features(text, cuts[i], cuts[j])]], axis=0) for i, j in found])
         if scores.max() > 0:
             out += lattice(cuts, found, scores, touch)
     return out
