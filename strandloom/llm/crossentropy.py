@@ -1,139 +1,170 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of target texts and of all texts, share one vocabulary, one set of bigrams and one smoothing, so
-that the difference of their losses on a word speaks of the domain and not of the models. A document's score is the
-mean over its words of background loss minus target loss: the higher, the closer to the target.
-
-Counts are of the whole corpus and grow with it. What goes to every task is bounded by arithmetic, at any size: no
-more than 1 / WORD_SHARE words can have a share of WORD_SHARE of all words each, and likewise for bigrams. Rarer words
-are <unk>, rarer bigrams fall back on their second word.
+Two bigram models, of target texts and of all texts, share one vocabulary (every word of the corpus, and one place for
+words that are not in it) and one smoothing, so that the difference of their losses on a word speaks of the domain and
+not of the models. A document's score is the mean over its words of background loss minus target loss: the higher, the
+closer to the target. A text is scored by what the models know without it: its own counts are taken off the models it
+is part of, so target texts are held out one by one.
+
+Counts are of the whole corpus and nothing is pruned, so the tables grow with it and none goes to all tasks. Texts are
+cut into blocks of a bounded size, each a row. A block asks for the counts of the words and bigrams it holds, once each,
+and gets back what the corpus has of them: its own part of the two models.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
-WORD_SHARE, PAIR_SHARE, LEAST = 1e-5, 2e-6, 2
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
-UNK, START = 0, 1
-#: Words a counting task holds before it hands its counts on.
-HELD = 300_000
+#: Characters of a block of texts; a longer text is a block of its own.
+BLOCK_CHARS = 8_000_000
+#: Key of the place before the first word.
+START = np.uint64(0x5EED)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-@dataclass
-class Models:
-    vocab: dict[bytes, int]
-    single: np.ndarray  # log-free unigram probabilities, background and target: (2, words)
-    context: np.ndarray  # how often each word is followed by another: (2, words)
-    pairs: np.ndarray  # sorted keys of the bigrams
-    counts: np.ndarray  # of the bigrams: (2, pairs)
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """(2, n): background and target loss in nats of each word, given the one before; ids begin with START."""
-        before, this = ids[:-1], ids[1:]
-        keys = before * len(self.single[0]) + this
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        known = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        out = np.empty((2, len(this)))
-        for m in (0, 1):
-            n, p = self.context[m][before], self.single[m][this]
-            c = np.where(known, self.counts[m][at] if len(self.pairs) else 0, 0)
-            out[m] = -np.log(np.where(n > 0, BIGRAM_WEIGHT * c / np.maximum(n, 1) + (1 - BIGRAM_WEIGHT) * p, p))
-        return out
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit keys."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Numbers of the words that make up WORD_SHARE of all words each, from 2 on."""
+def context_key(word: np.ndarray) -> np.ndarray:
+    return mixed(word + np.uint64(0x9E3779B97F4A7C15))
 
-    def count(batches):
-        held: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                held.update(words(text))
-                if len(held) > HELD:
-                    yield pd.DataFrame({"w": list(held), "n": list(held.values())})
-                    held = Counter()
-        if held:
-            yield pd.DataFrame({"w": list(held), "n": list(held.values())})
-
-    counts = written(docs.select("text").mapInPandas(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST, math.ceil(total * WORD_SHARE))).orderBy(F.col("n").desc(), "w").select("w").collect()
-    return {bytes(r.w): i + 2 for i, r in enumerate(rows)}
-
-
-def train(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Count the whole corpus twice: words, then bigrams of known words. ``target_ids`` (doc_id) tells target texts."""
-    vocab = vocabulary(docs)
-    size = len(vocab) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    # one plan at every size: ids grow with the corpus, so they are never broadcast
-    flagged = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
 
-    def count(batches):
-        get = shared.value.get
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(context_key(context) + word)
+
+
+def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, doc_ids, lens, words, tokens): texts as numbers of the block's own words, which are listed by their keys.
+
+    Blocks follow the partitions of ``docs``, so nothing is shuffled; the result is to be written before it is used."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), 0
+        ids, lens, own, tokens, held = [], [], {}, [], 0
+
+        def row():
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys.view(np.int64)], "tokens": [np.concatenate(tokens).tobytes() if tokens else b""]})
+
         for batch in batches:
-            keys, target = [], []
-            for text, t in zip(batch["text"], batch["target"]):
-                seq = np.array([START, *(get(w, UNK) for w in words(text))], np.int64)
-                keys.append(seq[:-1] * size + seq[1:])
-                target.append(np.full(len(seq) - 1, t))
-            if keys and sum(map(len, keys)):
-                k, t = np.concatenate(keys), np.concatenate(target)
-                found, where, n = np.unique(k, return_inverse=True, return_counts=True)
-                yield pd.DataFrame({"k": found, "n": n.astype(np.int64), "t": np.bincount(where, t, len(found)).astype(np.int64)})
-
-    pairs = written(flagged.mapInPandas(count, "k long, n long, t long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "pairs")
-    # sums by first and by second word: as many rows as the vocabulary has words
-    firsts = pairs.groupBy(F.expr(f"k div {size}").alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
-    seconds = pairs.groupBy((F.col("k") % size).alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
-    total = int(seconds["n"].sum())
-    kept = pairs.where(F.col("n") >= max(LEAST, math.ceil(total * PAIR_SHARE))).orderBy("k").toPandas()
-    context, single = np.zeros((2, size)), np.zeros((2, size))
-    for m, c in enumerate(("n", "t")):
-        context[m][firsts["w"].to_numpy(np.int64)] = firsts[c].to_numpy()
-        single[m][seconds["w"].to_numpy(np.int64)] = seconds[c].to_numpy()
-        single[m] = (single[m] + ADDED) / (single[m].sum() + ADDED * size)
-    return Models(vocab, single, context, kept["k"].to_numpy(np.int64), kept[["n", "t"]].to_numpy(np.int64).T)
-
-
-def scored(docs: DataFrame, models: Models) -> DataFrame:
+            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+                if ids and held + len(text or "") > block_chars:
+                    yield row()
+                    made += 1
+                    ids, lens, own, tokens, held = [], [], {}, [], 0
+                seq = np.fromiter((own.setdefault(w, len(own)) for w in words(text)), np.int32)
+                ids.append(doc_id)
+                lens.append(len(seq))
+                tokens.append(seq)
+                held += len(text or "")
+        if ids:
+            yield row()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"block long, doc_ids array<{kind}>, lens array<int>, words array<long>, tokens binary")
+
+
+class Block:
+    """A block's tokens as arrays: the document, word, context and bigram of each."""
+
+    def __init__(self, row):
+        self.ids = list(row["doc_ids"])
+        self.lens = np.asarray(row["lens"], np.int64)
+        keys = np.asarray(row["words"], np.int64).view(np.uint64)
+        word = keys[np.frombuffer(row["tokens"], np.int32)]
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
+        before = np.concatenate(([START], word[:-1])) if len(word) else word
+        if len(word):
+            before[(np.cumsum(self.lens) - self.lens)[self.lens > 0]] = START
+        self.kinds = [word, context_key(before), pair_key(before, word)]
+        self.target = np.zeros(len(self.lens), bool)
+        if row["targets"] is not None:
+            self.target[np.asarray(row["targets"], np.int64)] = True
+
+
+def requested(one: Block) -> pd.DataFrame:
+    """(k, n, t): the block's keys, words, contexts and bigrams alike, with their counts in all and in target texts."""
+    k, at, n = np.unique(np.concatenate(one.kinds), return_inverse=True, return_counts=True)
+    t = np.bincount(at, np.tile(one.target[one.doc], 3), len(k)).astype(np.int64)
+    return pd.DataFrame({"k": k.view(np.int64), "n": n.astype(np.int64), "t": t})
+
+
+def own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each token how often its document has that key."""
+    _, back, n = np.unique(doc * (int(at.max()) + 1 if len(at) else 1) + at, return_inverse=True, return_counts=True)
+    return n[back]
+
+
+def losses(one: Block, known: pd.DataFrame, n_tokens: tuple[int, int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean background and target loss in nats of each document, by the models without it. known (k, n, t): what the
+    corpus and the target have of the block's keys; n_tokens: of the corpus and of the target."""
+    known = known.sort_values("k")
+    keys = known["k"].to_numpy(np.int64)
+    at = [np.searchsorted(keys, k.view(np.int64)) for k in one.kinds]
+    mine = [own_counts(one.doc, a) for a in at]
+    size = np.maximum(one.lens, 1)
+    out = []
+    for column, total, part in (("n", n_tokens[0], np.ones(len(one.lens), bool)), ("t", n_tokens[1], one.target)):
+        counts, held = known[column].to_numpy(np.int64), part[one.doc]
+        word, context, pair = (counts[a] - np.where(held, m, 0) for a, m in zip(at, mine))
+        rest = (total - np.where(part, one.lens, 0))[one.doc]
+        p = (word + ADDED) / (rest + ADDED * (n_words + 1))
+        p = np.where(context > 0, BIGRAM_WEIGHT * pair / np.maximum(context, 1) + (1 - BIGRAM_WEIGHT) * p, p)
+        out.append(np.bincount(one.doc, -np.log(p), len(one.lens)) / size)
+    return out[0], out[1]
+
+
+def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, loss_background, loss_target, score) of whole texts, losses as means over the words.
 
-    Null and blank texts have no tokens, losses and score 0. Repeated rows count as often as they occur and score
-    alike; an empty table gives an empty result; other columns are not read.
+    ``target_ids`` (doc_id) tells the target texts; null and repeated ids there mean nothing. Null and blank texts have
+    no tokens, losses and score 0. Repeated rows count as often as they occur and each is scored without itself alone;
+    every row of a target id is a target text. An empty table gives an empty result; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    encoded = written(blocks(docs, block_chars), "blocks")
+    ids = target_ids.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    each = encoded.select("block", F.posexplode(F.arrays_zip("doc_ids", "lens")).alias("pos", "d")).select("block", "pos", "d.doc_ids", "d.lens")
+    # ids grow with the corpus, so they are never broadcast
+    hits = written(each.join(ids.hint("merge"), F.col("doc_ids") == F.col("_id"), "left_semi").select("block", "pos", "lens"), "targets")
+    n_target = hits.agg(F.sum("lens")).first()[0] or 0
+    n_all = encoded.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n_words = encoded.select(F.explode("words").alias("w")).distinct().count()
+    targets = hits.groupBy("block").agg(F.collect_list("pos").alias("targets")).withColumnRenamed("block", "_block")
+    flagged = encoded.join(targets.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block")
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = requested(Block(pdf.iloc[0]))
+        out.insert(0, "block", pdf["block"].iloc[0])
+        return out
 
-    def run(batches):
-        m = shared.value
-        get = m.vocab.get
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids = np.array([START, *(get(w, UNK) for w in words(text))], np.int64)
-                rows.append((len(ids) - 1, *(m.losses(ids).mean(axis=1) if len(ids) > 1 else (0.0, 0.0))))
-            out = pd.DataFrame(rows, columns=["n_tokens", "loss_background", "loss_target"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out["score"] = out["loss_background"] - out["loss_target"]
-            yield out
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        one = Block(left.iloc[0])
+        background, target = losses(one, right, (n_all, n_target), n_words)
+        return pd.DataFrame({"doc_id": pd.Series(one.ids, dtype=object), "n_tokens": one.lens, "loss_background": background, "loss_target": target, "score": background - target})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, loss_background double, loss_target double, score double")
+    asked = flagged.groupBy("block").applyInPandas(ask, "block long, k long, n long, t long")
+    by_key = Window.partitionBy("k")
+    known = asked.select("block", "k", F.sum("n").over(by_key).alias("n"), F.sum("t").over(by_key).alias("t"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.DoubleType() if c != "n_tokens" else T.LongType()) for c in ("n_tokens", "loss_background", "loss_target", "score"))])
+    return flagged.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(answer, schema)
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
@@ -143,5 +174,4 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 @register("op8_cross_entropy_difference")
 def op8_cross_entropy_difference(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, train(docs, good_ids(table(spark, sf_dir, "labels"))))
+    return scored(table(spark, sf_dir, "documents"), good_ids(table(spark, sf_dir, "labels")))

@@ -4,54 +4,80 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandloom.llm import crossentropy as ce
 
 
 def plain(rows, target):
+    """Each text by the counts of all the other texts."""
     toks = [[w.decode() for w in ce.words(t)] for _, t in rows]
-    n_words = Counter(w for t in toks for w in t)
-    total = sum(n_words.values())
-    vocab = {w for w, n in n_words.items() if n >= max(ce.LEAST, math.ceil(total * ce.WORD_SHARE))}
-    seqs = [["<s>", *(w if w in vocab else "<unk>" for w in t)] for t in toks]
-    models = []
-    for keep in (lambda d: True, lambda d: d in target):
-        pairs = Counter(p for (d, _), s in zip(rows, seqs) if keep(d) for p in zip(s, s[1:]))
-        models.append((pairs, Counter(a for a, _ in pairs.elements()), Counter(b for _, b in pairs.elements())))
-    known = {p for p, n in models[0][0].items() if n >= max(ce.LEAST, math.ceil(total * ce.PAIR_SHARE))}
+    seqs = [["<s>", *t] for t in toks]
+    n_words = len({w for t in toks for w in t})
+    pairs_of = [Counter(zip(s, s[1:])) for s in seqs]
     out = []
-    for (d, _), s in zip(rows, seqs):
+    for i, (d, _) in enumerate(rows):
         loss = []
-        for pairs, context, single in models:
-            x = 0.0
-            for a, b in zip(s, s[1:]):
-                p = (single[b] + ce.ADDED) / (sum(single.values()) + ce.ADDED * (len(vocab) + 2))
+        for keep in (lambda x: True, lambda x: x in target):
+            pairs = Counter()
+            for j, (e, _) in enumerate(rows):
+                if j != i and keep(e):
+                    pairs.update(pairs_of[j])
+            context, single = Counter(), Counter()
+            for (a, b), n in pairs.items():
+                context[a] += n
+                single[b] += n
+            x, total = 0.0, sum(single.values())
+            for a, b in zip(seqs[i], seqs[i][1:]):
+                p = (single[b] + ce.ADDED) / (total + ce.ADDED * (n_words + 1))
                 if context[a]:
-                    p = ce.BIGRAM_WEIGHT * (pairs[a, b] if (a, b) in known else 0) / context[a] + (1 - ce.BIGRAM_WEIGHT) * p
+                    p = ce.BIGRAM_WEIGHT * pairs[a, b] / context[a] + (1 - ce.BIGRAM_WEIGHT) * p
                 x -= math.log(p)
-            loss.append(x / max(1, len(s) - 1))
-        out.append((d, len(s) - 1, *loss, loss[0] - loss[1]))
+            loss.append(x / max(1, len(seqs[i]) - 1))
+        out.append((d, len(seqs[i]) - 1, *loss, loss[0] - loss[1]))
     return out
 
 
 def test_scores(spark):
     random.seed(6)
     topics = [[f"{c}{i}" for i in range(30)] for c in "abc"]
-    rows = [(i, " ".join(random.choices(topics[i % 3] + ["The", "the", "é"], k=random.randint(1, 60)))) for i in range(150)]
-    rows += [(150, None), (151, ""), (152, " \t\n"), (153, "once"), (3, rows[3][1]), (154, "a1 a2 " * 5000)]
-    target = {i for i in range(0, 150, 3)}
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string").repartition(3)
+    rows = [(i, " ".join(random.choices(topics[i % 3] + ["The", "the", "é"], k=random.randint(1, 60)))) for i in range(120)]
+    rows += [(150, None), (151, ""), (152, " \t\n"), (153, "once"), (3, rows[3][1]), (154, "a1 a2 " * 1000), (None, "b1 b2"), (None, "c1")]
+    target = {i for i in range(0, 120, 3)}
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, score string, block int").repartition(3)
     ids = spark.createDataFrame([(i,) for i in [*target, None, 0]], "doc_id long")
-    got = sorted(map(tuple, ce.scored(docs, ce.train(docs, ids)).collect()))
-    want = sorted(plain(rows, target))
-    assert len(got) == len(want)
-    for g, w in zip(got, want):
-        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9)
-    by_topic = [sum(g[4] for g in got if g[0] < 150 and g[0] % 3 == t) for t in range(3)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    want = sorted(plain(rows, target), key=order)
+    for chars in (ce.BLOCK_CHARS, 500):
+        got = sorted(map(tuple, ce.scored(docs, ids, chars).collect()), key=order)
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-9)
+    by_topic = [sum(g[4] for g in got if g[0] is not None and g[0] < 120 and g[0] % 3 == t) for t in range(3)]
     assert by_topic[0] > 0 > max(by_topic[1:])
 
 
+def test_probabilities_of_all_words_make_one():
+    row = {"doc_ids": [1, 2, 3], "lens": [5, 4, 6], "words": list(range(11, 15)), "tokens": np.array([0, 1, 0, 2, 1, 2, 2, 0, 3, 0, 1, 2, 0, 0, 1], np.int32).tobytes(), "targets": [0, 2]}
+    whole = ce.requested(ce.Block(row))
+    for context in range(4):
+        total = np.zeros(2)
+        for word in range(5):  # the fourth is in no text
+            keys = np.array([11, 12, 13, 14, 99], np.uint64)
+            one = ce.Block({"doc_ids": [9], "lens": [2], "words": keys.view(np.int64), "tokens": np.array([context, word], np.int32).tobytes(), "targets": None})
+            known = ce.requested(one).drop(columns=["n", "t"]).merge(whole, "left", "k").fillna(0)
+            both = []
+            for n_tokens in (2, 1):  # the loss of the second word alone: two words less the first
+                part = ce.Block({"doc_ids": [9], "lens": [n_tokens], "words": keys.view(np.int64), "tokens": np.array([context, word][:n_tokens], np.int32).tobytes(), "targets": None})
+                seen = known.copy()
+                mine = ce.requested(part)  # as if the text were one of the corpus, so that taking it off leaves the three
+                seen["n"] += seen["k"].map(mine.set_index("k")["n"]).fillna(0)
+                both.append(np.array([x[0] * n_tokens for x in ce.losses(part, seen, (15 + n_tokens, 11), 4)]))
+            total += np.exp(-(both[0] - both[1]))
+        assert total == pytest.approx([1, 1])
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert ce.scored(docs, ce.train(docs, docs.select("doc_id"))).count() == 0
+    assert ce.scored(docs, docs.select("doc_id")).count() == 0
