@@ -7,8 +7,14 @@ B * blocks products a vector. List decoding walks the blocks and drops a partial
 cannot reach the threshold, and so lists all filters a vector passes. Vectors join on filters, and pairs are verified
 by their cosine in double precision.
 
-A pair is counted in the first filter the two share, which a bucket sees from the lists its vectors carry: no pair has
-to be written down to be counted once, and a bucket answers with a row per vector, however many pairs it holds.
+The threshold is what the vector has with its best filter, its home, less SLACK deviations of what a pair at the limit
+differs by in an inner product. Two vectors meet in the home of one that the other passes too: a vector is listed in
+all its filters, but compared in each only with those at home there, which are few, as homes are dealt over filters in
+proportion to the vectors. How many filters a vector passes grows with their logarithm and not with the dimension.
+
+A pair is counted in the least of the filters where it meets. Rows carry their homes and thresholds, so a bucket can
+tell in which others it would meet: no pair has to be written down to be counted once, and a bucket answers with a row
+per vector, however many pairs it holds.
 """
 
 from __future__ import annotations
@@ -26,12 +32,11 @@ from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
 COSINE = 0.98
-#: Codes with rotations of their own, and the filters in each that a random vector passes on average.
-CODES, PASSES = 2, 4
-#: Filters within this of a vector's best one are always its filters, so that nobody is left with none: twice the
-#: deviation of what a pair at the threshold differs by in an inner product in 64 dimensions. Of 6,000 random pairs of
-#: cosine 0.9801 none is missed with 2,000 filters a label nor with 400,000, at 18 and 40 filters a vector.
-SLACK = 0.05
+#: Codes with rotations of their own; a pair is missed only if it meets in none.
+CODES = 2
+#: Of 1,000 random pairs of cosine 0.9801 none is missed with 2,000 filters a label nor with 400,000, in 64 dimensions
+#: nor in 768, at 9 to 22 filters a vector. In units of the deviation, sqrt(2 - 2 * cosine) / sqrt(dimension).
+SLACK = 1.5
 #: Filters for each vector of the largest label: buckets keep their size as tables grow.
 FILTERS_A_VECTOR, SEED = 0.4, 20_24
 
@@ -45,42 +50,44 @@ class ProductCode:
         self.blocks = max(1, min(dim, 2 if n_filters <= 1 << 20 else 3 if n_filters <= 1 << 30 else 4))
         self.size = max(2, math.ceil(n_filters ** (1 / self.blocks)))
         self.cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
+        self.slack = SLACK * math.sqrt(2 * (1 - COSINE) / dim)
         # codewords have the length their block has in a random unit vector, so every filter is a unit vector
         self.words = []
         for a, b in zip(self.cuts, self.cuts[1:]):
             w = rng.standard_normal((self.size, b - a))
             self.words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
-        # the threshold that random unit vectors pass with a chance of PASSES / filters, from a fixed random sample
-        x = rng.standard_normal((4000, dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        share = min(0.5, PASSES / self.size**self.blocks)
-        self.threshold = float(np.sqrt(1.0 / dim) * _normal_quantile(1 - share) * (1 - 0.75 / dim))
-
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters the unit vectors x pass."""
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, filter) of all filters the unit vectors x pass; and of each vector its home and its threshold."""
         y = x @ self.rotation
         parts = [y[:, a:b] @ w.T for (a, b), w in zip(zip(self.cuts, self.cuts[1:]), self.words)]
-        most = [p.max(axis=1) for p in parts]
-        rest = np.zeros(len(x))
-        beyond = []
-        for m in most[::-1]:
+        home, rest, beyond = np.zeros(len(x), np.int64), np.zeros(len(x)), []
+        for p in parts:
+            home = home * self.size + p.argmax(axis=1)
+        for p in parts[::-1]:
             beyond.append(rest.copy())
-            rest += m
-        beyond = beyond[::-1]
-        # a vector between the directions lowers its own threshold, so that nobody is left without filters
-        least = np.minimum(self.threshold, rest - SLACK)
+            rest += p.max(axis=1)
+        least = rest - self.slack
         rows, sums, codes = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
-        for p, b in zip(parts, beyond):
+        for p, b in zip(parts, beyond[::-1]):
             total = sums[:, None] + p[rows]
             r, c = np.nonzero(total + (b - least)[rows][:, None] >= 0)
             rows, sums, codes = rows[r], total[r, c], codes[r] * self.size + c
-        return rows, codes
+        return rows, codes, home, least
 
+    def passes(self, x: np.ndarray, filters: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether each vector passes the filter beside it."""
+        y, total = x @ self.rotation, np.zeros(len(x))
+        for k in range(self.blocks - 1, -1, -1):
+            total += np.einsum("ij,ij->i", y[:, self.cuts[k] : self.cuts[k + 1]], self.words[k][filters % self.size])
+            filters = filters // self.size
+        return total >= least
 
-def _normal_quantile(p: float) -> float:
-    from statistics import NormalDist
 
-    return NormalDist().inv_cdf(p)
+def unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, float)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def components_of(vectors: DataFrame) -> Column:
@@ -97,7 +104,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def buckets(classes: DataFrame, n_filters: int) -> DataFrame:
-    """(label, dim, filter, cls, copies, e, filters): every class once for each filter its vector passes."""
+    """(label, dim, filter, cls, copies, e, homes, least): every class once for each filter its vector passes."""
 
     def run(batches):
         codes: dict[tuple[int, int], ProductCode] = {}
@@ -105,64 +112,66 @@ def buckets(classes: DataFrame, n_filters: int) -> DataFrame:
             for lo in range(0, len(batch), 512):
                 part = batch.iloc[lo : lo + 512]
                 for dim, same in part.groupby(part["e"].map(len)):
-                    x = np.array(same["e"].tolist(), float)
-                    x = x / np.abs(x).max(axis=1, keepdims=True)
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    rows, filters = [], []
+                    x = unit(same["e"].tolist())
+                    found = []
                     for k in range(CODES):
                         if (dim, k) not in codes:
                             codes[dim, k] = ProductCode(dim, n_filters, k)
-                        code = codes[dim, k]
-                        r, f = code.decode(x)
-                        rows.append(r)
-                        filters.append(f * CODES + k)
-                    r, f = np.concatenate(rows), np.concatenate(filters)
-                    order = np.lexsort((f, r))
-                    r, f = r[order], f[order]
-                    lists = np.split(f, np.cumsum(np.bincount(r, minlength=len(same)))[:-1])
-                    out = same.iloc[r][["label", "cls", "copies", "e"]].reset_index(drop=True)
-                    out["dim"], out["filter"] = dim, f
-                    out["filters"] = [lists[i] for i in r]
-                    yield out[["label", "dim", "filter", "cls", "copies", "e", "filters"]]
+                        found.append(codes[dim, k].decode(x))
+                    rows = np.concatenate([f[0] for f in found])
+                    homes, least = np.stack([f[2] * CODES + k for k, f in enumerate(found)], axis=1), np.stack([f[3] for f in found], axis=1)
+                    out = same.iloc[rows][["label", "cls", "copies", "e"]].reset_index(drop=True)
+                    out["dim"], out["filter"] = dim, np.concatenate([f[1] * CODES + k for k, f in enumerate(found)])
+                    out["homes"], out["least"] = list(homes[rows]), list(least[rows])
+                    yield out[["label", "dim", "filter", "cls", "copies", "e", "homes", "least"]]
 
     kinds = dict(classes.dtypes)
-    return classes.mapInPandas(run, f"label {kinds['label']}, dim int, filter long, cls {kinds['cls']}, copies long, e {kinds['e']}, filters array<long>")
-
-
-def verify(group: pd.DataFrame) -> pd.DataFrame | None:
-    """Of one bucket, or pair of blocks of it: per class the copies it links with here, and a link that connects it."""
-    x = np.array(group["e"].tolist(), float)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    blocks, first, second = group["_b"].to_numpy(), group["_i"].iloc[0], group["_j"].iloc[0]
-    left, right = [], []
-    for lo in range(0, len(x), 512):
-        i, j = np.nonzero(np.triu(x[lo : lo + 512] @ x.T >= COSINE - 1e-9, lo + 1))
-        i += lo
-        i, j = (i, j) if first == second else (i[c := blocks[i] != blocks[j]], j[c])
-        left.append(i)
-        right.append(j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    i, j = i[(c := np.einsum("ij,ij->i", x[i], x[j]) >= COSINE)], j[c]
-    if not len(i):
-        return None
-    # only the first filter that two vectors share counts them
-    lists, here = group["filters"].tolist(), int(group["filter"].iloc[0])
-    before = [f[: np.searchsorted(f, here)] for f in lists]
-    if any(map(len, before)):
-        ids = np.unique(np.concatenate(before))
-        has = np.zeros((len(x), len(ids)), np.uint8)
-        for k, f in enumerate(before):
-            has[k, np.searchsorted(ids, f)] = 1
-        new = np.concatenate([~(has[i[s : s + 65536]] & has[j[s : s + 65536]]).any(axis=1) for s in range(0, len(i), 65536)])
-        i, j = i[new], j[new]
-    if not len(i):
-        return None
-    copies, cls = group["copies"].to_numpy(), group["cls"].to_numpy()
-    n = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
-    root = forest(len(x), i, j)
-    some = np.flatnonzero(n)
-    return pd.DataFrame({"cls": cls[some], "n": n[some].astype(np.int64), "to": cls[root[some]]})
+    return classes.mapInPandas(run, f"label {kinds['label']}, dim int, filter long, cls {kinds['cls']}, copies long, e {kinds['e']}, homes array<long>, least array<double>")
+
+
+def verifier(n_filters: int):
+    """What ``in_groups`` does with one bucket, or pair of blocks of it: per class the copies it links with here, and a
+    link that connects it."""
+    codes: dict[tuple[int, int], ProductCode] = {}
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame | None:
+        here, homes = int(group["filter"].iloc[0]), np.array(group["homes"].tolist())
+        at_home = (homes == here).any(axis=1)
+        own = np.flatnonzero(at_home)
+        if not len(own):
+            return None
+        x = unit(group["e"].tolist())
+        blocks, first, second = group["_b"].to_numpy(), group["_i"].iloc[0], group["_j"].iloc[0]
+        left, right = [], []
+        for lo in range(0, len(own), 512):
+            i, j = np.nonzero(x[own[lo : lo + 512]] @ x.T >= COSINE - 1e-9)
+            i = own[lo + i]
+            new = (i != j) & (~at_home[j] | (i < j)) & ((first == second) | (blocks[i] != blocks[j]))
+            left.append(i[new])
+            right.append(j[new])
+        i, j = np.concatenate(left), np.concatenate(right)
+        i, j = i[(c := np.einsum("ij,ij->i", x[i], x[j]) >= COSINE)], j[c]
+        if not len(i):
+            return None
+        # where else the two meet: in the home of one that the other passes
+        least, dim, earlier = np.array(group["least"].tolist()), x.shape[1], np.zeros(len(i), bool)
+        for k in range(CODES):
+            if (dim, k) not in codes:
+                codes[dim, k] = ProductCode(dim, n_filters, k)
+            for a, b in ((i, j), (j, i)):
+                there = homes[a, k]
+                rows = np.flatnonzero((there < here) & ~earlier)
+                earlier[rows] = codes[dim, k].passes(x[b[rows]], there[rows] // CODES, least[b[rows], k])
+        i, j = i[~earlier], j[~earlier]
+        if not len(i):
+            return None
+        copies, cls = group["copies"].to_numpy(), group["cls"].to_numpy()
+        n = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+        root = forest(len(x), i, j)
+        some = np.flatnonzero(n)
+        return pd.DataFrame({"cls": cls[some], "n": n[some].astype(np.int64), "to": cls[root[some]]})
+
+    return verify
 
 
 def linked(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -180,7 +189,7 @@ def linked(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     spread = classes.repartition(max(8, vectors.sparkSession.sparkContext.defaultParallelism * 2), "cls")
     keys = ["label", "dim", "filter"]
     groups = cut_hot(buckets(spread, n_filters), keys, "cls", block)
-    found = written(in_groups(groups, [*keys, "_i", "_j"], verify, f"cls {kinds['cls']}, n long, to {kinds['cls']}"), "links")
+    found = written(in_groups(groups, [*keys, "_i", "_j"], verifier(n_filters), f"cls {kinds['cls']}, n long, to {kinds['cls']}"), "links")
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
     reach = components(found.where("cls <> to").select(F.col("cls").alias("a"), F.col("to").alias("b")))
     per_class = classes.join(counts.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left").join(reach, F.col("cls") == F.col("node"), "left")

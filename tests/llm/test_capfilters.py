@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from strandloom.llm.capfilters import COSINE, linked
+import pytest
+
+from strandloom.llm.capfilters import CODES, COSINE, ProductCode, linked
 
 KIND = "vec_id long, embedding array<float>, label int, n_links string, cls string"
 
@@ -58,3 +60,37 @@ def test_all_pairs(spark):
 
 def test_empty(spark):
     assert linked(spark.createDataFrame([], KIND)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+def test_pairs_at_the_limit_meet_and_lists_stay_short(dim):
+    """Random pairs a little above the limit, the hardest to find, by the lists alone; at two sizes."""
+    rng = np.random.default_rng(dim)
+    x, z = rng.standard_normal((2, 600, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.981 * x + np.sqrt(1 - 0.981**2) * z
+    listed = []
+    for n_filters in (2_000, 200_000):
+        met, n = np.zeros(600, bool), 0
+        for k in range(CODES):
+            code = ProductCode(dim, n_filters, k)
+            (rows, filters, home_x, least_x), (_, _, home_y, least_y) = code.decode(x), code.decode(y)
+            n += len(rows) / 600
+            assert set(zip(range(600), home_x)) <= set(zip(rows, filters))
+            some = rng.integers(len(rows), size=400)
+            assert code.passes(x[rows[some]], filters[some], least_x[rows[some]] - 1e-12).all()
+            met |= code.passes(x, home_y, least_x) | code.passes(y, home_x, least_y)
+        assert met.mean() >= 0.99
+        listed.append(n)
+    assert listed[0] < 16 and listed[1] < 2.5 * listed[0]
+
+
+def test_recall_on_clouds_of_two_sizes(spark):
+    for n in (300, 1500):
+        rng = np.random.default_rng(n)
+        centre = np.repeat(rng.standard_normal((n // 5, 32)), 5, axis=0)
+        rows = [(i, [float(v) for v in (c + rng.standard_normal(32) * rng.choice([0.05, 0.12, 0.2])).astype(np.float32)], 0, "x", "y") for i, c in enumerate(centre)]
+        got, want = [sum(r[1] for r in rs) for rs in (linked(spark.createDataFrame(rows, KIND)).collect(), brute(rows))]
+        assert 0.99 * want <= got <= want
