@@ -7,23 +7,24 @@ likelihood to document labels makes the sentences that explain a label stand out
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
-#: The labelled sample for fitting: at most so many documents, none longer than so many characters.
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 10_000, 200_000
+#: The labelled sample for fitting: at most so many documents, and no more once they hold so many characters. What
+#: counts is a document's place in a hash order: none is passed over for its length.
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 10_000, 60_000_000
 #: Features of the model: at most so many, each in so many sample documents.
 MAX_WORDS, LEAST_DOCS = 4_000, 4
 FOLDS, HELD_OUT, CUTOFF = 4, 2, 0.3
@@ -78,16 +79,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
     """(doc_id, text, toxic): a bounded sample of labelled documents outside the held-out fold, by a hash of the id.
 
-    Several labels of a document count as toxic if one does; null labels are none. At most MAX_TRAIN_DOCS ids are
-    broadcast; of rows repeated under one id one is used.
+    Several labels of a document count as toxic if one does; null labels are none, and null texts are not taken. Whole
+    texts in hash order, until there are ``max_docs`` or they hold ``max_chars`` characters. At most ``max_docs`` ids
+    are broadcast, and as many lengths are summed up; of rows repeated under one id one is used.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN_DOCS).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
-    texts = docs.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return texts.groupBy("doc_id").agg(F.min(F.struct("text", "_toxic")).alias("x")).select("doc_id", "x.text", (F.col("x._toxic") > 0).alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    texts = written(texts.groupBy("doc_id").agg(F.min(F.struct("text", "_toxic")).alias("x")).select("doc_id", "x.text", (F.col("x._toxic") > 0).alias("toxic")), "toxic-sample")
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    inside = texts.select(F.col("doc_id").alias("_id"), F.coalesce(upto, F.lit(0)).alias("before")).where(F.col("before") < max_chars).select("_id")
+    return texts.join(F.broadcast(inside), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
 def screened(texts: DataFrame) -> list[str]:
@@ -114,41 +119,65 @@ def bags(text: str, vocab: dict[str, int]) -> list[list[int]]:
     return [[vocab[f] for w in sorted(set(found)) for f in features(w) if f in vocab] for s in SENTENCE.findall(text) if (found := WORD(s.lower()))]
 
 
-def fit(all_bags: list[list[list[int]]], toxic: list[bool], names: list[str], steps: int = 250, rate: float = 0.2, l2: float = 2e-5) -> Model:
+@dataclass
+class Bags:
+    """The sample as arrays: the features in order, the sentence of each, and the document of each sentence."""
+
+    word: np.ndarray
+    sentence: np.ndarray
+    document: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, np.ndarray, bool]]) -> Bags:
+        """rows: of each document its features in a row, how many each sentence has, and its label."""
+        sizes = [n for _, n, _ in rows]
+        per = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        word = np.concatenate([w for w, _, _ in rows]) if rows else np.zeros(0, np.int64)
+        return cls(word, np.repeat(np.arange(len(per)), per), np.repeat(np.arange(len(rows)), [len(n) for n in sizes]), np.array([t for _, _, t in rows], bool))
+
+    def likelihood(self, theta: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        """Mean negative log-likelihood of the labels under noisy-or, and its gradient; theta ends with the bias."""
+        n, n_sents = len(self.toxic), len(self.document)
+        z = np.bincount(self.sentence, theta[self.word], n_sents) + theta[-1]
+        s = 1 / (1 + np.exp(-z))
+        log_clean = -np.bincount(self.document, np.logaddexp(0, z), n)  # of prod(1 - score)
+        clean = np.exp(log_clean)
+        loss = -np.where(self.toxic, np.log(np.maximum(1 - clean, 1e-9)), log_clean).sum() / n + l2 / 2 * (theta[:-1] ** 2).sum()
+        g = s * np.where(self.toxic, -clean / np.maximum(1 - clean, 1e-9), 1.0)[self.document]
+        grad = np.append(np.bincount(self.word, g[self.sentence], len(theta) - 1) / n + l2 * theta[:-1], g.sum() / n)
+        return float(loss), grad
+
+
+def fit(bags: Bags, names: list[str], steps: int = 250, rate: float = 0.2, l2: float = 2e-5) -> Model:
     """Maximise the noisy-or likelihood by full-batch Adam from zero weights: no random numbers, so reruns agree."""
-    y = np.asarray(toxic, bool)
+    y = bags.toxic
     if not len(y) or y.all() or not y.any():
         return Model(0.0 if len(y) and y.all() else -12.0, {})
-    doc_of = np.repeat(np.arange(len(y)), [len(b) for b in all_bags])
-    flat = [s for b in all_bags for s in b]
-    sent = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    word = np.fromiter((i for s in flat for i in s), np.int64, len(sent))
-    n, theta = len(y), np.append(np.zeros(len(names)), -5.0)
+    theta = np.append(np.zeros(len(names)), -5.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = np.bincount(sent, theta[word], len(doc_of)) + theta[-1]
-        s = 1 / (1 + np.exp(-z))
-        clean = np.exp(-np.bincount(doc_of, np.logaddexp(0, z), n))  # prod(1 - score)
-        back = np.where(y, -clean / np.maximum(1 - clean, 1e-9), 1.0)
-        g = s * back[doc_of]
-        grad = np.append(np.bincount(word, g[sent], len(names)) / n + l2 * theta[:-1], g.sum() / n)
+        _, grad = bags.likelihood(theta, l2)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(float(theta[-1]), dict(zip(names, theta[:-1].tolist())))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the sample. Texts stay on the executors; the driver gets the sentences as numbers of known features."""
+    """Fit on the sample. Texts stay on the executors; the driver gets the numbers of the features that the model has,
+    two bytes each, of a sample that is bounded in documents and characters."""
     texts = written(sample(docs, labels), "toxic-sample")
     names = screened(texts)
     vocab = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def number(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "bags": [json.dumps(bags(t, vocab.value)) for t in batch["text"]]})
+            found = [bags(t, vocab.value) for t in batch["text"]]
+            flat = [np.fromiter(chain.from_iterable(b), np.uint16).tobytes() for b in found]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "flat": flat, "per": [np.fromiter(map(len, b), np.uint32).tobytes() for b in found]})
 
-    rows = texts.mapInPandas(number, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic boolean, bags string").orderBy("doc_id").collect()
-    return fit([json.loads(r.bags) for r in rows], [r.toxic for r in rows], names)
+    rows = texts.mapInPandas(number, f"doc_id {dict(texts.dtypes)['doc_id']}, toxic boolean, flat binary, per binary").orderBy("doc_id").toLocalIterator()
+    return fit(Bags.of([(np.frombuffer(r.flat, np.uint16), np.frombuffer(r.per, np.uint32), r.toxic) for r in rows]), names)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +206,11 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
 
 def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, sentence, score): the offending sentences, offsets in code points."""
+    """(doc_id, start, end, sentence, score): the offending sentences, offsets in code points.
+
+    Null and empty texts have none. Repeated rows each give theirs, with the doc_id they have, null too; an empty table
+    gives an empty result; other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -190,8 +223,12 @@ def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are not predicted toxic. Only texts go to Python and only scores
-    come back; the rows wait in the JVM."""
+    """The rows of ``docs``, with all their columns, that are not predicted toxic.
+
+    Null and blank texts score 0 and stay. Rows are judged each on its own text, so null or repeated doc_ids and
+    columns of any name make no difference; an empty table gives an empty result. Only texts go to Python and only
+    scores come back; the rows wait in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

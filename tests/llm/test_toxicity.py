@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from strandloom.llm import toxicity
@@ -56,3 +57,42 @@ def test_edges_and_reruns(spark, made):
     assert toxicity.scored(some.limit(0), model).count() == 0
     none = toxicity.train(docs, lab.limit(0))
     assert toxicity.scored(some, none).where("predicted = 1").count() == 0
+
+
+def test_likelihood_and_gradient_by_definition():
+    rng = np.random.default_rng(3)
+    docs = [[[int(w) for w in rng.integers(0, 5, rng.integers(0, 4))] for _ in range(rng.integers(0, 4))] for _ in range(12)]
+    toxic = [bool(t) for t in rng.integers(0, 2, 12)]
+    made = toxicity.Bags.of([(np.array([w for s in d for w in s], np.uint16), np.array([len(s) for s in d], np.uint32), t) for d, t in zip(docs, toxic)])
+
+    def by_definition(theta):
+        loss = 0.0
+        for d, t in zip(docs, toxic):
+            clean = np.prod([1 - 1 / (1 + np.exp(-(theta[-1] + sum(theta[w] for w in s)))) for s in d])
+            loss -= np.log(max(1 - clean, 1e-9)) if t else np.log(clean)
+        return loss / 12 + 0.05 / 2 * (theta[:-1] ** 2).sum()
+
+    theta = rng.normal(size=6)
+    loss, grad = made.likelihood(theta, 0.05)
+    assert loss == pytest.approx(by_definition(theta))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        assert grad[k] == pytest.approx((by_definition(theta + step) - by_definition(theta - step)) / 2e-6, abs=1e-6)
+
+
+def test_score_by_definition():
+    model = toxicity.Model(-1.0, {"bad": 2.0, "badl*": 0.5, "fine": -1.0, "fine*": 0.25})
+    text = "Bad fine. badly! nothing here\n\n...finer bad bad"
+    each = [-1 + 2 - 1, -1 + 0.5, -1, -1 + 0.25 + 2]
+    p = [1 / (1 + np.exp(-z)) for z in each]
+    assert [s for _, _, s in model.sentences(text)] == pytest.approx(p)
+    assert model.score(text)[0] == pytest.approx(1 - np.prod([1 - x for x in p]))
+
+
+def test_sample_is_bounded_and_takes_texts_of_any_length(spark, made):
+    docs, lab, rows, _ = made
+    every = {r.doc_id: len(r.text) for r in toxicity.sample(docs, lab).collect()}
+    assert set(every) == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    some = {r.doc_id: len(r.text) for r in toxicity.sample(docs, lab, max_chars=5000).collect()}
+    assert set(some) < set(every) and sum(some.values()) >= 5000 > sum(some.values()) - max(some.values())
+    assert toxicity.sample(docs, lab, max_docs=9).count() == 9
