@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import boxed
 from strandloom.llm.registry_base import register
 from strandloom.session import table
 
@@ -194,9 +195,9 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kee
     (by default the installed package's own). Texts are sent to tasks in Arrow batches.
     """
     keep = keep or ["doc_id"]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keep), "n_tokens long", *(["ids array<int>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
-    rows = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    k, kind = boxed(docs, *keep)
+    schema = ", ".join([kind, "n_tokens long", *(["ids array<int>"] if with_ids else []), "ids_sha256 string", "decoded_sha256 string"])
+    rows = docs.select(k, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches):
         bpe = tokenizer(path or default_vocabulary())
@@ -204,7 +205,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kee
             block = (batch["text"].str.len().cumsum() // BLOCK_CHARS).to_numpy()
             for _, part in batch.groupby(block, sort=False):
                 all_ids = bpe.encode_batch(part["text"].tolist())
-                out = pd.DataFrame({k: part[f"k{i}"].values for i, k in enumerate(keep)})
+                out = pd.DataFrame({"k": part["k"].values})
                 out["n_tokens"] = [len(x) for x in all_ids]
                 if with_ids:
                     out["ids"] = all_ids
@@ -213,7 +214,8 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", kee
                 yield out
         bpe.known.clear()  # an idle worker keeps the vocabulary only
 
-    return rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(run, schema)
+    return out.select(*[F.col(f"k.k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[1:])
 
 
 @register("op10_bpe_round_trip")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.components import components
 
-__all__ = ["SPACE", "components", "join_skewed", "row_key", "words"]
+__all__ = ["SPACE", "boxed", "components", "join_skewed", "row_key", "words"]
 
 #: White space of all contracts: space and the five ASCII control blanks.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,6 +18,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def boxed(docs: DataFrame, *columns: str) -> tuple[Column, str]:
+    """The columns as one struct ``k`` with fields k0, k1, ..., and its type: whole numbers of a struct reach pandas as
+    they are, where those of a column with nulls become floats and lose digits."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    fields = ", ".join(f"k{i}: {kinds[c]}" for i, c in enumerate(columns))
+    return F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]).alias("k"), f"k struct<{fields}>"
+
+
 def row_key(*columns: str) -> Column:
     """128 bits of the columns' values, as a struct of two longs: rows with equal values share it, others do not."""
     cols = [F.col(f"`{c}`") for c in columns]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import boxed
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
@@ -65,13 +66,13 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys.view(np.int64)], "tokens": [np.concatenate(tokens).tobytes() if tokens else b""]})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
+            for k, text in zip(batch["k"], batch["text"]):
                 if ids and held + len(text or "") > block_chars:
                     yield row()
                     made += 1
                     ids, lens, own, tokens, held = [], [], {}, [], 0
                 seq = np.fromiter((own.setdefault(w, len(own)) for w in words(text)), np.int32)
-                ids.append(doc_id)
+                ids.append(k["k0"])
                 lens.append(len(seq))
                 tokens.append(seq)
                 held += len(text or "")
@@ -79,7 +80,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             yield row()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"block long, doc_ids array<{kind}>, lens array<int>, words array<long>, tokens binary")
+    return docs.select(boxed(docs, "doc_id")[0], "text").mapInPandas(run, f"block long, doc_ids array<{kind}>, lens array<int>, words array<long>, tokens binary")
 
 
 class Block:

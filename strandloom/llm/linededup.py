@@ -12,7 +12,7 @@ the first line goes too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import join_skewed, row_key
@@ -28,52 +28,56 @@ VARIABLE = r"(?<![^\x20\x09-\x0D])[^0-9\x20\x09-\x0D]*+[0-9][^\x20\x09-\x0D]*+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def key_columns(name: str) -> list[Column]:
+    """The two halves of a row's key by doc_id and text."""
+    key = row_key("doc_id", "text")
+    return [key["a"].alias(f"{name}a"), key["b"].alias(f"{name}b")]
+
+
 def parsed(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, line, leaf, tmpl, fields) of every line with enough tokens; only hashes leave the text.
+    """(ra, rb, doc_id, line, leaf, ta, tb, fields) of every line with enough tokens; only hashes leave the text.
 
-    rid says which document: repeated rows are one, two texts under one id are two. rid and tmpl have 128 bits. Lines
+    ra and rb say which document: repeated rows are one, two texts under one id are two. ta and tb are the exact
+    template. Each have 128 bits, in plain columns, which sort and hash without objects. Lines
     are cut into tokens inside the generator: its output is computed once, where a filter on a column computed after
     it would be pushed down and compute it again.
     """
     masked = lambda s: F.when(s.rlike("[0-9]"), F.regexp_replace(s, VARIABLE, "<*>")).otherwise(s)
     tokens = F.transform(F.split("text", "\n"), lambda s: F.split(F.btrim(masked(s), F.lit(" \t\n\x0b\x0c\r")), BLANKS))
-    lines = docs.where("text IS NOT NULL").select(row_key("doc_id", "text").alias("rid"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
+    lines = docs.where("text IS NOT NULL").select(*key_columns("r"), "doc_id", F.posexplode(tokens).alias("line", "t")).where(F.size("t") >= MIN_TOKENS)
     n = F.size("t")
     size = F.when(n < FIELD_TOKENS, n).otherwise(FIELDS)
     start = lambda k: F.floor(k * n / size).cast("int")
     fields = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.xxhash64(F.slice("t", start(k) + 1, start(k + 1) - start(k))))
-    tmpl = F.struct(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"))
-    return lines.select("rid", "doc_id", "line", F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), tmpl.alias("tmpl"), fields.alias("fields"))
+    return lines.select("ra", "rb", "doc_id", "line", F.xxhash64(n, F.slice("t", 1, LEAD)).alias("leaf"), F.xxhash64("t").alias("ta"), F.xxhash64(F.lit(1), "t").alias("tb"), fields.alias("fields"))
 
 
 def dropped_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
-    """(rid, line): the lines to drop.
+    """(ra, rb, line): the lines to drop.
 
     Fields are compared among exact templates, a row each however often they occur, so what generalises depends on
     which values there are and not on how many documents have each. Keys that many rows share (a template, a field or
     a generalised template) are combined before each shuffle and joined back by ``join_skewed``.
     """
     lines = written(parsed(docs), "lines")
-    first = F.min(F.struct("doc_id", "rid", "line")).alias("first")
+    first = F.min(F.struct("doc_id", "ra", "rb", "line")).alias("first")
     in_two = [F.min("a").alias("a"), F.max("b").alias("b")]
-    templates = lines.groupBy("tmpl").agg(first, F.min("rid.a").alias("a"), F.max("rid.a").alias("b"), F.count("*").alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields"))
+    templates = lines.groupBy("ta", "tb").agg(first, F.min("ra").alias("a"), F.max("ra").alias("b"), F.count("*").alias("n"), F.any_value("leaf").alias("leaf"), F.any_value("fields").alias("fields"))
     templates = written(templates, "templates")
     leaves = written(templates.groupBy("leaf").agg(F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").select("leaf", "_n"), "leaves")
-    crowded = written(join_skewed(templates, leaves, ["leaf"]), "crowded")
-    cells = crowded.select("tmpl", "leaf", "a", "b", F.size("fields").alias("size"), F.posexplode("fields").alias("k", "h"))
+    crowded = written(join_skewed(templates.select("ta", "tb", "leaf", "a", "b", "fields"), leaves, ["leaf"]), "crowded")
+    cells = crowded.select("ta", "tb", "leaf", "a", "b", F.size("fields").alias("size"), F.posexplode("fields").alias("k", "h"))
     constant = written(cells.groupBy("leaf", "k", "h").agg(F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").select("leaf", "k", "h", "_n"), "constant")
     kept = join_skewed(cells.drop("a", "b"), constant, ["leaf", "k", "h"])
-    sig = F.struct(F.bit_xor(F.xxhash64("k", "h")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "k", "h")).alias("b")).alias("sig")
-    signed = kept.groupBy("tmpl").agg(F.count("*").alias("n_same"), F.any_value("size").alias("size"), sig).where(F.col("n_same") * FIELDS >= F.col("size") * LEAST_CONSTANT).select("tmpl", "sig")
-    general = written(crowded.join(signed, "tmpl").select("tmpl", "leaf", "sig", "first", "a", "b"), "general")
-    groups = written(general.groupBy("leaf", "sig").agg(F.min("first").alias("head"), F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").drop("a", "b"), "groups")
-    grouped = join_skewed(general.select("tmpl", "leaf", "sig"), groups, ["leaf", "sig"]).select("tmpl", "head")
-    heads = templates.select("tmpl", "first", "a", "b", "n").join(grouped, "tmpl", "left").where("head IS NOT NULL OR a <> b")
-    heads = written(heads.select("tmpl", F.coalesce("head", "first").alias("first"), F.col("n").alias("_n")), "heads")
-    met = join_skewed(lines.select("rid", "line", "tmpl"), heads, ["tmpl"])
-    if keep_first:
-        met = met.where((F.col("rid") != F.col("first.rid")) | (F.col("line") != F.col("first.line")))
-    return met.select("rid", "line")
+    signed = kept.groupBy("ta", "tb").agg(F.count("*").alias("same"), F.max("size").alias("size"), F.max("leaf").alias("leaf"), F.bit_xor(F.xxhash64("k", "h")).alias("sa"), F.bit_xor(F.xxhash64(F.lit(1), "k", "h")).alias("sb")).where(F.col("same") * FIELDS >= F.col("size") * LEAST_CONSTANT)
+    general = written(templates.select("ta", "tb", "first", "a", "b").join(signed.select("ta", "tb", "leaf", "sa", "sb"), ["ta", "tb"]), "general")
+    groups = written(general.groupBy("leaf", "sa", "sb").agg(F.min("first").alias("head"), F.count("*").alias("_n"), *in_two).where("_n > 1 AND a <> b").drop("a", "b"), "groups")
+    grouped = join_skewed(general.select("ta", "tb", "leaf", "sa", "sb"), groups, ["leaf", "sa", "sb"]).select("ta", "tb", "head")
+    heads = templates.select("ta", "tb", "first", "a", "b", "n").join(grouped, ["ta", "tb"], "left").where("head IS NOT NULL OR a <> b")
+    head = F.coalesce("head", "first")
+    heads = written(heads.select("ta", "tb", head["ra"].alias("fa"), head["rb"].alias("fb"), head["line"].alias("fl"), F.col("n").alias("_n")), "heads")
+    met = join_skewed(lines.select("ra", "rb", "line", "ta", "tb"), heads, ["ta", "tb"])
+    return (met.where("ra <> fa OR rb <> fb OR line <> fl") if keep_first else met).select("ra", "rb", "line")
 
 
 def deduplicated(docs: DataFrame, keep_first: bool = True) -> DataFrame:
@@ -84,10 +88,10 @@ def deduplicated(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     are told apart by their texts. Ties between equal lines go to the smaller doc_id, null before all. An empty table
     gives an empty result. Columns of any name may be there; only n_lines_ and n_dropped_ would come twice.
     """
-    gone = dropped_lines(docs, keep_first).groupBy("rid").agg(F.collect_set("line").alias("gone"))
-    boxed = docs.select(row_key("doc_id", "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    gone = dropped_lines(docs, keep_first).groupBy("ra", "rb").agg(F.collect_set("line").alias("gone"))
+    boxed = docs.select(*key_columns("r"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # most texts lose nothing and are not cut again
-    cut = boxed.join(gone, "rid", "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
+    cut = boxed.join(gone, ["ra", "rb"], "left").withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
     n_lines = F.coalesce(F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import boxed
 from strandloom.llm.registry_base import register
 from strandloom.session import table
 
@@ -370,10 +371,12 @@ def found(docs: DataFrame) -> DataFrame:
                 n = [sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))]
                 rows.append((*n, hashlib.sha256(spelled(base).encode()).hexdigest(), spelled(base + more), len(more)))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(0, "k", batch["k"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    k, kind = boxed(docs, "doc_id")
+    out = docs.select(k, "text").mapInPandas(run, f"{kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return out.select(F.col("k.k0").alias("doc_id"), *out.columns[1:])
 
 
 @register("op1_pii_semi_crf")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.blocks import cut_hot, forest, in_groups
-from strandloom.llm.common import components, row_key
+from strandloom.llm.common import boxed, components, row_key
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
@@ -47,13 +47,14 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, keep: str = "doc_id") -> DataFrame:
     """(``keep``, fp): the fingerprint of the text of every row of ``docs`` as a signed long."""
+    k, kind = boxed(docs, keep)
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({keep: batch[keep], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"k": batch["k"], "fp": fps.view(np.int64)})
 
-    return docs.select(keep, "text").mapInPandas(run, f"{keep} {docs.schema[keep].dataType.simpleString()}, fp long")
+    return docs.select(k, "text").mapInPandas(run, f"{kind}, fp long").select(F.col("k.k0").alias(keep), "fp")
 
 
 def links(distinct: DataFrame) -> DataFrame:

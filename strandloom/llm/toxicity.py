@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import boxed
 from strandloom.llm.registry_base import register
 from strandloom.session import table, written
 
@@ -187,22 +188,23 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     gives an empty result. The model has at most MAX_WORDS words and goes to tasks as a broadcast variable.
     """
     keep = keep or ["doc_id"]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", score double, predicted int, n_offending int, worst_start int, worst_end int"
+    k, kind = boxed(docs, *keep)
+    schema = kind + ", score double, predicted int, n_offending int, worst_start int, worst_end int"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
             rows = [m.score(t) for t in batch["text_"]]
-            out = pd.DataFrame({k: batch[f"k{i}"] for i, k in enumerate(keep)})
+            out = pd.DataFrame({"k": batch["k"]})
             for i, name in enumerate(("score", "n_offending", "worst_start", "worst_end")):
                 out[name] = [r[i] for r in rows]
             out["predicted"] = (out["score"] >= CUTOFF).astype("int32")
-            yield out[[*keep, "score", "predicted", "n_offending", "worst_start", "worst_end"]]
+            yield out[["k", "score", "predicted", "n_offending", "worst_start", "worst_end"]]
         m.memo.clear()
 
-    return docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("text_")).mapInPandas(run, schema)
+    out = docs.select(k, F.col("text").alias("text_")).mapInPandas(run, schema)
+    return out.select(*[F.col(f"k.k{i}").alias(c) for i, c in enumerate(keep)], *out.columns[1:])
 
 
 def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -216,10 +218,11 @@ def located(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            rows = [(d, a, b, t[a:b], s) for d, t in zip(batch["doc_id"], batch["text"]) if t for a, b, s in m.sentences(t) if s >= least]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "sentence", "score"])
+            rows = [(k, a, b, t[a:b], s) for k, t in zip(batch["k"], batch["text"]) if t for a, b, s in m.sentences(t) if s >= least]
+            yield pd.DataFrame(rows, columns=["k", "start", "end", "sentence", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start int, end int, sentence string, score double")
+    k, kind = boxed(docs, "doc_id")
+    return docs.select(k, "text").mapInPandas(run, f"{kind}, start int, end int, sentence string, score double").select(F.col("k.k0").alias("doc_id"), "start", "end", "sentence", "score")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:

@@ -43,12 +43,12 @@ def test_repeated_rows_and_empty(spark):
 
 def test_null_ids_two_texts_and_clashing_names(spark):
     rows = [(None, "a line that all of these have\nmine alone is this one", "m"), (None, "a line that all of these have\nand this is another", "m"), (7, "a line that all of these have", None), (7, "seven has this text as well", "k")]
-    docs = spark.createDataFrame([(*r, r[2], r[2], 1, 2) for r in rows], "doc_id long, text string, _key string, rid string, gone string, _n int, parts int")
+    docs = spark.createDataFrame([(*r, r[2], r[2], 1, 2) for r in rows], "doc_id long, text string, _key string, ra string, gone string, _n int, parts int")
     got = linededup.deduplicated(docs).collect()
     # of the null ids the lesser key has the first line; names of the operator's own columns are as they were
     texts = sorted(r.text for r in got)
     assert texts.count("") == 1 and sum(t.count("a line that all") for t in texts) == 1 and "seven has this text as well" in texts
-    assert sorted((r._key or "", r.rid or "", r.gone or "", r._n, r.parts) for r in got) == sorted((r[2] or "", r[2] or "", r[2] or "", 1, 2) for r in rows)
+    assert sorted((r._key or "", r.ra or "", r.gone or "", r._n, r.parts) for r in got) == sorted((r[2] or "", r[2] or "", r[2] or "", 1, 2) for r in rows)
 
 
 def whole(spark, rows, **how):

@@ -48,3 +48,30 @@ def test_stages(spark):
 def test_run_gives_the_same_rows_again(spark):
     a, b = (Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert a == b and sum(a.values()) > 0
+
+
+def odd_rows(spark):
+    long = "word by word it goes on " * 20_000
+    rows = [(1, None, None, None, None), (None, "", "en", "a", 0), (None, "a text without any id that is here", "en", "a", 34), (2, long, "de", None, len(long)), (2, "two texts share this very id", "de", "b", 28), (3, "the same row is there twice", "en", "b", 27), (3, "the same row is there twice", "en", "b", 27), (None, None, None, None, None)]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, `a.b` int, _id int, score double"
+    return spark.createDataFrame([(*r, "k", 1, 2, 3, 0.5) for r in rows], extra)
+
+
+def test_odd_rows_in_every_stage(spark):
+    docs, stages = odd_rows(spark), dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    every, alone = seen(docs), sorted(set(seen(docs)), key=str)
+    for name in ("toxicity", "line_dedup", "simhash_near_dedup", "mix_sources"):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where("key = 'k' AND row = 1 AND `a.b` = 2 AND _id = 3 AND score = 0.5").count() == out.count()
+        if name in ("toxicity", "line_dedup"):  # clean, and no line recurs across documents
+            assert seen(out) == every, name
+        elif name == "simhash_near_dedup":  # null and blank are one group, whose first has an id
+            assert seen(out) == [r for r in alone if r not in ((None, ""), (None, None))]
+        else:
+            assert set(seen(out)) <= set(every) and max(Counter(seen(out)).values()) <= 6
+    out = stages["bpe"](spark, docs, SF).collect()
+    assert len(out) == len(every) and [len(r.ids) for r in out if r.doc_id == 1] == [0]
