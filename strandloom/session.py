@@ -4,29 +4,58 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where the tables of ``written`` lie.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset, a temporary one is set if the driver
+    and the executors are one process on one machine (tests); on a cluster that would lose data, so it is an error."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="spark-strandloom-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
-    return folder
+    return f"{folder}/strandloom-{sc.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    It stays until ``discard`` or ``clear``, as results that are read later depend on it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` on which nothing depends that is still to be computed."""
+    for df in tables:
+        if df in _paths:
+            _delete(df.sparkSession, _paths.pop(df))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that ``written`` left behind in this application, once the results are stored."""
+    _delete(spark, shared_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

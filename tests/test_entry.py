@@ -25,3 +25,24 @@ def test_works_without_the_llm_folder(tmp_path):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["doc_id", "frame", "start", "stop", "len"]
+
+
+def test_a_broken_operator_shows(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    (copy / "strandloom" / "llm").mkdir()
+    (copy / "strandloom" / "llm" / "__init__.py").write_text("")
+    (copy / "strandloom" / "llm" / "registry.py").write_text("from strandloom.llm import a_module_that_is_gone\n")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert said.returncode != 0
+
+
+def test_scratch_tables_go(spark):
+    import glob
+
+    from strandloom.session import discard, shared_folder, written
+
+    kept, gone = (written(spark.range(10), n) for n in ("kept", "gone"))
+    folder = shared_folder(spark).removeprefix("file:")
+    discard(gone, spark.range(3))
+    assert glob.glob(f"{folder}/kept-*") and not glob.glob(f"{folder}/gone-*") and kept.count() == 10
