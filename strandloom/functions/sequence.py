@@ -73,7 +73,14 @@ def partial_masks(mask: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """All overlapping k-mers of a string as an array."""
+    """All overlapping k-mers of a string as an array, in one pass of a look-ahead pattern.
+
+    The pattern steps by UTF-16 units, so texts with characters beyond these are cut into characters instead."""
+    fast = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), 1)
+    return F.when(seq.rlike(r"[\x{10000}-\x{10FFFF}]"), _kmers_of_characters(seq, k)).otherwise(fast)
+
+
+def _kmers_of_characters(seq: Column, k: int) -> Column:
     at = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1)).otherwise(F.array().cast("array<int>"))
     return let(F.split(seq, ""), lambda chars: F.transform(at, lambda i: F.array_join(F.slice(chars, i, F.lit(k)), "")))
 

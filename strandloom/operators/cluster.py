@@ -33,7 +33,8 @@ def centroid_pairs(items: DataFrame, nodes: DataFrame, len_cutoff: float = 0.98,
     right = sized.select(F.col("item").alias("member"), F.col("seq").alias("ms"), F.col("len").alias("ml"))
     near = pairs.join(left, "centroid").join(right, "member").where(F.least("cl", "ml") >= len_cutoff * F.greatest("cl", "ml"))
     allowed = F.floor((1 - id_cutoff) * F.greatest("cl", "ml") + 1e-9).cast("int")
-    within = near.withColumn("d", F.levenshtein("cs", "ms")).where(F.col("d") <= allowed)
+    # the threshold is a column of its own, as the alignment stops there and gives -1
+    within = near.withColumn("allowed", allowed).withColumn("d", F.expr("levenshtein(cs, ms, allowed)")).where("d >= 0")
     return within.select("centroid", "member", (1 - F.col("d") / F.greatest("cl", "ml")).alias("identity"))
 
 

@@ -36,18 +36,24 @@ def split_paralogs(members: DataFrame) -> DataFrame:
 def structural_variants(edges: DataFrame, min_support: int = 2, min_degree: int = 3) -> DataFrame:
     """(node, left, right, n_genomes), left < right: pairs of edges at a branching node that enough genomes share.
 
-    Edges of too few genomes cannot be part of one and leave before the join.
+    Edges of too few genomes cannot be part of one and leave first. Edges are paired through the genomes they share: in
+    one genome a node has a few neighbours, where a hub of d neighbours would have d * d / 2 pairs. ``edges`` is read
+    twice, so it should be a written table.
     """
     half = edges.select(F.col("u").alias("node"), F.col("v").alias("nbr"), "genomes").unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("nbr"), "genomes"))
     branching = half.groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") >= min_degree).select("node")
     able = half.where(F.size("genomes") >= min_support).join(branching, "node", "left_semi")
-    other = able.select(F.col("node").alias("n2"), F.col("nbr").alias("right"), F.col("genomes").alias("g2"))
-    both = able.withColumnRenamed("nbr", "left").join(other, (F.col("node") == F.col("n2")) & (F.col("left") < F.col("right")))
-    return both.withColumn("n_genomes", F.size(F.array_intersect("genomes", "g2"))).where(F.col("n_genomes") >= min_support).select("node", "left", "right", "n_genomes")
+    each = able.select("node", "nbr", F.explode("genomes").alias("genome"))
+    listed = each.groupBy("node", "genome").agg(F.sort_array(F.collect_list("nbr")).alias("n")).where(F.size("n") > 1)
+    pairs = listed.select("node", F.col("n"), F.posexplode("n").alias("i", "left")).select("node", "left", F.explode(F.slice("n", F.col("i") + 2, F.size("n") - F.col("i") - 1)).alias("right"))
+    return pairs.groupBy("node", "left", "right").agg(F.count("*").cast("int").alias("n_genomes")).where(F.col("n_genomes") >= min_support)
 
 
 def trim_ends(nodes: DataFrame, edges: DataFrame, min_support: int, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Drop nodes (node, size) of degree at most one and size below the support, up to ``rounds`` times."""
+    """Drop nodes (node, size) of degree at most one and size below the support, up to ``rounds`` times.
+
+    Both tables are written before the rounds, which read them several times."""
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     for _ in range(rounds):
         weak = nodes.join(degrees(edges), "node", "left").where((F.coalesce("degree", F.lit(0)) <= 1) & (F.col("size") < min_support)).select("node")
         weak = written(weak, "weak")

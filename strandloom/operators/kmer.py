@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import canonical, kmers
+from strandloom.session import written
+
+#: Query k-mers that may be sent to all tasks, 16 bytes each.
+BROADCAST_KMERS = 2_000_000
 
 
 def kmer_table(seqs: DataFrame, id_col: str, seq_col: str, k: int, both_strands: bool = False) -> DataFrame:
@@ -23,12 +27,15 @@ def genome_counts(rows: DataFrame, genome: str, kmer: str) -> DataFrame:
 def search(queries: DataFrame, targets: DataFrame, k: int, least: float) -> DataFrame:
     """(query_id, id, n_kmers, matched): targets with at least the share ``least`` of a query's distinct k-mers.
 
-    queries (query_id, seq), targets (id, seq). Both sides join on distinct k-mers, so a repeated one counts once.
+    queries (query_id, seq), targets (id, seq). Both sides join on hashes of distinct k-mers, so a repeated one counts
+    once. The queries' are written and, if they are few, broadcast: then a target's k-mer becomes a row that is shuffled
+    only if some query has it. Otherwise both sides are shuffled by k-mer.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer"))
+    hashed = lambda seq: F.explode(F.array_distinct(F.transform(kmers(seq, k), lambda x: F.xxhash64(x))))
+    q = written(queries.select("query_id", hashed(F.col("seq")).alias("kmer")), "query-kmers")
     totals = q.groupBy("query_id").agg(F.count("*").alias("n_kmers"))
-    t = targets.select("id", F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("_kmer"))
-    hits = t.join(q, F.col("kmer") == F.col("_kmer")).groupBy("query_id", "id").agg(F.count("*").alias("matched"))
+    t = targets.select("id", hashed(F.col("seq")).alias("_kmer"))
+    hits = t.join(F.broadcast(q) if q.count() <= BROADCAST_KMERS else q, F.col("kmer") == F.col("_kmer")).groupBy("query_id", "id").agg(F.count("*").alias("matched"))
     return hits.join(totals, "query_id").where(F.col("matched") >= F.col("n_kmers") * least).select("query_id", "id", "n_kmers", "matched")
 
 

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import written
+
 #: The classes of genes by the share of genomes that have them.
 CLASSES = (("core", 0.99), ("soft_core", 0.95), ("shell", 0.15), ("cloud", 0.0))
+#: The IUPAC nucleotide codes, a bit a base.
+IUPAC = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7}
 
 
 def presence(rows: DataFrame, genome: str, gene: str) -> DataFrame:
@@ -48,43 +53,86 @@ def core_genes(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
     return gene_sizes(pairs).where(F.col("n_genomes") >= threshold * n)
 
 
+#: Items of a block; two blocks are compared in one task.
+BLOCK = 256
+
+
+def block_pairs(rows: DataFrame, id_col: str, n: int, block: int = BLOCK) -> DataFrame:
+    """``rows`` with _i <= _j and _b, one of them: each row in a group with every block of items, so that all pairs
+    meet once. ``n`` is how many there are. A matrix of n by n has n * n / 2 rows whatever is done; what a task holds
+    is two blocks."""
+    m = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: F.struct(F.least(k, F.col("_b")).alias("i"), F.greatest(k, F.col("_b")).alias("j")))
+    return rows.withColumn("_b", own).withColumn("_p", F.explode(pair)).select(*rows.columns, "_b", F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"))
+
+
+def _compared(pdf: pd.DataFrame, distance: np.ndarray, id_col: str) -> pd.DataFrame:
+    """(a, b, distance), a < b, of a group of two blocks: pairs within a block only where it meets itself."""
+    ids, own = pdf[id_col].to_numpy(), pdf["_b"].to_numpy()
+    i, j = np.triu_indices(len(ids), 1)
+    if pdf["_i"].iloc[0] != pdf["_j"].iloc[0]:
+        i, j = i[(c := own[i] != own[j])], j[c]
+    swap = ids[i] > ids[j]
+    return pd.DataFrame({"a": np.where(swap, ids[j], ids[i]), "b": np.where(swap, ids[i], ids[j]), "distance": distance[i, j].astype(np.int64)})
+
+
 def gene_distances(pairs: DataFrame) -> DataFrame:
     """(a, b, distance), a < b: genes in which two genomes differ, |A| + |B| - 2 |A and B|.
 
-    Each gene's genomes are one array, so a gene yields pairs of genomes in its own row and partial sums combine
-    before the shuffle; rows out are pairs of genomes, which a distance matrix has anyway.
+    Genomes are compared block by block as rows of a 0/1 matrix of the genes that any of the two blocks has.
     """
-    sizes = pairs.groupBy("genome").agg(F.count("*").alias("n"))
-    sets = pairs.groupBy("gene").agg(F.sort_array(F.collect_set("genome")).alias("g"))
-    each = sets.select("g", F.posexplode("g").alias("i", "a")).select("a", F.explode(F.slice("g", F.col("i") + 2, F.greatest(F.size("g") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    shared = each.groupBy("a", "b").agg(F.count("*").alias("both"))
-    left, right = sizes.select(F.col("genome").alias("a"), F.col("n").alias("na")), sizes.select(F.col("genome").alias("b"), F.col("n").alias("nb"))
-    all_pairs = left.join(right, F.col("a") < F.col("b"))
-    return all_pairs.join(shared, ["a", "b"], "left").select("a", "b", (F.col("na") + F.col("nb") - 2 * F.coalesce("both", F.lit(0))).alias("distance"))
+    kind = dict(pairs.dtypes)["genome"]
+    sets = pairs.select("genome", F.xxhash64("gene").alias("g")).groupBy("genome").agg(F.collect_set("g").alias("genes"))
+    n = n_genomes(pairs)
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, column = np.unique(np.concatenate(pdf["genes"].tolist()), return_inverse=True)
+        size = pdf["genes"].map(len).to_numpy()
+        has = np.zeros((len(pdf), int(column.max()) + 1), np.float32)
+        has[np.repeat(np.arange(len(pdf)), size), column] = 1
+        return _compared(pdf, size[:, None] + size[None, :] - 2 * np.rint(has @ has.T).astype(np.int64), "genome")
+
+    return block_pairs(sets, "genome", n).groupBy("_i", "_j").applyInPandas(compare, f"a {kind}, b {kind}, distance long")
 
 
 def base_mask(base: Column) -> Column:
     """Four bits of the bases an IUPAC letter stands for; anything else, gaps too, stands for all."""
-    # The IUPAC nucleotide codes.
-    codes = {"A": 1, "C": 2, "G": 4, "T": 8, "U": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7}
     out = F.lit(15)
-    for letter, bits in codes.items():
+    for letter, bits in IUPAC.items():
         out = F.when(F.upper(base) == letter, bits).otherwise(out)
     return out
 
 
 def snp_distances(aligned: DataFrame) -> DataFrame:
-    """(a, b, distance), a < b, from (id, seq): sites at which two aligned sequences share no base."""
-    sites = aligned.select("id", F.posexplode(F.split("seq", "")).alias("site", "base")).where("base <> ''").select("id", "site", base_mask(F.col("base")).alias("mask"))
-    # sequences with the same mask at a site are one group there: a site has fifteen groups at most
-    groups = sites.groupBy("site", "mask").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    other = groups.select(F.col("site").alias("s2"), F.col("mask").alias("m2"), F.col("ids").alias("ids2"))
-    apart = groups.join(other, (F.col("site") == F.col("s2")) & (F.col("mask") < F.col("m2")) & (F.col("mask").bitwiseAND(F.col("m2")) == 0))
-    each = apart.select(F.explode("ids").alias("x"), "ids2").select("x", F.explode("ids2").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    counts = each.groupBy("a", "b").agg(F.count("*").alias("n"))
-    ids = aligned.select("id").distinct()
-    both = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    return both.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("distance"))
+    """(a, b, distance), a < b, from (id, seq): sites at which two aligned sequences share no base.
+
+    Sites past the end of the shorter one do not count. Sequences are packed into a bit a base and site and compared
+    block by block, so no site becomes a row. Rows of one id after the first are not compared.
+    """
+    kind = dict(aligned.dtypes)["id"]
+    one = aligned.where(F.col("seq").isNotNull()).groupBy("id").agg(F.min("seq").alias("seq"))
+    bits = np.full(256, 15, np.uint8)
+    for letter, mask in IUPAC.items():
+        bits[[ord(letter), ord(letter.lower())]] = mask
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        length = pdf["seq"].str.len().to_numpy()
+        width = int(length.max()) if len(pdf) else 0
+        masks = np.zeros((len(pdf), width), np.uint8)
+        for k, s in enumerate(pdf["seq"]):
+            masks[k, : length[k]] = bits[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
+        packed = [np.packbits((masks >> b) & 1, axis=1) for b in range(4)]
+        packed = [np.pad(p, ((0, 0), (0, -p.shape[1] % 8))).view(np.uint64) for p in packed]
+        shared = np.zeros((len(pdf), len(pdf)), np.int64)
+        for k in range(len(pdf)):
+            alike = packed[0][k] & packed[0]
+            for p in packed[1:]:
+                alike |= p[k] & p
+            shared[k] = np.bitwise_count(alike).sum(axis=1)
+        return _compared(pdf, np.minimum(length[:, None], length[None, :]) - shared, "id")
+
+    return block_pairs(one, "id", one.count()).groupBy("_i", "_j").applyInPandas(compare, f"a {kind}, b {kind}, distance long")
 
 
 def rarefaction(pairs: DataFrame, permutations: int = 50, seed: str = "rarefaction") -> DataFrame:
@@ -92,10 +140,14 @@ def rarefaction(pairs: DataFrame, permutations: int = 50, seed: str = "rarefacti
 
     The order of genomes is a hash, so reruns agree. A gene is met at the least step of its genomes.
     """
+    pairs = written(pairs, "pairs")
     orders = pairs.select("genome").distinct().withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     by = Window.partitionBy("permutation").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("permutation").cast("string"), F.col("genome").cast("string"))), "genome")
-    steps = orders.withColumn("step", F.row_number().over(by))
-    met = pairs.join(steps, "genome").groupBy("permutation", "gene").agg(F.min("step").alias("step")).groupBy("permutation", "step").agg(F.count("*").alias("new_genes"))
+    steps = written(orders.withColumn("step", F.row_number().over(by)), "steps")
+    # a genome carries its step in every permutation, and a gene the least of its genomes': no row a permutation
+    wide = steps.groupBy("genome").agg(F.transform(F.array_sort(F.collect_list(F.struct("permutation", "step"))), lambda x: x["step"]).alias("s"))
+    least = pairs.join(wide, "genome").groupBy("gene").agg(*[F.min(F.get("s", F.lit(k))).alias(f"p{k}") for k in range(permutations)])
+    met = least.select(F.posexplode(F.array(*[f"p{k}" for k in range(permutations)])).alias("k", "step")).groupBy((F.col("k") + 1).alias("permutation"), "step").agg(F.count("*").alias("new_genes"))
     every = steps.select("permutation", "step").join(met, ["permutation", "step"], "left").withColumn("new_genes", F.coalesce("new_genes", F.lit(0)))
     return every.withColumn("total", F.sum("new_genes").over(Window.partitionBy("permutation").orderBy("step")))
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import START_CODONS, STOP_CODONS
+from strandloom.functions.sequence import START_CODONS, STOP_CODONS, reverse_complement
 
 
-def orf_pairs(seqs: DataFrame, id_col: str, seq_col: str, min_len: int = 90, starts=START_CODONS, stops=STOP_CODONS) -> DataFrame:
+def orf_pairs(seqs: DataFrame, id_col: str, seq_col: str, min_len: int = 90, starts=START_CODONS, stops=STOP_CODONS, with_dna: bool = False) -> DataFrame:
     """Every start codon with the next stop codon in its frame, forward strand.
 
     A frame is written as one letter per codon (S start, n other) and ``,<position>;`` for a stop, then cut at ``;``:
     each piece that has a comma ends at the stop of all starts inside it. No window, no shuffle, and long sequences
     stay linear. Positions count bases from 0; ``len`` includes the stop codon. Null and short sequences give no row.
+    ``with_dna`` adds the ORF's sequence as ``dna``: the codons then stand behind their letters, so no sequence has to
+    be joined back.
     """
+    if with_dna:
+        return _orf_pairs_with_dna(seqs, id_col, seq_col, min_len, starts, stops)
     chars = seqs.select(F.col(id_col).alias("id"), F.split(F.col(seq_col), "").alias("c"), F.length(seq_col).alias("n"))
     framed = chars.where("n >= 6").select("id", "c", "n", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("frame"))
 
@@ -29,3 +33,57 @@ def orf_pairs(seqs: DataFrame, id_col: str, seq_col: str, min_len: int = 90, sta
     at = closed.select("id", "frame", "stop", F.length("letters").alias("m"), F.explode(F.filter(F.sequence(F.lit(1), F.length("letters")), lambda k: F.substr("letters", k, F.lit(1)) == "S")).alias("k"))
     found = at.select("id", "frame", (F.col("stop") - 3 * (F.col("m") - F.col("k") + 1)).alias("start"), "stop")
     return found.withColumn("len", F.col("stop") + 3 - F.col("start")).where(F.col("len") >= min_len)
+
+
+def _orf_pairs_with_dna(seqs: DataFrame, id_col: str, seq_col: str, min_len: int, starts, stops) -> DataFrame:
+    chars = seqs.select(F.col(id_col).alias("id"), F.split(F.col(seq_col), "").alias("c"), F.length(seq_col).alias("n"))
+    framed = chars.where("n >= 6").select("id", "c", "n", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("frame"))
+
+    def four(i):
+        codon = F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2))
+        return F.when(codon.isin(*stops), F.concat(F.lit(","), i.cast("string"), F.lit(","), codon, F.lit(";"))).otherwise(F.concat(F.when(codon.isin(*starts), "s").otherwise("n"), codon))
+
+    coded = framed.where("n >= frame + 3").select("id", "frame", F.array_join(F.transform(F.sequence("frame", F.col("n") - 3, F.lit(3)), four), "").alias("code"))
+    pieces = coded.select("id", "frame", F.explode(F.transform(F.split("code", ";"), lambda x: F.split(x, ","))).alias("p")).where(F.size("p") == 3)
+    closed = pieces.select("id", "frame", F.get("p", 0).alias("codons"), F.get("p", 1).cast("int").alias("stop"), F.get("p", 2).alias("last"))
+    m = (F.length("codons") / 4).cast("int")
+    closed = closed.where((m * 3 + 3 >= min_len) & F.col("codons").contains("s")).withColumn("m", m)
+    at = F.filter(F.sequence(F.lit(1), F.col("m")), lambda k: (F.substr("codons", k * 4 - 3, F.lit(1)) == "s") & ((F.col("m") - k + 2) * 3 >= min_len))
+    each = closed.select("id", "frame", "stop", "m", "codons", "last", F.explode(at).alias("k"))
+    dna = F.concat(F.translate(F.expr("substring(codons, k * 4 - 3)"), "sn", ""), F.col("last"))
+    found = each.select("id", "frame", (F.col("stop") - 3 * (F.col("m") - F.col("k") + 1)).alias("start"), "stop", dna.alias("dna"))
+    return found.select("id", "frame", "start", "stop", (F.col("stop") + 3 - F.col("start")).alias("len"), "dna")
+
+
+def both_strands(contigs: DataFrame, keys: list[str], seq: str, min_len: int = 90, starts=START_CODONS, stops=STOP_CODONS, partial: bool = True) -> DataFrame:
+    """(keys, strand, frame, start, end, stop, len, dna, partial5, partial3): ORFs of both strands of each contig.
+
+    start and end are places on the forward strand, from 0 and exclusive, so that ORFs of both strands share
+    coordinates; ``stop`` is where the stop codon begins, read along the ORF's own strand. With ``partial``, what a
+    contig's end cuts off counts too: a frame open at the beginning has an ORF from its first whole codon to its first
+    stop (partial5), and one without a stop before the end has its starts' ORFs up to the last whole codon (partial3).
+    """
+    n = F.length(seq)
+    one = contigs.where(F.col(seq).isNotNull()).select(F.struct(*keys).alias("k"), F.struct(F.lit(1).alias("s"), n.alias("n")).alias("o"), F.upper(F.col(seq)).alias("t"))
+    two = one.select("k", F.struct(F.lit(-1).alias("s"), F.col("o.n").alias("n")).alias("o"), reverse_complement(F.col("t")).alias("t"))
+    both = one.unionByName(two).withColumn("id", F.struct("k", "o"))
+    whole = orf_pairs(both, "id", "t", min_len, starts, stops, with_dna=True).withColumns({"partial5": F.lit(False), "partial3": F.lit(False)})
+    found = whole
+    if partial:
+        cut = both.select("id", "t", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("frame")).where(F.length("t") >= F.col("frame") + 3)
+        spaced = cut.withColumn("c", F.regexp_extract_all(F.expr("substring(t, frame + 1)"), F.lit("..."), 0))
+        is_stop = lambda c: c.isin(*stops)
+        first = F.aggregate(F.transform("c", lambda c, i: F.when(is_stop(c), i)), F.lit(None).cast("int"), lambda a, i: F.coalesce(a, i))
+        last = F.coalesce(F.array_max(F.transform("c", lambda c, i: F.when(is_stop(c), i))), F.lit(-1))
+        placed = spaced.withColumns({"first": first, "last": last})
+        # open at the beginning: to the first stop, or to the end if there is none
+        upto = F.when(F.col("first").isNotNull(), F.col("first") + 1).otherwise(F.size("c"))
+        five = placed.where(~F.get("c", F.lit(0)).isin(*starts)).select("id", "frame", F.lit(0).alias("i"), upto.alias("m"), F.col("first").isNull().alias("partial3"), F.lit(True).alias("partial5"), "c")
+        after = F.filter(F.transform("c", lambda c, i: F.when((i > F.col("last")) & c.isin(*starts), i)), lambda i: i.isNotNull())
+        three = placed.select("id", "frame", F.explode(after).alias("i"), "c").select("id", "frame", "i", (F.size("c") - F.col("i")).alias("m"), F.lit(True).alias("partial3"), F.lit(False).alias("partial5"), "c")
+        open_ = five.unionByName(three).where(F.col("m") * 3 >= min_len)
+        start = F.col("frame") + 3 * F.col("i")
+        found = whole.unionByName(open_.select("id", "frame", start.alias("start"), F.when(~F.col("partial3"), start + 3 * (F.col("m") - 1)).alias("stop"), (F.col("m") * 3).alias("len"), F.array_join(F.slice("c", F.col("i") + 1, F.col("m")), "").alias("dna"), "partial5", "partial3"))
+    forward = F.col("id.o.s") > 0
+    lo = F.when(forward, F.col("start")).otherwise(F.col("id.o.n") - F.col("start") - F.col("len"))
+    return found.select(*[F.col(f"id.k.{c}").alias(c) for c in keys], F.col("id.o.s").alias("strand"), "frame", lo.alias("start"), (lo + F.col("len")).alias("end"), "stop", "len", "dna", "partial5", "partial3")

@@ -12,7 +12,7 @@ from strandloom.operators.orf import orf_pairs
 from strandloom.plans.orf_queries import ORF_PAIRS_SQL
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_queries import AA_SQL, DNA_SQL
-from strandloom.session import balanced, table
+from strandloom.session import balanced, table, written
 
 
 @query("shared_node_pairs", """
@@ -92,7 +92,7 @@ def q_degrees(spark, sf_dir):
 SELECT x.node, x.nbr AS "left", y.nbr AS "right", len(list_intersect(x.g, y.g))::INT AS n_genomes FROM h x JOIN h y ON x.node = y.node AND x.nbr < y.nbr
 WHERE x.node IN (SELECT node FROM d) AND len(x.g) >= 14 AND len(y.g) >= 14 AND len(list_intersect(x.g, y.g)) >= 14""")
 def q_sv(spark, sf_dir):
-    return genegraph.structural_variants(genegraph.edges_of(_word_steps(spark, sf_dir)), min_support=14)
+    return genegraph.structural_variants(written(genegraph.edges_of(_word_steps(spark, sf_dir)), "edges"), min_support=14)
 
 
 @query("trim_ends", STEPS_SQL + """, s AS (SELECT DISTINCT source, unnest(w) AS node FROM w), n0 AS (SELECT node, count(*) AS size FROM s GROUP BY node),
@@ -136,15 +136,12 @@ i AS (SELECT md5(seq) AS item, seq FROM p), k AS (SELECT DISTINCT item, unnest(l
 
 def proteins(spark, sf_dir):
     d = balanced(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", dna(F.col("text")).alias("seq"))
-    o = orf_pairs(d, "doc_id", "seq").join(d, F.col("id") == F.col("doc_id"))
-    cut = o.select(F.substr("seq", F.col("start") + 1, F.col("len")).alias("s")).distinct()
+    cut = orf_pairs(d, "doc_id", "seq", with_dna=True).select(F.col("dna").alias("s")).distinct()
     return cut.select(translate_to_stop(F.col("s")).alias("seq")).distinct().select(F.md5("seq").alias("item"), "seq")
 
 
 def protein_pairs(spark, sf_dir):
     from strandloom.functions.sequence import kmers
-    from strandloom.session import written
-
     items = written(proteins(spark, sf_dir), "proteins")
     nodes = items.select("item", F.explode(F.array_distinct(kmers(F.col("seq"), 10))).alias("node"))
     return items, cluster.centroid_pairs(items, nodes, 0.9, 0.9)

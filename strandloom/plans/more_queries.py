@@ -59,9 +59,8 @@ def q_connect(spark, sf_dir):
 
 
 def _cut_orfs(spark, sf_dir):
-    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", S.dna(F.col("text")).alias("seq"))
-    o = orf_pairs(d, "doc_id", "seq").join(d, F.col("id") == F.col("doc_id"))
-    return o.select("doc_id", "source", "frame", "stop", "start", "len", F.substr("seq", F.col("start") + 1, F.col("len")).alias("dna"), "seq")
+    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(F.struct("doc_id", "source").alias("k"), S.dna(F.col("text")).alias("seq"))
+    return orf_pairs(d, "k", "seq", with_dna=True).select("id.doc_id", "id.source", "frame", "stop", "start", "len", "dna")
 
 
 @query("distinct_orfs", f"""
@@ -75,7 +74,7 @@ def q_distinct_orfs(spark, sf_dir):
 @query("start_choice")
 def q_start_choice(spark, sf_dir):
     """One start a stop: votes are genomes at the site, a start-site probability (0.5 without a model), times chosen."""
-    o = _cut_orfs(spark, sf_dir).where(F.col("start") + 12 <= F.length("seq")).withColumn("site", S.translate_full(F.substr("seq", F.col("start") + 1, F.lit(12))))
+    o = _cut_orfs(spark, sf_dir).withColumn("site", S.translate_full(F.substr("dna", F.lit(1), F.lit(12))))
     o = written(o.select("doc_id", "source", "frame", "stop", "start", "len", "site"), "starts")
     counts = kmer.genome_counts(o, "source", "site").withColumnRenamed("n_genomes", "site_genomes")
     starts = o.join(counts, "site").select(F.col("doc_id").alias("id"), "frame", "stop", "start", "len", F.lit(0.5).alias("tis"), "site_genomes", F.lit(3 / 64).alias("stop_freq"), "site")
