@@ -138,3 +138,28 @@ def reverse_path(nodes: Column) -> Column:
 
 def path_string(nodes: Column) -> Column:
     return F.concat(F.lit(","), F.array_join(F.transform(nodes, lambda x: x.cast("string")), ","), F.lit(","))
+
+
+def encode(seq: Column, alphabet: str) -> Column:
+    """The letters as numbers from 1 by their place in the alphabet, 0 for all others."""
+    return F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(alphabet)))
+
+
+def median(values: Column) -> Column:
+    """The middle of an array of numbers, the mean of the middle two if their count is even; null if there are none."""
+    s, n = F.sort_array(values), F.size(values)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
+def strip_unknown(seq: Column) -> Column:
+    """Without the runs of N at both ends."""
+    return F.regexp_replace(seq, "^N+|N+$", "")
+
+
+def mask_beyond_gaps(protein: Column, gap: int = 20) -> Column:
+    """A protein whose ends lie beyond a run of ``gap`` unknown residues or more has X there: what is cut off by such a
+    run at either end is not part of the hit, but places stay as they are."""
+    front = F.regexp_extract(protein, f"^[^X]*X{{{gap},}}", 0)
+    rest = F.substr(protein, F.length(front) + 1)
+    back = F.regexp_extract(rest, f"X{{{gap},}}[^X]*$", 0)
+    return F.concat(F.repeat(F.lit("X"), F.length(front)), F.substr(rest, F.lit(1), F.length(rest) - F.length(back)), F.repeat(F.lit("X"), F.length(back)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,28 +16,34 @@ PENALTY = {"u": 3.895921717182765, "c": 4.603432608883688, "d": 3.38308149406899
 
 
 def heaviest(ids: list, start: list, end: list, score: list, rule: dict[tuple, tuple[str, int]]) -> tuple[list, float]:
-    """The chain of ORFs by start with the largest sum of scores less penalties; O(pairs) dynamic programming.
+    """The chain of ORFs by start with the largest sum of scores less penalties.
 
     rule maps (earlier, later) to (type, bp). A pair without a rule does not overlap and costs nothing. The best
-    chain ending at an ORF extends the best one that ended before, or one that ends in an ORF overlapping it.
+    chain ending at an ORF extends the best one that ended before, or one that ends in an ORF overlapping it. One sweep
+    over the starts: the chains that have ended are kept as the best so far, the open ones are met through their rules.
     """
     order = sorted(range(len(ids)), key=lambda k: (start[k], end[k], ids[k]))
+    rank, place = {k: n for n, k in enumerate(order)}, {i: k for k, i in enumerate(ids)}
+    ruled: dict[int, list[tuple[int, str, int]]] = {}
+    for (a, b), (kind, bp) in rule.items():
+        if a in place and b in place and kind != "i":
+            ruled.setdefault(place[b], []).append((place[a], kind, bp))
     best, back = [0.0] * len(ids), [None] * len(ids)
-    for n, k in enumerate(order):
+    ending, top, last = [], -math.inf, None  # open chains by end; the best of those that ended
+    for k in order:
+        while ending and ending[0][0] <= start[k]:
+            _, _, j = heapq.heappop(ending)
+            if (best[j], -rank[j]) > (top, -rank[last] if last is not None else 0):
+                top, last = best[j], j
         value, prior = score[k], None
-        for j in order[:n]:
-            if (ids[j], ids[k]) in rule:
-                kind, bp = rule[ids[j], ids[k]]
-                if kind == "i":
-                    continue
-                v = best[j] + score[k] - PENALTY[kind] * bp
-            elif end[j] <= start[k]:
-                v = best[j] + score[k]
-            else:
-                continue
+        options = [(best[j] + score[k] - PENALTY[kind] * bp, j) for j, kind, bp in ruled.get(k, ()) if rank[j] < rank[k]]
+        if last is not None:
+            options.append((top + score[k], last))
+        for v, j in sorted(options, key=lambda x: rank[x[1]]):
             if v > value:
                 value, prior = v, j
         best[k], back[k] = value, prior
+        heapq.heappush(ending, (end[k], rank[k], k))
     if not order:
         return [], 0.0
     k = max(order, key=lambda x: (best[x], -x))

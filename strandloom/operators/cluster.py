@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.components import components
+from strandloom.session import discard, written
 
 
 def node_centroids(rows: DataFrame, node: str, item: str, length: str) -> DataFrame:
@@ -38,32 +37,46 @@ def centroid_pairs(items: DataFrame, nodes: DataFrame, len_cutoff: float = 0.98,
     return within.select("centroid", "member", (1 - F.col("d") / F.greatest("cl", "ml")).alias("identity"))
 
 
-def greedy(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(centroid, member): items taken longest first; one not yet taken becomes a centroid and takes its free partners.
+def greedy(items: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(centroid, member): items taken longest first (ties: the smaller); one not yet taken becomes a centroid and takes
+    its free partners.
 
-    The rule is sequential, but only along links: components of the pair table are independent, so each is replayed
-    in its own group and the result equals the sequential one. Items without links are centroids of themselves.
+    items (item, seq), pairs (centroid, member): who may take whom. The rule is sequential only along links. In each
+    round an item is a centroid if nobody is left who could take it, and goes to the first who can once that one is
+    known to be a centroid; what has been taken takes nobody. Every round is joins of what is left and is written out, so no
+    component of the links has to fit into a task. Rounds are as many as the longest chain of decisions. Items without
+    links are centroids of themselves.
     """
-    ids = items.select("item", F.length("seq").alias("len"), F.xxhash64("item").alias("uid"))
-    comp = components(pairs.select(F.xxhash64("centroid").alias("a"), F.xxhash64("member").alias("b")))
-    linked = ids.join(comp, F.col("uid") == F.col("node"))
-    partners = pairs.groupBy("centroid").agg(F.collect_list("member").alias("partners")).withColumnRenamed("centroid", "item")
-    groups = linked.join(partners, "item", "left").select("component", "item", "len", "partners")
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, taken = [], set()
-        for r in pdf.sort_values(["len", "item"], ascending=[False, True]).itertuples():
-            if r.item in taken:
-                continue
-            own = [r.item, *sorted(m for m in (r.partners if r.partners is not None else ()) if m not in taken and m != r.item)]
-            taken.update(own)
-            rows += [(r.item, m) for m in own]
-        return pd.DataFrame(rows, columns=["centroid", "member"])
-
     kind = dict(items.dtypes)["item"]
-    found = groups.groupBy("component").applyInPandas(replay, f"centroid {kind}, member {kind}")
-    single = ids.join(comp, F.col("uid") == F.col("node"), "left_anti").select(F.col("item").alias("centroid"), F.col("item").alias("member"))
-    return found.unionByName(single)
+    sized = items.select("item", F.length("seq").alias("len"))
+    order = lambda c, n: F.struct((-F.col(n)).alias("l"), F.col(c).alias("i"))
+    links = pairs.where("centroid <> member").select("centroid", "member").distinct()
+    links = links.join(sized.select(F.col("item").alias("centroid"), F.col("len").alias("cl")), "centroid").join(sized.select(F.col("item").alias("member"), F.col("len").alias("ml")), "member")
+    # only those ahead can take an item
+    links = written(links.select(order("centroid", "cl").alias("c"), order("member", "ml").alias("m")).where("c < m"), "links")
+    found = [items.select(F.col("item").alias("centroid"), F.col("item").alias("member")).join(links.select(F.explode(F.array("c.i", "m.i")).alias("member")).distinct(), "member", "left_anti").select("centroid", "member")]
+    left = written(links.select(F.explode(F.array("c", "m")).alias("x")).distinct(), "left")
+    links = links.withColumn("settled", F.lit(False))
+    for n_round in range(max_rounds):
+        if left.isEmpty():
+            break
+        heads = written(left.join(links.select(F.col("m").alias("x")), "x", "left_anti"), "heads")
+        known = links.join(heads.select(F.col("x").alias("c"), F.lit(True).alias("now")), "c", "left").select("c", "m", (F.col("settled") | F.coalesce("now", F.lit(False))).alias("settled"))
+        # the first that can take an item has it, once that one is known to be a centroid
+        taken = written(known.groupBy(F.col("m").alias("x")).agg(F.min(F.struct("c", "settled")).alias("by")).where("by.settled").select("x", "by.c"), "taken")
+        found += [heads.select(F.col("x.i").alias("centroid"), F.col("x.i").alias("member")), taken.select(F.col("c.i").alias("centroid"), F.col("x.i").alias("member"))]
+        rest = written(left.join(heads.unionByName(taken.select("x")), "x", "left_anti"), "left")
+        now = written(known.join(taken.select(F.col("x").alias("c")), "c", "left_anti").join(taken.select(F.col("x").alias("m")), "m", "left_anti").select("c", "m", "settled"), "links")
+        if n_round:
+            discard(links)  # the first are still to be read by the result
+        discard(left)
+        left, links = rest, now
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("centroid").cast(kind), F.col("member").cast(kind))
 
 
 def share_scores(clusters: DataFrame, centroid_scores: DataFrame, orfs: DataFrame, start_weight: dict[str, float], gene_weight: float, tis_weight: float, threshold: float, min_score: float) -> DataFrame:

@@ -69,6 +69,11 @@ def unannotated(bitscore: Column) -> Column:
     return F.coalesce(bitscore, F.lit(0.0)) == 0
 
 
+def passable(avoid: Column) -> Column:
+    """Whether a path may be searched: no two of its nodes in a row are to be avoided (array of booleans)."""
+    return ~F.exists(F.transform(avoid, lambda a, i: a & F.coalesce(F.get(avoid, i + 1), F.lit(False))), lambda x: x)
+
+
 def free_nodes(coords: DataFrame, sizes: DataFrame) -> DataFrame:
     """(genome_id, node) that no gene covers in full: where a lost gene may lie.
 

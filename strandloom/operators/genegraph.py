@@ -15,6 +15,31 @@ def edges_of(adjacency: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v").agg(F.count("*").alias("n_genomes"), F.sort_array(F.collect_set("genome")).alias("genomes"))
 
 
+def cluster_steps(steps: DataFrame, members: DataFrame) -> DataFrame:
+    """(genome, src, dst) of clusters: steps (genome, src, dst) between ORFs, members (genome, orf, cluster). Steps to an
+    ORF that is in no cluster are lost."""
+    one = members.select("genome", F.col("orf").alias("src"), F.col("cluster").alias("_s"))
+    two = members.select("genome", F.col("orf").alias("dst"), F.col("cluster").alias("_d"))
+    return steps.join(one, ["genome", "src"]).join(two, ["genome", "dst"]).select("genome", F.col("_s").alias("src"), F.col("_d").alias("dst"))
+
+
+def surviving(members: DataFrame, present: DataFrame) -> DataFrame:
+    """members (genome, orf, cluster) whose ORF is among ``present`` (genome, orf)."""
+    return members.join(present.select("genome", "orf"), ["genome", "orf"], "left_semi")
+
+
+def structural_rtab(variants: DataFrame, edges: DataFrame, genomes: list[str]) -> DataFrame:
+    """(node, left, right) and a column for each genome: 1 if it has both edges of the variant, else 0.
+
+    variants (node, left, right), edges (u, v, genomes)."""
+    at = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    e = edges.select(F.struct("u", "v").alias("e"), "genomes")
+    one, two = e.select(F.col("e").alias("e1"), F.col("genomes").alias("g1")), e.select(F.col("e").alias("e2"), F.col("genomes").alias("g2"))
+    keyed = variants.select("node", "left", "right", at(F.col("node"), F.col("left")).alias("e1"), at(F.col("node"), F.col("right")).alias("e2"))
+    both = keyed.join(one, "e1").join(two, "e2").withColumn("g", F.array_intersect("g1", "g2"))
+    return both.select("node", "left", "right", *[F.array_contains("g", g).cast("int").alias(g) for g in genomes])
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree); has_end is a degree below two."""
     ends = edges.select(F.explode(F.array("u", "v")).alias("node"))

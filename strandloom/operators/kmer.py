@@ -18,6 +18,14 @@ def kmer_table(seqs: DataFrame, id_col: str, seq_col: str, k: int, both_strands:
     return out.where(~F.col("kmer").rlike("[^ACGT]")).withColumn("kmer", canonical(F.col("kmer"))) if both_strands else out
 
 
+def distinct_kmers(seqs: DataFrame, id_col: str, seq_col: str, k: int, both_strands: bool = False) -> DataFrame:
+    """(id, kmer): the distinct k-mers of every sequence, reduced inside its own row before any becomes a row."""
+    each = F.array_distinct(kmers(F.col(seq_col), k))
+    if both_strands:
+        each = F.array_distinct(F.transform(F.filter(each, lambda x: ~x.rlike("[^ACGT]")), canonical))
+    return seqs.select(F.col(id_col).alias("id"), F.explode(each).alias("kmer"))
+
+
 def genome_counts(rows: DataFrame, genome: str, kmer: str) -> DataFrame:
     """(kmer, n_genomes): exact distinct counts. Distinct pairs combine before the shuffle, so a frequent k-mer is
     one row a task and genome."""

@@ -35,6 +35,39 @@ def to_nodes(start: Column, end: Column, nodes: Column, ranges: Column) -> Colum
     return F.filter(each, lambda x: x["e"] > x["s"])
 
 
+def placed_nodes(steps: DataFrame, keys: list[str], order: list[str], size: str, overlap: int) -> DataFrame:
+    """``steps`` with s and e, where each node lies on its path: a running sum, for paths of any length."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col(size) - overlap).over(before), F.lit(0))
+    return steps.withColumn("s", at.cast("long")).withColumn("e", F.col("s") + F.col(size))
+
+
+def simplify(coords: Column, overlap: int) -> Column:
+    """Without the leading and trailing nodes that an ORF covers only within the overlap; inner ones stay."""
+    covers = F.transform(coords, lambda x: x["e"] - x["s"] > overlap)
+    first = F.array_position(covers, True).cast("int")
+    last = F.size(coords) - F.array_position(F.reverse(covers), True).cast("int") + 1
+    return F.when(first > 0, F.slice(coords, first, last - first + 1)).otherwise(F.slice(coords, 1, 0))
+
+
+def reverse_coords(coords: Column, sizes: Column) -> Column:
+    """An ORF read on the other strand: its nodes in reverse order and sign, with the places counted from their ends."""
+    each = F.transform(F.arrays_zip(coords.alias("c"), sizes.alias("z")), lambda x: F.struct((-x["c"]["node"]).alias("node"), (x["z"] - x["c"]["e"]).alias("s"), (x["z"] - x["c"]["s"]).alias("e")))
+    return F.reverse(each)
+
+
+def order_in_node(coords: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, s, e, pos): ORFs in the order they begin in each unsigned node; coords (keys, node, s, e) places on
+    the node's own strand. Ties go to the one that ends first, then to the lesser key."""
+    by = Window.partitionBy("node").orderBy("s", "e", *keys)
+    return coords.select(*keys, F.abs("node").alias("node"), "s", "e").withColumn("pos", F.row_number().over(by))
+
+
+def longest_path(paths: DataFrame, keys: list[str], length: str, value: str) -> DataFrame:
+    """(keys, value, length): of several real paths the longest, ties to the smallest value."""
+    return paths.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col(length), F.col(value))).alias(value), F.max(length).alias(length))
+
+
 def drop_short(coords: Column, overlap: int) -> Column:
     """Nodes of which an ORF covers more than the overlap."""
     return F.filter(coords, lambda x: x["e"] - x["s"] > overlap)
