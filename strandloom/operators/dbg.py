@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import kmers, reverse_complement, split_n
-from strandloom.session import written
+from strandloom.session import discard, written
 
 
 def pieces(contigs: DataFrame) -> DataFrame:
@@ -72,8 +72,11 @@ def unitigs(placed: DataFrame, max_rounds: int = 40) -> DataFrame:
         "kmer", "dir", F.coalesce("p", "kmer").alias("at"), F.coalesce("pd", "dir").alias("at_dir"), F.col("p").isNotNull().cast("long").alias("steps"), F.least("kmer", F.coalesce("p", "kmer")).alias("low"), F.col("p").isNull().alias("done")
     )
     state = written(state, "chains")
-    for _ in range(max_rounds):
-        if state.where("not done").isEmpty():
+    # of the open ones: how many, and what they have seen
+    openness = lambda s: tuple(s.where("not done").agg(F.count("*"), F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first())
+    before = openness(state)
+    for n_round in range(max_rounds):
+        if not before[0]:
             break
         far = state.select(F.col("kmer").alias("at"), F.col("dir").alias("at_dir"), F.col("at").alias("a2"), F.col("at_dir").alias("d2"), F.col("steps").alias("s2"), F.col("low").alias("l2"), F.col("done").alias("f2"))
         loops = (F.col("a2") == F.col("kmer")) & (F.col("d2") == F.col("dir"))
@@ -81,11 +84,12 @@ def unitigs(placed: DataFrame, max_rounds: int = 40) -> DataFrame:
         step = joined.select("kmer", "dir", F.col("a2").alias("at"), F.col("d2").alias("at_dir"), (F.col("steps") + F.col("s2")).alias("steps"), F.least("low", "l2").alias("low"), "f2", loops.alias("loop"))
         nxt = step.select("kmer", "dir", "at", "at_dir", "steps", "low", F.col("f2").alias("done"))
         new = written(state.where("done").unionByName(nxt), "chains")
-        # only cycles never finish: when a round finishes nobody, what is left is cycles that have seen all of themselves
-        if new.where("not done").count() == state.where("not done").count() and _ >= 1 and new.where("not done").agg(F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first() == state.where("not done").agg(F.sum(F.xxhash64("low").cast("decimal(38,0)"))).first():
-            state = new
+        discard(state)
+        now, state = openness(new), new
+        # only cycles never finish: when a round changes nothing, what is left is cycles that have seen all of themselves
+        if now == before and n_round >= 1:
             break
-        state = new
+        before = now
     chains = state.where("done").select("kmer", "dir", F.col("at").alias("head"), F.col("at_dir").alias("head_dir"), F.col("steps").alias("offset"))
     # a chain is there in both directions: keep the reading that starts at the smaller end
     ends = chains.groupBy("head", "head_dir").agg(F.max(F.struct("offset", "kmer", "dir")).alias("tail"))
