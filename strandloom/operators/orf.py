@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import START_CODONS, STOP_CODONS, reverse_complement
 
 
+def read_codons(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Start and stop codons of a JSON file {"codons": {"start": [...], "stop": [...]}}; what it lacks is the default."""
+    rows = spark.read.schema("codons struct<start: array<string>, stop: array<string>>").json(path, multiLine=True).first()
+    found = rows.codons if rows is not None and rows.codons is not None else None
+    return tuple(found.start) if found is not None and found.start else START_CODONS, tuple(found.stop) if found is not None and found.stop else STOP_CODONS
+
+
 def orf_pairs(seqs: DataFrame, id_col: str, seq_col: str, min_len: int = 90, starts=START_CODONS, stops=STOP_CODONS, with_dna: bool = False) -> DataFrame:
     """Every start codon with the next stop codon in its frame, forward strand.
 

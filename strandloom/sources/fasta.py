@@ -51,3 +51,16 @@ def gene_fasta(genes: DataFrame, protein: bool = False) -> DataFrame:
     """Text of .ffn or .faa: genes (isolate, orf_id, cluster, annotation, pseudo, dna, protein)."""
     header = F.concat(F.col("isolate"), F.lit("_"), F.col("orf_id").cast("string"), F.lit(" cluster="), F.col("cluster").cast("string"), F.when(F.coalesce(F.col("annotation"), F.lit("")) != "", F.concat(F.lit(" "), F.col("annotation"))).otherwise(""), F.when(F.col("pseudo"), "(pseudogene)").otherwise(""))
     return fasta_lines(genes, header, F.col("protein" if protein else "dna"))
+
+
+def pangenome_reference(clusters: DataFrame) -> DataFrame:
+    """(gene, centroid, dna): one sequence a cluster, its first centroid's; a centroid that an earlier cluster (by
+    name) has given is not written again. clusters (gene, centroids: array of ids, dna: of the first)."""
+    first = clusters.select("gene", F.get("centroids", F.lit(0)).alias("centroid"), "dna")
+    return first.groupBy("centroid").agg(F.min(F.struct("gene", "dna")).alias("x")).select("x.gene", "centroid", "x.dna")
+
+
+def query_fasta(hits: DataFrame) -> DataFrame:
+    """Text of the ORFs that queries met: hits (isolate, orf_id, queries: array, annotation, dna)."""
+    header = F.concat(F.col("isolate"), F.lit("_"), F.col("orf_id").cast("string"), F.lit(" QUERY="), F.array_join("queries", ";"), F.lit(" annotation="), F.coalesce("annotation", F.lit("")))
+    return fasta_lines(hits, header, F.col("dna"))

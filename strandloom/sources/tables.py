@@ -9,18 +9,20 @@ from strandloom.functions.sequence import qualifier
 
 
 def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Segments (name, seq) and links (src, src_strand, dst, dst_strand, overlap) of a GFA file."""
+    """Segments (name, seq, genomes) and links (src, src_strand, dst, dst_strand, overlap) of a GFA file; genomes are
+    the colours of a segment's tag CO:Z:, null without one."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    seg = rows.where(F.get("f", F.lit(0)) == "S").select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("seq"))
+    seg = rows.where(F.get("f", F.lit(0)) == "S").select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("seq"), F.expr("substr(get(filter(f, x -> startswith(x, 'CO:Z:')), 0), 6)").alias("g")).select("name", "seq", F.split("g", ",").alias("genomes"))
     cols = ("src", "src_strand", "dst", "dst_strand", "overlap")
     return seg, rows.where(F.get("f", F.lit(0)) == "L").select(*[F.get("f", F.lit(i + 1)).alias(c) for i, c in enumerate(cols)])
 
 
 def gfa_lines(nodes: DataFrame, links: DataFrame, overlap: int) -> DataFrame:
-    """GFA text: nodes (node_id, seq), links (src, dst) between signed nodes."""
+    """GFA text: nodes (node_id, seq, and if it is there genomes: text between commas), links (src, dst) between signed
+    nodes."""
     sign = lambda c: F.when(F.col(c) > 0, "+").otherwise("-")
     head = nodes.sparkSession.createDataFrame([("H\tVN:Z:1.0",)], "value string")
-    seg = nodes.select(F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "seq").alias("value"))
+    seg = nodes.select(F.concat_ws("\t", F.lit("S"), F.col("node_id").cast("string"), "seq", *([F.concat(F.lit("CO:Z:"), "genomes")] if "genomes" in nodes.columns else [])).alias("value"))
     lin = links.select(F.concat_ws("\t", F.lit("L"), F.abs("src").cast("string"), sign("src"), F.abs("dst").cast("string"), sign("dst"), F.lit(f"{overlap}M")).alias("value"))
     return head.unionByName(seg).unionByName(lin)
 
@@ -115,8 +117,55 @@ def core_alignment(aligned: DataFrame, genes: DataFrame, isolates: DataFrame) ->
 
 
 def gml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(order, value): GML text, a row a node or edge; nodes (node, label, size), edges (u, v, n_genomes)."""
-    head = nodes.sparkSession.createDataFrame([(0, "graph ["), (3, "]")], "order int, value string")
-    n = nodes.select(F.lit(1).alias("order"), F.format_string('  node [\n    id %s\n    label "%s"\n    size %d\n  ]', F.col("node").cast("string"), "label", F.col("size").cast("int")).alias("value"))
-    e = edges.select(F.lit(2).alias("order"), F.format_string("  edge [\n    source %s\n    target %s\n    size %d\n  ]", F.col("u").cast("string"), F.col("v").cast("string"), F.col("n_genomes").cast("int")).alias("value"))
-    return head.unionByName(n).unionByName(e).orderBy("order")
+    """(part, value): GML text, a row a node or edge; write it in the order of ``part``: head, nodes, edges, end.
+
+    nodes (node, label, size, ...), edges (u, v, n_genomes, ...); further columns become attributes of their names,
+    text in quotes, with " as &quot; and ] as &#93;.
+    """
+
+    def attribute(df, name):
+        kind = dict(df.dtypes)[name]
+        if kind in ("string", "boolean") or kind.startswith(("array", "struct")):
+            text = F.col(name) if kind == "string" else F.col(name).cast("string")
+            return F.concat(F.lit(f'    {name} "'), F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit('"'), F.lit("&quot;")), F.lit("]"), F.lit("&#93;")), F.lit('"'))
+        return F.concat(F.lit(f"    {name} "), F.coalesce(F.col(name).cast("string"), F.lit("0")))
+
+    head = nodes.sparkSession.createDataFrame([(0, "graph ["), (3, "]")], "part int, value string")
+    shown = [c for c in nodes.columns if c != "node"]
+    n = nodes.select(F.lit(1).alias("part"), F.concat_ws("\n", F.lit("  node ["), F.concat(F.lit("    id "), F.col("node").cast("string")), *[attribute(nodes, c) for c in shown], F.lit("  ]")).alias("value"))
+    own = [(c, "size" if c == "n_genomes" else c) for c in edges.columns if c not in ("u", "v")]
+    named = edges.select("u", "v", *[F.col(c).alias(x) for c, x in own])
+    e = named.select(F.lit(2).alias("part"), F.concat_ws("\n", F.lit("  edge ["), F.concat(F.lit("    source "), F.col("u").cast("string")), F.concat(F.lit("    target "), F.col("v").cast("string")), *[attribute(named, x) for _, x in own], F.lit("  ]")).alias("value"))
+    return head.unionByName(n).unionByName(e)
+
+
+def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, attributes) and edges (source, target, attributes) of a GML file, attributes as a map of texts.
+
+    A file is cut at its blocks, which lines of ``]`` end, so nodes and edges are read in parallel."""
+    blocks = spark.read.option("lineSep", "]").text(path).select(F.regexp_extract("value", r"(?s)(node|edge)\s*\[\s*(.*)$", 1).alias("kind"), F.regexp_extract("value", r"(?s)(node|edge)\s*\[\s*(.*)$", 2).alias("body")).where("kind <> ''")
+    pairs = F.transform(F.regexp_extract_all("body", F.lit(r'(?m)^\s*\w+ +(?:"[^"]*"|\S+)'), 0), lambda x: F.struct(F.regexp_extract(x, r"(\w+)", 1).alias("k"), F.replace(F.replace(F.regexp_replace(F.regexp_extract(x, r"(?s)\w+ +(.*)$", 1), '^"|"$', ""), F.lit("&quot;"), F.lit('"')), F.lit("&#93;"), F.lit("]")).alias("v")))
+    rows = blocks.select("kind", F.map_from_entries(pairs).alias("a"))
+    rest = lambda *keys: F.map_filter("a", lambda k, v: ~k.isin(*keys)).alias("attributes")
+    nodes = rows.where("kind = 'node'").select(F.col("a")["id"].alias("id"), rest("id"))
+    return nodes, rows.where("kind = 'edge'").select(F.col("a")["source"].alias("source"), F.col("a")["target"].alias("target"), rest("source", "target"))
+
+
+# The head and the end of an EMBL header.
+EMBL_HEAD = "ID   Genome standard; DNA; PRO; 1234 BP.\nXX\nFH   Key             Location/Qualifiers\nFH"
+EMBL_END = "XX\nSQ   \n//"
+
+
+def embl_header(places: DataFrame) -> DataFrame:
+    """(part, value): EMBL feature lines of the genes of a concatenated alignment; places (gene, start, end)."""
+    head = places.sparkSession.createDataFrame([(0, EMBL_HEAD), (2, EMBL_END)], "part int, value string")
+    name = F.col("gene").cast("string")
+    named = [F.concat(F.lit(f'FT                   /{q}="'), name, F.lit('"')) for q in ("label", "locus_tag")]
+    at = F.concat(F.lit("FT   feature         "), F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"))
+    return head.unionByName(places.select(F.lit(1).alias("part"), F.concat_ws("\n", at, *named).alias("value")))
+
+
+def graph_colours(placed_nodes: DataFrame) -> DataFrame:
+    """(node, genomes): what a GFA of a coloured graph carries as the tag CO:Z: of its segments; placed_nodes
+    (node_id, genome_id)."""
+    return placed_nodes.groupBy(F.abs("node_id").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("genome_id")), lambda g: g.cast("string")), ",").alias("genomes"))
