@@ -8,7 +8,8 @@ is part of, so target texts are held out one by one.
 
 Counts are of the whole corpus and nothing is pruned, so the tables grow with it and none goes to all tasks. Texts are
 cut into blocks of a bounded size, each a row. A block asks for the counts of the words and bigrams it holds, once each,
-and gets back what the corpus has of them: its own part of the two models.
+and gets back what the corpus has of them: its own part of the two models. Questions are dealt into buckets by key and
+travel as sorted arrays, a row a block and bucket; answers come in the same order and need not repeat the keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,9 @@ from strandloom.session import table, written
 
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
+#: Tokens for which there is a bucket, at most as many keys.
+BUCKET_TOKENS = 4_000_000
 #: Key of the place before the first word.
 START = np.uint64(0x5EED)
 
@@ -42,12 +46,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def context_key(word: np.ndarray) -> np.ndarray:
-    return mixed(word + np.uint64(0x9E3779B97F4A7C15))
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(context + np.uint64(0x9E3779B97F4A7C15)) + word)
 
 
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(context_key(context) + word)
+def packed(tokens: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the high ones are mostly zero and shrink to nothing."""
+    return zstandard.compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(bytes(data)), np.uint8)
+    return raw.reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -63,7 +73,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
         def row():
             keys = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
-            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys.view(np.int64)], "tokens": [np.concatenate(tokens).tobytes() if tokens else b""]})
+            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys.view(np.int64)], "tokens": [packed(np.concatenate(tokens))]})
 
         for batch in batches:
             for k, text in zip(batch["k"], batch["text"]):
@@ -71,7 +81,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
                     yield row()
                     made += 1
                     ids, lens, own, tokens, held = [], [], {}, [], 0
-                seq = np.fromiter((own.setdefault(w, len(own)) for w in words(text)), np.int32)
+                seq = np.fromiter((own.setdefault(w, len(own)) for w in words(text)), np.uint32)
                 ids.append(k["k0"])
                 lens.append(len(seq))
                 tokens.append(seq)
@@ -86,26 +96,33 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 class Block:
     """A block's tokens as arrays: the document, word, context and bigram of each."""
 
-    def __init__(self, row):
-        self.ids = list(row["doc_ids"])
-        self.lens = np.asarray(row["lens"], np.int64)
+    def __init__(self, row, n_buckets: int):
+        self.ids, self.lens = list(row["doc_ids"]), np.asarray(row["lens"], np.int64)
         keys = np.asarray(row["words"], np.int64).view(np.uint64)
-        word = keys[np.frombuffer(row["tokens"], np.int32)]
+        word = keys[unpacked(row["tokens"])]
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
-        before = np.concatenate(([START], word[:-1])) if len(word) else word
-        if len(word):
-            before[(np.cumsum(self.lens) - self.lens)[self.lens > 0]] = START
-        self.kinds = [word, context_key(before), pair_key(before, word)]
+        self.first, self.last = np.zeros(len(word), bool), np.zeros(len(word), bool)
+        ends, some = np.cumsum(self.lens), self.lens > 0
+        self.first[(ends - self.lens)[some]] = self.last[ends[some] - 1] = True
         self.target = np.zeros(len(self.lens), bool)
         if row["targets"] is not None:
             self.target[np.asarray(row["targets"], np.int64)] = True
-
-
-def requested(one: Block) -> pd.DataFrame:
-    """(k, n, t): the block's keys, words, contexts and bigrams alike, with their counts in all and in target texts."""
-    k, at, n = np.unique(np.concatenate(one.kinds), return_inverse=True, return_counts=True)
-    t = np.bincount(at, np.tile(one.target[one.doc], 3), len(k)).astype(np.int64)
-    return pd.DataFrame({"k": k.view(np.int64), "n": n.astype(np.int64), "t": t})
+        before = np.concatenate(([START], word[:-1])) if len(word) else word
+        # keys of the words, then of the bigrams; the order of the questions is by bucket, then key
+        both = np.concatenate((word, pair_key(np.where(self.first, START, before), word)))
+        k, at = np.unique(both, return_inverse=True)
+        bucket, signed = (k % np.uint64(n_buckets)).astype(np.int64), k.view(np.int64)
+        order = np.lexsort((signed, bucket))
+        rank = np.empty(len(k), np.int64)
+        rank[order] = np.arange(len(k))
+        self.keys, self.bucket = signed[order], bucket[order]
+        self.word, self.pair = rank[at[: len(word)]], rank[at[len(word) :]]
+
+    def counts(self) -> list[np.ndarray]:
+        """How often each key occurs in the block's texts and its target texts, and ends a text of them."""
+        held, n = self.target[self.doc], len(self.keys)
+        every = np.concatenate((self.word, self.pair))
+        return [np.bincount(every, minlength=n), np.bincount(every[np.tile(held, 2)], minlength=n), np.bincount(self.word[self.last], minlength=n), np.bincount(self.word[self.last & held], minlength=n)]
 
 
 def own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -114,25 +131,31 @@ def own_counts(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def losses(one: Block, known: pd.DataFrame, n_tokens: tuple[int, int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean background and target loss in nats of each document, by the models without it. known (k, n, t): what the
-    corpus and the target have of the block's keys; n_tokens: of the corpus and of the target."""
-    known = known.sort_values("k")
-    keys = known["k"].to_numpy(np.int64)
-    at = [np.searchsorted(keys, k.view(np.int64)) for k in one.kinds]
-    mine = [own_counts(one.doc, a) for a in at]
-    size = np.maximum(one.lens, 1)
-    out = []
-    for column, total, part in (("n", n_tokens[0], np.ones(len(one.lens), bool)), ("t", n_tokens[1], one.target)):
-        counts, held = known[column].to_numpy(np.int64), part[one.doc]
-        word, context, pair = (counts[a] - np.where(held, m, 0) for a, m in zip(at, mine))
-        rest = (total - np.where(part, one.lens, 0))[one.doc]
+def losses(one: Block, counts: list[np.ndarray], n_tokens: tuple[int, int], n_texts: tuple[int, int], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean background and target loss in nats of each document, by the models without it. counts: of the corpus, for
+    the block's keys as in ``Block.counts``; n_tokens, n_texts: of the corpus and of the target, texts with a word."""
+    words_own, pairs_own = own_counts(one.doc, one.word), own_counts(one.doc, one.pair)
+    final = np.full(len(one.lens), -1)
+    final[one.doc[one.last]] = one.word[one.last]
+    back = lambda x: np.concatenate(([0], x[:-1])) if len(x) else x
+    size, out = np.maximum(one.lens, 1), []
+    for m, part in enumerate((np.ones(len(one.lens), bool), one.target)):
+        held = part[one.doc]
+        word = counts[m][one.word] - np.where(held, words_own, 0)
+        pair = counts[m][one.pair] - np.where(held, pairs_own, 0)
+        # a word is a context where it is not the last; before the first word there is one context a text
+        open_ = word - counts[2 + m][one.word] + (held & (one.word == final[one.doc]))
+        context = np.where(one.first, n_texts[m] - held, back(open_))
+        rest = (n_tokens[m] - np.where(part, one.lens, 0))[one.doc]
         p = (word + ADDED) / (rest + ADDED * (n_words + 1))
         p = np.where(context > 0, BIGRAM_WEIGHT * pair / np.maximum(context, 1) + (1 - BIGRAM_WEIGHT) * p, p)
         out.append(np.bincount(one.doc, -np.log(p), len(one.lens)) / size)
     return out[0], out[1]
 
 
+COUNTS = ("n", "t", "en", "et")
+
+
 def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, loss_background, loss_target, score) of whole texts, losses as means over the words.
 
@@ -145,25 +168,31 @@ def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHAR
     each = encoded.select("block", F.posexplode(F.arrays_zip("doc_ids", "lens")).alias("pos", "d")).select("block", "pos", "d.doc_ids", "d.lens")
     # ids grow with the corpus, so they are never broadcast
     hits = written(each.join(ids.hint("merge"), F.col("doc_ids") == F.col("_id"), "left_semi").select("block", "pos", "lens"), "targets")
-    n_target = hits.agg(F.sum("lens")).first()[0] or 0
-    n_all = encoded.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    total = lambda df: tuple(x or 0 for x in df.agg(F.sum("lens"), F.count_if(F.col("lens") > 0)).first())
+    (n_all, texts_all), (n_target, texts_target) = total(each), total(hits)
     n_words = encoded.select(F.explode("words").alias("w")).distinct().count()
+    n_buckets = max(64, -(-n_all // BUCKET_TOKENS))
     targets = hits.groupBy("block").agg(F.collect_list("pos").alias("targets")).withColumnRenamed("block", "_block")
     flagged = encoded.join(targets.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = requested(Block(pdf.iloc[0]))
-        out.insert(0, "block", pdf["block"].iloc[0])
-        return out
+        one = Block(pdf.iloc[0], n_buckets)
+        found, starts = np.unique(one.bucket, return_index=True)
+        out = {"block": pdf["block"].iloc[0], "bucket": found, "k": np.split(one.keys, starts[1:])}
+        return pd.DataFrame(out | {c: np.split(x.astype(np.int32), starts[1:]) for c, x in zip(COUNTS, one.counts())})
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        one = Block(left.iloc[0])
-        background, target = losses(one, right, (n_all, n_target), n_words)
+        one, right = Block(left.iloc[0], n_buckets), right.sort_values("bucket")
+        counts = [np.concatenate(right[c].tolist()) if len(right) else np.zeros(0, np.int64) for c in COUNTS]
+        background, target = losses(one, counts, (n_all, n_target), (texts_all, texts_target), n_words)
         return pd.DataFrame({"doc_id": pd.Series(one.ids, dtype=object), "n_tokens": one.lens, "loss_background": background, "loss_target": target, "score": background - target})
 
-    asked = flagged.groupBy("block").applyInPandas(ask, "block long, k long, n long, t long")
-    by_key = Window.partitionBy("k")
-    known = asked.select("block", "k", F.sum("n").over(by_key).alias("n"), F.sum("t").over(by_key).alias("t"))
+    asked = flagged.groupBy("block").applyInPandas(ask, "block long, bucket long, k array<long>, " + ", ".join(f"{c} array<int>" for c in COUNTS))
+    each_key = asked.repartition("bucket").select("block", "bucket", F.inline(F.arrays_zip("k", *COUNTS)))
+    by_key = Window.partitionBy("bucket", "k")
+    summed = each_key.select("block", "bucket", "k", *[F.sum(c).over(by_key).alias(c) for c in COUNTS])
+    listed = summed.groupBy("bucket", "block").agg(F.array_sort(F.collect_list(F.struct("k", *COUNTS))).alias("x"))
+    known = listed.select("block", "bucket", *[F.col(f"x.{c}").alias(c) for c in COUNTS])
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.DoubleType() if c != "n_tokens" else T.LongType()) for c in ("n_tokens", "loss_background", "loss_target", "score"))])
     return flagged.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(answer, schema)
 

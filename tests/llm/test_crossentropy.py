@@ -59,23 +59,29 @@ def test_scores(spark):
 
 
 def test_probabilities_of_all_words_make_one():
-    row = {"doc_ids": [1, 2, 3], "lens": [5, 4, 6], "words": list(range(11, 15)), "tokens": np.array([0, 1, 0, 2, 1, 2, 2, 0, 3, 0, 1, 2, 0, 0, 1], np.int32).tobytes(), "targets": [0, 2]}
-    whole = ce.requested(ce.Block(row))
+    words = np.array([11, 12, 13, 14, 99], np.uint64)  # the last is in no text
+    texts = [[0, 1, 0, 2, 1], [2, 2, 0, 3], [0, 1, 2, 0, 0, 1]]
+
+    def block(texts, targets):
+        row = {"doc_ids": list(range(len(texts))), "lens": [len(t) for t in texts], "words": words.view(np.int64), "tokens": ce.packed(np.array([w for t in texts for w in t], np.uint32)), "targets": targets}
+        return ce.Block(row, 3)
+
+    def loss(text):
+        # as if the text were one of the corpus, so that taking it off leaves the three
+        alone, whole = block([text], None), block([*texts, text], [0, 2])
+        place = {k: i for i, k in enumerate(whole.keys.tolist())}
+        counts = [c[[place[k] for k in alone.keys.tolist()]] for c in whole.counts()]
+        return np.array([x[0] * len(text) for x in ce.losses(alone, counts, (15 + len(text), 11), (4, 2), 4)])
+
     for context in range(4):
-        total = np.zeros(2)
-        for word in range(5):  # the fourth is in no text
-            keys = np.array([11, 12, 13, 14, 99], np.uint64)
-            one = ce.Block({"doc_ids": [9], "lens": [2], "words": keys.view(np.int64), "tokens": np.array([context, word], np.int32).tobytes(), "targets": None})
-            known = ce.requested(one).drop(columns=["n", "t"]).merge(whole, "left", "k").fillna(0)
-            both = []
-            for n_tokens in (2, 1):  # the loss of the second word alone: two words less the first
-                part = ce.Block({"doc_ids": [9], "lens": [n_tokens], "words": keys.view(np.int64), "tokens": np.array([context, word][:n_tokens], np.int32).tobytes(), "targets": None})
-                seen = known.copy()
-                mine = ce.requested(part)  # as if the text were one of the corpus, so that taking it off leaves the three
-                seen["n"] += seen["k"].map(mine.set_index("k")["n"]).fillna(0)
-                both.append(np.array([x[0] * n_tokens for x in ce.losses(part, seen, (15 + n_tokens, 11), 4)]))
-            total += np.exp(-(both[0] - both[1]))
+        total = sum(np.exp(loss([context]) - loss([context, w])) for w in range(5))
         assert total == pytest.approx([1, 1])
+    assert sum(np.exp(-loss([w])) for w in range(5)) == pytest.approx([1, 1])
+
+
+def test_tokens_are_packed_and_unpacked():
+    for x in ([], [0], [5, 70_000, 2**32 - 1]):
+        assert ce.unpacked(ce.packed(np.array(x, np.uint32))).tolist() == x
 
 
 def test_empty(spark):
