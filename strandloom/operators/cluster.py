@@ -79,6 +79,14 @@ def greedy(items: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFr
     return out.select(F.col("centroid").cast(kind), F.col("member").cast(kind))
 
 
+def all_pairs(members: DataFrame) -> DataFrame:
+    """(cluster, a, b), a < b: all pairs of items of a precluster; as many rows as there are pairs, whatever is done.
+
+    members (cluster, item)."""
+    other = members.select(F.col("cluster").alias("_c"), F.col("item").alias("b"))
+    return members.select("cluster", F.col("item").alias("a")).join(other, (F.col("cluster") == F.col("_c")) & (F.col("a") < F.col("b"))).select("cluster", "a", "b")
+
+
 def share_scores(clusters: DataFrame, centroid_scores: DataFrame, orfs: DataFrame, start_weight: dict[str, float], gene_weight: float, tis_weight: float, threshold: float, min_score: float) -> DataFrame:
     """Members take their centroid's gene probability but keep their own start, length and start-site probability.
 

@@ -36,6 +36,15 @@ def drop_rare(placed: DataFrame, least: int = 2) -> DataFrame:
     return placed.join(common, "kmer", "left_semi")
 
 
+def placed_of(refs: DataFrame | None, reads: DataFrame | None, k: int, least: int = 2) -> DataFrame:
+    """Placed k-mers of assemblies, of reads, or of both: all of the assemblies', and of the reads' those seen ``least``
+    times in the reads. refs and reads (genome_id, contig_id, seq); a read is a contig of its genome."""
+    made = ([placed_kmers(pieces(refs), k)] if refs is not None else []) + ([drop_rare(written(placed_kmers(pieces(reads), k), "read-kmers"), least)] if reads is not None else [])
+    if not made:
+        raise ValueError("neither assemblies nor reads")
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
 def sides(placed: DataFrame) -> DataFrame:
     """(kmer, side, other, other_side): links between k-mer ends, both ways, once each.
 

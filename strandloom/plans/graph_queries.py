@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequence import dna, translate_to_stop
 from strandloom.operators import bestpath, cluster, genegraph, overlap
 from strandloom.operators.components import components
-from strandloom.operators.orf import orf_pairs
-from strandloom.plans.orf_queries import ORF_PAIRS_SQL
+from strandloom.operators.orf import both_strands, orf_pairs
+from strandloom.plans.orf_queries import BOTH_SQL, ORF_PAIRS_SQL
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_queries import AA_SQL, DNA_SQL
 from strandloom.session import balanced, table, written
@@ -156,6 +156,62 @@ def q_greedy_pairs(spark, sf_dir):
     return protein_pairs(spark, sf_dir)[1]
 
 
-@query("greedy_cluster")
+_GREEDY_PAIRS = f"""c AS (SELECT node, arg_min(item, row(-length(seq), item)) AS centroid FROM k JOIN i USING (item) GROUP BY node),
+q AS (SELECT DISTINCT centroid, item AS member FROM k JOIN c USING (node) WHERE item <> centroid),
+d AS (SELECT centroid, member, levenshtein(a.seq, b.seq) AS d, greatest(length(a.seq), length(b.seq)) AS m, least(length(a.seq), length(b.seq)) AS l FROM q JOIN i a ON a.item = centroid JOIN i b ON b.item = member),
+x AS (SELECT centroid, member FROM d WHERE l >= 0.9 * m AND d <= floor(0.1 * m + 1e-9))"""
+
+
+@query("greedy_cluster", f"""WITH RECURSIVE {PROT_SQL}, {_GREEDY_PAIRS},
+o AS (SELECT member AS item, row_number() OVER (ORDER BY -length(i.seq), member) AS k, p FROM (SELECT member, list(centroid ORDER BY -length(seq), centroid) AS p FROM x JOIN i ON item = centroid GROUP BY member) JOIN i ON item = member),
+r(k, t) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT r.k + 1, CASE WHEN len(list_filter(p, lambda y: NOT list_contains(r.t, y))) > 0 THEN list_append(r.t, item) ELSE r.t END FROM r JOIN o ON o.k = r.k + 1),
+t AS (SELECT t FROM r ORDER BY k DESC LIMIT 1), f AS (SELECT item, list_filter(p, lambda y: NOT list_contains(t, y)) AS p FROM o, t)
+SELECT CASE WHEN len(coalesce(p, [])) > 0 THEN p[1] ELSE i.item END AS centroid, i.item AS member FROM i LEFT JOIN f ON f.item = i.item""")
 def q_greedy_cluster(spark, sf_dir):
     return cluster.greedy(*protein_pairs(spark, sf_dir))
+
+
+@query("overlap_types_both", """WITH o AS (BOTH), n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY start, "end", strand, frame) AS orf FROM o),
+p AS (SELECT x.item_id, x.strand AS d1, x.start AS s1, x."end" AS e1, y.strand AS d2, y.start AS s2, y."end" AS e2, greatest(x.start, y.start) AS lo, least(x."end", y."end") AS hi FROM n x JOIN n y ON x.item_id = y.item_id AND x.orf < y.orf AND x.start < y."end" AND y.start < x."end"),
+q AS (SELECT *, hi - lo AS bp, CASE WHEN s1 >= lo AND e1 <= hi THEN 53 WHEN s1 >= lo THEN CASE WHEN d1 > 0 THEN 5 ELSE 3 END WHEN e1 <= hi THEN CASE WHEN d1 > 0 THEN 3 ELSE 5 END ELSE 0 END AS a,
+  CASE WHEN s2 >= lo AND e2 <= hi THEN 53 WHEN s2 >= lo THEN CASE WHEN d2 > 0 THEN 5 ELSE 3 END WHEN e2 <= hi THEN CASE WHEN d2 > 0 THEN 3 ELSE 5 END ELSE 0 END AS b FROM p),
+t AS (SELECT item_id, bp, CASE WHEN bp > 60 THEN 'i' WHEN a = 53 OR b = 53 THEN 'w' WHEN a = 3 AND b = 3 THEN 'c' WHEN a = 5 AND b = 5 THEN 'd' WHEN a IN (3, 5) AND b IN (3, 5) THEN 'u' END AS type FROM q)
+SELECT item_id AS key, type, count(*) AS n, sum(bp)::BIGINT AS bp FROM t WHERE type IS NOT NULL GROUP BY ALL""".replace("BOTH", BOTH_SQL))
+def q_types_both(spark, sf_dir):
+    """All kinds of overlaps, among ORFs of both strands."""
+    d = table(spark, sf_dir, "benchmark").select("item_id", dna(F.col("text")).alias("seq"))
+    o = both_strands(d, ["item_id"], "seq", 30)
+    orfs = written(o.select(F.col("item_id").alias("key"), F.row_number().over(Window.partitionBy("item_id").orderBy("start", "end", "strand", "frame")).cast("long").alias("orf"), "start", "end", "strand"), "orfs")
+    return overlap.classify(orfs).groupBy("key", "type").agg(F.count("*").alias("n"), F.sum("bp").cast("long").alias("bp"))
+
+
+@query("best_path_totals", f"""WITH RECURSIVE {LONGEST_SQL}, l AS (SELECT doc_id, list({{'s': start, 'e': stop_end}} ORDER BY start, stop_end, orf) AS o FROM n GROUP BY doc_id),
+r(doc_id, o, k, b) AS (SELECT doc_id, o, 0, []::DOUBLE[] FROM l UNION ALL SELECT doc_id, o, k + 1, list_append(b, 2.0 * (o[k + 1].e - o[k + 1].s) + greatest(0, coalesce(list_max(list_transform(range(1, k + 1), lambda j:
+  CASE WHEN o[j].e <= o[k + 1].s THEN b[j] WHEN least(o[j].e, o[k + 1].e) - o[k + 1].s > 60 THEN NULL WHEN o[k + 1].e <= o[j].e OR (o[j].s = o[k + 1].s AND o[j].e <= o[k + 1].e) THEN b[j] ELSE b[j] - {bestpath.PENALTY['u']!r} * (o[j].e - o[k + 1].s) END)), 0))) FROM r WHERE k < len(o))
+SELECT doc_id, round(list_max(b), 3) AS total FROM r WHERE k = len(o)""")
+def q_path_totals(spark, sf_dir):
+    """What the kept ORFs of a document are worth, less the penalties of neighbours that overlap: the best there is."""
+    orfs = written(longest_orfs(spark, sf_dir).select("key", "orf", "start", F.col("stop_end").alias("end"), F.lit(1).alias("strand")), "orfs")
+    scored = orfs.withColumn("score", (F.col("end") - F.col("start")) * 2.0)
+    kept = orfs.join(bestpath.best_paths(scored, overlap.classify(orfs)), ["key", "orf"], "left_semi")
+    by = Window.partitionBy("key").orderBy("start", "end", "orf")
+    prior = kept.withColumns({"s": F.lag("start").over(by), "e": F.lag("end").over(by)})
+    within = (F.col("end") <= F.col("e")) | ((F.col("s") == F.col("start")) & (F.col("e") <= F.col("end")))
+    cost = F.when((F.col("e") > F.col("start")) & ~within, bestpath.PENALTY["u"] * (F.col("e") - F.col("start"))).otherwise(0.0)
+    return prior.groupBy(F.col("key").alias("doc_id")).agg(F.round(F.sum((F.col("end") - F.col("start")) * 2.0 - cost), 3).alias("total"))
+
+
+@query("precluster_pairs", "SELECT x.s_nationkey AS cluster, x.s_suppkey AS a, y.s_suppkey AS b FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey")
+def q_precluster(spark, sf_dir):
+    return cluster.all_pairs(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("cluster"), F.col("s_suppkey").alias("item")))
+
+
+@query("length_order", f"WITH {PROT_SQL} SELECT item, row_number() OVER (ORDER BY length(seq) DESC, item) AS pos FROM i")
+def q_length_order(spark, sf_dir):
+    """Items longest first, ties by id, numbered without sorting all in one task: ranks within a length, and how many
+    items are longer."""
+    items = written(proteins(spark, sf_dir).select("item", F.length("seq").alias("len")), "lengths")
+    counts = items.groupBy("len").agg(F.count("*").alias("n"))
+    before = counts.select("len", F.coalesce(F.sum("n").over(Window.orderBy(F.col("len").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a length
+    ranked = items.withColumn("k", F.row_number().over(Window.partitionBy("len").orderBy("item")))
+    return ranked.join(before, "len").select("item", (F.col("before") + F.col("k")).alias("pos"))

@@ -169,3 +169,25 @@ def q_family(spark, sf_dir):
     other = s.select(F.col("s_suppkey").alias("b"), F.col("band").alias("band2"), F.col("s_acctbal").alias("bal2"))
     similar = s.join(other, (F.col("band") == F.col("band2")) & (F.col("s_suppkey") < F.col("b"))).select(F.col("s_suppkey").alias("a"), "b", (1 - F.abs(F.col("s_acctbal") - F.col("bal2")) / 100).alias("identity"))
     return families.collapse_families(nodes, edges, similar, 0.7)
+
+
+@query("reads_and_refs_kmers", f"""
+WITH a AS (SELECT {DNA_SQL} AS s FROM benchmark), b AS (SELECT {DNA_SQL} AS s FROM conversations),
+x AS (SELECT substr(s, unnest(range(1, greatest(length(s) - {K - 2}, 1))), {K}) AS x FROM a), y AS (SELECT substr(s, unnest(range(1, greatest(length(s) - {K - 2}, 1))), {K}) AS x FROM b),
+r AS (SELECT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS kmer FROM x), w AS (SELECT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS kmer FROM y)
+SELECT kmer, count(*) AS n FROM (SELECT kmer FROM r UNION ALL SELECT kmer FROM w WHERE kmer IN (SELECT kmer FROM w GROUP BY kmer HAVING count(*) >= 2)) GROUP BY kmer""")
+def q_reads(spark, sf_dir):
+    """K-mers of assemblies (passages) and of reads (turns of conversations), of these only what was seen twice."""
+    reads = balanced(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").alias("genome_id"), F.col("turn").alias("contig_id"), S.dna(F.col("text")).alias("seq"))
+    refs = _contigs(spark, sf_dir).withColumn("contig_id", F.col("contig_id").cast("long"))
+    return dbg.placed_of(refs, reads, K).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+@query("gene_presence")
+def q_gene_presence(spark, sf_dir):
+    """The whole workflow: documents are contigs, their sources genomes; which gene is in which genome."""
+    from strandloom import workflow
+
+    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    contigs = d.select(F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("genome_id"), F.col("doc_id").alias("contig_id"), S.dna(F.col("text")).alias("seq")).where("genome_id IS NOT NULL")
+    return workflow.run(contigs, workflow.Settings(len_cutoff=0.9, identity=0.9, find_missing=False))["presence"]
