@@ -6,10 +6,10 @@ import heapq
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.operators.components import components
+from strandloom.operators import filters
 
 # Penalty per overlapping base of each kind of overlap; w costs nothing, i excludes.
 PENALTY = {"u": 3.895921717182765, "c": 4.603432608883688, "d": 3.3830814940689975, "w": 0.0}
@@ -57,22 +57,23 @@ def heaviest(ids: list, start: list, end: list, score: list, rule: dict[tuple, t
 def best_paths(orfs: DataFrame, overlaps: DataFrame, min_score: float = 100.0) -> DataFrame:
     """(key, orf): the ORFs kept. orfs (key, orf: long, start, end, score), overlaps (key, src, dst, type, bp).
 
-    ORFs of a key that overlap, directly or through others, are one component and are solved together in one task;
-    components are independent, and what does not overlap is kept on its own score.
+    A key is cut wherever an ORF begins after all before it have ended: nothing overlaps across a cut, so the stretches
+    are solved each on its own, and an ORF that is a stretch of its own is kept on its score. A task holds the longest
+    stretch of ORFs that overlap each other without a gap.
     """
-    numbered = orfs.select("key", "orf", "start", "end", "score", F.xxhash64("key", "orf").alias("uid"))
-    edges = overlaps.select(F.xxhash64("key", "src").alias("a"), F.xxhash64("key", "dst").alias("b"))
-    groups = components(edges)
-    joined = numbered.join(groups, F.col("uid") == F.col("node"), "left")
-    alone = joined.where("component IS NULL").where(F.col("score") >= min_score).select("key", "orf")
-    rules = overlaps.select("key", F.col("src").alias("orf"), F.struct("dst", "type", "bp").alias("o"))
-    listed = rules.groupBy("key", "orf").agg(F.collect_list("o").alias("o"))
-    tangled = joined.where("component IS NOT NULL").join(listed, ["key", "orf"], "left")
+    by = Window.partitionBy("key").orderBy("start", "end", "orf")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cut = orfs.select("key", "orf", "start", "end", "score").withColumn("_new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    placed = cut.withColumn("_part", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    placed = placed.withColumn("_n", F.count("*").over(Window.partitionBy("key", "_part")))
+    alone = placed.where("_n = 1").where(filters.good_score(F.col("score"), min_score)).select("key", "orf")
+    listed = overlaps.select("key", F.col("src").alias("orf"), F.struct("dst", "type", "bp").alias("o")).groupBy("key", "orf").agg(F.collect_list("o").alias("o"))
+    tangled = placed.where("_n > 1").join(listed, ["key", "orf"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rule = {(a, o["dst"]): (o["type"], o["bp"]) for a, os in zip(pdf["orf"], pdf["o"]) if os is not None for o in os}
         path, total = heaviest(pdf["orf"].tolist(), pdf["start"].tolist(), pdf["end"].tolist(), pdf["score"].tolist(), rule)
         return pdf[pdf["orf"].isin(path)][["key", "orf"]] if total >= min_score else pdf.iloc[:0][["key", "orf"]]
 
-    kinds = dict(numbered.dtypes)
-    return tangled.groupBy("component").applyInPandas(solve, f"key {kinds['key']}, orf {kinds['orf']}").unionByName(alone)
+    kinds = dict(orfs.dtypes)
+    return tangled.groupBy("key", "_part").applyInPandas(solve, f"key {kinds['key']}, orf {kinds['orf']}").unionByName(alone)

@@ -28,7 +28,7 @@ def test_hits_gfa_and_text(spark, tmp_path):
     links = spark.createDataFrame([(1, -2)], "src int, dst int")
     tables.gfa_lines(nodes, links, 2).coalesce(1).write.text(str(tmp_path / "gfa"))
     seg, lin = tables.read_gfa(spark, str(tmp_path / "gfa"))
-    assert sorted(map(tuple, seg.collect())) == [("1", "ACGT"), ("2", "GTTT")] and tuple(lin.first()) == ("1", "+", "2", "-", "2M")
+    assert sorted(map(tuple, seg.collect())) == [("1", "ACGT", None), ("2", "GTTT", None)] and tuple(lin.first()) == ("1", "+", "2", "-", "2M")
     genes = spark.createDataFrame([("i", "c1", 5, 9, "+", "x;1", "n", "p=q"), ("i", "c1", 1, 4, "-", "y", "m", "r")], "isolate string, contig string, start int, end int, strand string, id string, name string, product string")
     text = tables.gff3_lines(genes).first().value.split("\n")
     assert text[0] == "##gff-version 3" and text[1].startswith("c1\tstrandloom\tCDS\t1\t4") and "ID=x_1;gene=n;product=p_q" in text[2]
