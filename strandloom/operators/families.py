@@ -34,28 +34,41 @@ def context_similarity(near: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def collapse_paralogs(copies: DataFrame, edges: DataFrame, depth: int = CONTEXT_DEPTH) -> DataFrame:
-    """(node, merged): copies of one cluster in different genomes, matched by context.
+    """(node, merged): copies of one cluster in different genomes, matched by nearness in the graph, then by context.
 
-    copies (cluster, node, genome). In each cluster the genome with most copies (ties: the smallest) is the reference;
-    every other copy joins the reference copy with the most similar neighbourhood (ties: the smallest node).
+    copies (cluster, node, genome). In each cluster the genome with most copies (ties: the smallest) is the reference.
+    The copies of another genome are matched one to one with the reference's, so that no genome gives two copies to one
+    node: pairs are taken by the length of the shortest path between them, within ``depth``, then those without one by
+    the similarity of their neighbourhoods (ties: the smallest nodes). A task holds one genome's copies of one cluster.
     """
     counts = copies.groupBy("cluster", "genome").agg(F.count("*").alias("n"))
     ref = counts.groupBy("cluster").agg(F.max_by("genome", F.struct("n", -F.xxhash64("genome"))).alias("_g")) if dict(copies.dtypes)["genome"] == "string" else counts.groupBy("cluster").agg(F.max_by("genome", F.struct("n", -F.col("genome"))).alias("_g"))
     flagged = copies.join(ref, "cluster")
     anchors = flagged.where("genome = _g").select("cluster", F.col("node").alias("b"))
-    others = flagged.where("genome <> _g").select("cluster", F.col("node").alias("a"))
-    pairs = written(others.join(anchors, "cluster").select("a", "b"), "paralog-pairs")
+    others = flagged.where("genome <> _g").select("cluster", "genome", F.col("node").alias("a"))
+    pairs = written(others.join(anchors, "cluster").select("cluster", "genome", "a", "b"), "paralog-pairs")
     near = neighbourhoods(edges, copies.select(F.col("node").alias("seed")), depth)
     similar = context_similarity(near.where("dist > 0"), pairs)
-    scored = pairs.join(similar, ["a", "b"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    chosen = scored.groupBy("a").agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("merged"))
-    return chosen.select(F.col("a").alias("node"), "merged").unionByName(anchors.select(F.col("b").alias("node"), F.col("b").alias("merged")))
+    paths = near.select(F.col("seed").alias("a"), F.col("node").alias("b"), "dist")
+    scored = pairs.join(similar, ["a", "b"], "left").join(paths, ["a", "b"], "left").select("cluster", "genome", "a", "b", F.coalesce("dist", F.lit(depth + 1)).alias("dist"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: dict = {}
+        for r in pdf.assign(s=-pdf["similarity"]).sort_values(["dist", "s", "a", "b"]).itertuples():
+            if r.a not in found and r.b not in found.values():
+                found[r.a] = r.b
+        return pd.DataFrame({"node": list(found), "merged": list(found.values())})
+
+    kind = dict(copies.dtypes)["node"]
+    chosen = scored.groupBy("cluster", "genome").applyInPandas(match, f"node {kind}, merged {kind}")
+    return chosen.unionByName(anchors.select(F.col("b").alias("node"), F.col("b").alias("merged")))
 
 
 def collapse_families(nodes: DataFrame, edges: DataFrame, similar: DataFrame, threshold: float, depths=(1, 2, 3)) -> DataFrame:
-    """(node, merged): similar clusters that lie near each other and share no genome.
+    """(node, merged): similar clusters that lie near each other and share no genome, or lie next to each other in every
+    genome they share: one gene that a frame shift has split.
 
-    nodes (node, genome), edges (u, v), similar (a, b, identity). Within a depth, candidates are similar pairs in
+    nodes (node, genome), edges (u, v, and genomes if that rule is to apply), similar (a, b, identity). Within a depth, candidates are similar pairs in
     each other's neighbourhood of nodes with degree above two; their components are independent, and in each the
     pairs are taken from the most to the least similar, joining two groups if no genome is in both. Each depth works
     on what the one before made.
@@ -64,17 +77,22 @@ def collapse_families(nodes: DataFrame, edges: DataFrame, similar: DataFrame, th
     current = written(current, "families")
     for depth in depths:
         named = current.withColumnsRenamed({"node": "o", "merged": "m"})
-        now_edges = edges.join(named, F.col("u") == F.col("o")).select(F.col("m").alias("u"), "v").join(named, F.col("v") == F.col("o")).select("u", F.col("m").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        now_edges = written(now_edges, "edges")
+        kept = ["genomes"] if "genomes" in edges.columns else []
+        now_edges = edges.join(named, F.col("u") == F.col("o")).select(F.col("m").alias("u"), "v", *kept).join(named, F.col("v") == F.col("o")).select("u", F.col("m").alias("v"), *kept).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *kept)
+        now_edges = written(now_edges.groupBy("u", "v").agg(F.array_distinct(F.flatten(F.collect_list("genomes"))).alias("genomes")) if kept else now_edges.distinct(), "edges")
         busy = now_edges.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").agg(F.count("*").alias("d")).where("d > 2").select(F.col("n").alias("seed"))
         near = neighbourhoods(now_edges, busy, depth)
         pairs = similar.where(F.col("identity") >= threshold).join(named, F.col("a") == F.col("o")).select(F.col("m").alias("a"), "b", "identity").join(named, F.col("b") == F.col("o")).select("a", F.col("m").alias("b"), "identity").where("a <> b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "identity").groupBy("a", "b").agg(F.max("identity").alias("identity"))
         left, right = near.select("seed", F.col("node").alias("a")), near.select("seed", F.col("node").alias("b"))
-        close = written(pairs.join(left, "a").join(right, ["seed", "b"]).select("a", "b", "identity").distinct(), "close")
+        close = pairs.join(left, "a").join(right, ["seed", "b"]).select("a", "b", "identity").distinct()
+        beside = now_edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("genomes").alias("beside")) if kept else None
+        none = F.array().cast(f"array<{dict(nodes.dtypes)['genome']}>")
+        close = close.join(beside, ["a", "b"], "left").withColumn("beside", F.coalesce("beside", none)) if kept else close.withColumn("beside", none)
+        close = written(close, "close")
         comp = components(close.select("a", "b"))
         members = nodes.join(named, F.col("node") == F.col("o")).select(F.col("m").alias("node"), "genome").groupBy("node").agg(F.collect_set("genome").alias("genomes"))
-        links = close.groupBy("a").agg(F.collect_list(F.struct("b", "identity")).alias("links")).withColumnRenamed("a", "node")
+        links = close.groupBy("a").agg(F.collect_list(F.struct("b", "identity", "beside")).alias("links")).withColumnRenamed("a", "node")
         work = comp.join(members, "node").join(links, "node", "left")
 
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -86,10 +104,10 @@ def collapse_families(nodes: DataFrame, edges: DataFrame, similar: DataFrame, th
                     n = root[n]
                 return n
 
-            todo = sorted((-x["identity"], n, x["b"]) for n, xs in zip(pdf["node"], pdf["links"]) if xs is not None for x in xs)
-            for _, a, b in todo:
+            todo = sorted(((-x["identity"], n, x["b"], set(x["beside"])) for n, xs in zip(pdf["node"], pdf["links"]) if xs is not None for x in xs), key=lambda t: t[:3])
+            for _, a, b, beside in todo:
                 a, b = find(a), find(b)
-                if a != b and not genomes[a] & genomes[b]:
+                if a != b and genomes[a] & genomes[b] <= beside:
                     low, high = min(a, b), max(a, b)
                     root[high] = low
                     genomes[low] |= genomes[high]

@@ -9,7 +9,7 @@ from strandloom.operators import calling, cluster, dbg, filters, genegraph, path
 from strandloom.operators.orf import both_strands, orf_pairs
 from strandloom.plans.more_queries import K, _contigs
 from strandloom.plans.orf_queries import BOTH_SQL, DNA_SQL, ORF_PAIRS_SQL
-from strandloom.plans.registry import query
+from strandloom.plans.registry import ORACLES, query
 from strandloom.plans.sequence_queries import AA_SQL
 from strandloom.session import balanced, table, written
 
@@ -244,6 +244,10 @@ _MEMBERS = """m AS (SELECT user_id AS cluster, event_id AS member, (event_id % 1
   CASE event_id % 3 WHEN 0 THEN 'ATG' WHEN 1 THEN 'GTG' ELSE 'TTG' END AS codon FROM events)"""
 
 
+#: start_choice is the same with one half for every start site.
+ORACLES["start_choice"] = _STARTS_SQL.replace("(start % 7) / 7.0::DOUBLE AS tis", "0.5::DOUBLE AS tis")
+
+
 @query("shared_scores", f"""
 WITH {_MEMBERS}, c AS (SELECT cluster, min(member) AS head, arg_min(p, member) AS gene FROM m GROUP BY cluster),
 s AS (SELECT head, member, round((gene * {calling.GENE_WEIGHT!r} + tis * {calling.TIS_WEIGHT!r} + CASE codon WHEN 'ATG' THEN {_W['ATG']!r} WHEN 'GTG' THEN {_W['GTG']!r} ELSE {_W['TTG']!r} END - 0.5) * len, 6) AS score FROM m JOIN c USING (cluster))

@@ -181,6 +181,15 @@ def test_families(spark):
     assert got[3] == got[4] == 3 and got[7] == 7 and got[8] == 8
     copies = spark.createDataFrame([("c", 1, "a"), ("c", 6, "a"), ("c", 7, "b")], "cluster string, node long, genome string")
     assert dict(rows(families.collapse_paralogs(copies, edges)))[7] in (1, 6)
+    # two copies of one genome never join the same copy; the nearer goes first
+    copies = spark.createDataFrame([("c", 1, "a"), ("c", 6, "a"), ("c", 4, "b"), ("c", 8, "b")], "cluster string, node long, genome string")
+    assert dict(rows(families.collapse_paralogs(copies, edges))) == {1: 1, 6: 6, 4: 1, 8: 6}
+    # a genome in both is no hindrance if the two lie next to each other in it
+    shared = spark.createDataFrame([(1, 2, ["a"]), (2, 3, ["a", "b"]), (3, 4, ["a"]), (2, 5, ["b"]), (3, 5, ["b"])], "u long, v long, genomes array<string>")
+    nodes = spark.createDataFrame([(2, "a"), (3, "a"), (2, "b"), (3, "b"), (5, "b"), (1, "a"), (4, "a")], "node long, genome string")
+    alike = spark.createDataFrame([(2, 3, 0.9)], "a long, b long, identity double")
+    assert dict(rows(families.collapse_families(nodes, shared, alike, 0.7)))[3] == 2
+    assert dict(rows(families.collapse_families(nodes, shared.withColumn("genomes", F.array(F.lit("a"))), alike, 0.7)))[3] == 3
     orfs = spark.createDataFrame([("a", 0, 1, 0, 100), ("a", 0, 2, 150, 300), ("a", 0, 3, 20000, 20100), ("a", 1, 4, 0, 90)], "genome string, contig_id int, orf int, start int, end int")
     assert rows(families.connect_orfs(orfs)) == [("a", 1, 2)]
 
