@@ -9,7 +9,8 @@ is part of, so target texts are held out one by one.
 Counts are of the whole corpus and nothing is pruned, so the tables grow with it and none goes to all tasks. Texts are
 cut into blocks of a bounded size, each a row. A block asks for the counts of the words and bigrams it holds, once each,
 and gets back what the corpus has of them: its own part of the two models. Questions are dealt into buckets by key and
-travel as sorted arrays, a row a block and bucket; answers come in the same order and need not repeat the keys.
+travel as sorted, packed arrays, a row a block and bucket; answers come in the same order and need not repeat the keys.
+A bucket holds a bounded number of keys, and of a key at most one entry a block.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +29,9 @@ from strandloom.session import table, written
 
 BIGRAM_WEIGHT, ADDED = 0.6, 0.5
 #: Characters of a block of texts; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
-#: Tokens for which there is a bucket, at most as many keys.
-BUCKET_TOKENS = 4_000_000
+BLOCK_CHARS = 6_000_000
+#: Tokens of the corpus for which there is a bucket: it has at most as many entries of bigrams, and of words.
+BUCKET_TOKENS = 1_000_000
 #: Key of the place before the first word.
 START = np.uint64(0x5EED)
 
@@ -50,14 +51,14 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(mixed(context + np.uint64(0x9E3779B97F4A7C15)) + word)
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """Numbers byte by byte, all lowest bytes first: the high ones are mostly zero and shrink to nothing."""
-    return zstandard.compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: high ones are mostly zero and shrink to nothing."""
+    return zstandard.compress(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
     raw = np.frombuffer(zstandard.decompress(bytes(data)), np.uint8)
-    return raw.reshape(4, -1).T.copy().view("<u4").ravel()
+    return raw.reshape(width, -1).T.copy().view(f"<u{width}").ravel()
 
 
 def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -111,11 +112,11 @@ class Block:
         # keys of the words, then of the bigrams; the order of the questions is by bucket, then key
         both = np.concatenate((word, pair_key(np.where(self.first, START, before), word)))
         k, at = np.unique(both, return_inverse=True)
-        bucket, signed = (k % np.uint64(n_buckets)).astype(np.int64), k.view(np.int64)
-        order = np.lexsort((signed, bucket))
+        bucket = (k % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(k), np.int64)
         rank[order] = np.arange(len(k))
-        self.keys, self.bucket = signed[order], bucket[order]
+        self.keys, self.bucket = k[order], bucket[order]
         self.word, self.pair = rank[at[: len(word)]], rank[at[len(word) :]]
 
     def counts(self) -> list[np.ndarray]:
@@ -153,9 +154,33 @@ def losses(one: Block, counts: list[np.ndarray], n_tokens: tuple[int, int], n_te
     return out[0], out[1]
 
 
+#: What is counted of a key: as ``Block.counts`` lists it.
 COUNTS = ("n", "t", "en", "et")
 
 
+def question(keys: np.ndarray, counts: list[np.ndarray]) -> dict[str, bytes]:
+    """Sorted keys by their steps, and their counts."""
+    return {"k": packed(np.diff(keys, prepend=np.uint64(0)), 8)} | {c: packed(x) for c, x in zip(COUNTS, counts)}
+
+
+def answers(asked: pd.DataFrame) -> pd.DataFrame:
+    """What all the blocks of a bucket have together, to each of them in the order of its question."""
+    keys = [np.cumsum(unpacked(k, 8), dtype=np.uint64) for k in asked["k"]]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    out = {"block": asked["block"], "bucket": asked["bucket"]}
+    for c in COUNTS:
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, np.concatenate([unpacked(x) for x in asked[c]]).astype(np.int64))
+        out[c] = [packed(x, 8) for x in np.split(total[at], ends)]
+    return pd.DataFrame(out)
+
+
+def vocabulary_size(encoded: DataFrame) -> int:
+    """How many words the corpus has, to one percent: what both models share with words that are not in it."""
+    return encoded.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w", 0.01)).first()[0]
+
+
 def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, loss_background, loss_target, score) of whole texts, losses as means over the words.
 
@@ -170,7 +195,7 @@ def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHAR
     hits = written(each.join(ids.hint("merge"), F.col("doc_ids") == F.col("_id"), "left_semi").select("block", "pos", "lens"), "targets")
     total = lambda df: tuple(x or 0 for x in df.agg(F.sum("lens"), F.count_if(F.col("lens") > 0)).first())
     (n_all, texts_all), (n_target, texts_target) = total(each), total(hits)
-    n_words = encoded.select(F.explode("words").alias("w")).distinct().count()
+    n_words = vocabulary_size(encoded)
     n_buckets = max(64, -(-n_all // BUCKET_TOKENS))
     targets = hits.groupBy("block").agg(F.collect_list("pos").alias("targets")).withColumnRenamed("block", "_block")
     flagged = encoded.join(targets.hint("merge"), F.col("block") == F.col("_block"), "left").drop("_block")
@@ -178,21 +203,19 @@ def scored(docs: DataFrame, target_ids: DataFrame, block_chars: int = BLOCK_CHAR
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         one = Block(pdf.iloc[0], n_buckets)
         found, starts = np.unique(one.bucket, return_index=True)
-        out = {"block": pdf["block"].iloc[0], "bucket": found, "k": np.split(one.keys, starts[1:])}
-        return pd.DataFrame(out | {c: np.split(x.astype(np.int32), starts[1:]) for c, x in zip(COUNTS, one.counts())})
+        counts, cuts = one.counts(), [*starts, len(one.keys)]
+        rows = [question(one.keys[a:b], [c[a:b] for c in counts]) for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame(rows, columns=["k", *COUNTS]).assign(block=pdf["block"].iloc[0], bucket=found)[["block", "bucket", "k", *COUNTS]]
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         one, right = Block(left.iloc[0], n_buckets), right.sort_values("bucket")
-        counts = [np.concatenate(right[c].tolist()) if len(right) else np.zeros(0, np.int64) for c in COUNTS]
+        counts = [np.concatenate([unpacked(x, 8) for x in right[c]]).astype(np.int64) if len(right) else np.zeros(0, np.int64) for c in COUNTS]
         background, target = losses(one, counts, (n_all, n_target), (texts_all, texts_target), n_words)
         return pd.DataFrame({"doc_id": pd.Series(one.ids, dtype=object), "n_tokens": one.lens, "loss_background": background, "loss_target": target, "score": background - target})
 
-    asked = flagged.groupBy("block").applyInPandas(ask, "block long, bucket long, k array<long>, " + ", ".join(f"{c} array<int>" for c in COUNTS))
-    each_key = asked.repartition("bucket").select("block", "bucket", F.inline(F.arrays_zip("k", *COUNTS)))
-    by_key = Window.partitionBy("bucket", "k")
-    summed = each_key.select("block", "bucket", "k", *[F.sum(c).over(by_key).alias(c) for c in COUNTS])
-    listed = summed.groupBy("bucket", "block").agg(F.array_sort(F.collect_list(F.struct("k", *COUNTS))).alias("x"))
-    known = listed.select("block", "bucket", *[F.col(f"x.{c}").alias(c) for c in COUNTS])
+    counted = ", ".join(f"{c} binary" for c in COUNTS)
+    asked = flagged.groupBy("block").applyInPandas(ask, f"block long, bucket long, k binary, {counted}")
+    known = asked.groupBy("bucket").applyInPandas(answers, f"block long, bucket long, {counted}")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.DoubleType() if c != "n_tokens" else T.LongType()) for c in ("n_tokens", "loss_background", "loss_target", "score"))])
     return flagged.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(answer, schema)
 
