@@ -73,8 +73,12 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         ids, lens, own, tokens, held = [], [], {}, [], 0
 
         def row():
-            keys = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
-            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys.view(np.int64)], "tokens": [packed(np.concatenate(tokens))]})
+            keys, flat = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)), np.concatenate(tokens)
+            # frequent words get small numbers, which pack better
+            order = np.argsort(-np.bincount(flat, minlength=len(own)), kind="stable")
+            rank = np.empty(len(own), np.uint32)
+            rank[order] = np.arange(len(own))
+            return pd.DataFrame({"block": [part << 32 | made], "doc_ids": [ids], "lens": [lens], "words": [keys[order].view(np.int64)], "tokens": [packed(rank[flat])]})
 
         for batch in batches:
             for k, text in zip(batch["k"], batch["text"]):
@@ -109,14 +113,15 @@ class Block:
         if row["targets"] is not None:
             self.target[np.asarray(row["targets"], np.int64)] = True
         before = np.concatenate(([START], word[:-1])) if len(word) else word
-        # keys of the words, then of the bigrams; the order of the questions is by bucket, then key
-        both = np.concatenate((word, pair_key(np.where(self.first, START, before), word)))
+        # keys of the words, then of the bigrams, of 56 bits; the order of the questions is by bucket, then key
+        both = np.concatenate((word, pair_key(np.where(self.first, START, before), word))) >> np.uint64(8)
         k, at = np.unique(both, return_inverse=True)
         bucket = (k % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(k), np.int64)
         rank[order] = np.arange(len(k))
-        self.keys, self.bucket = k[order], bucket[order]
+        # within a bucket the quotient tells a key
+        self.keys, self.bucket = k[order] // np.uint64(n_buckets), bucket[order]
         self.word, self.pair = rank[at[: len(word)]], rank[at[len(word) :]]
 
     def counts(self) -> list[np.ndarray]:
