@@ -1,7 +1,7 @@
 """Which sources of a language write unlike each other, by exact smoothed term shares counted in mergeable byte tries.
 
-A task counts the terms of its documents in a radix trie a language: edges are runs of UTF-8 bytes, a leaf holds how
-many documents have the term and a counter for each source. Tries are cut at a prefix and their parts meet by range of
+A task counts the terms of its documents in a trie a language: it branches by bytes of UTF-8, what few terms share is not
+split, and a leaf holds how many documents have the term and a counter for each source. Tries are cut at a prefix and their parts meet by range of
 prefixes, where they are merged leaf by leaf; a prefix with too many leaves is cut deeper first, so no part grows with
 the corpus. Traversing a merged trie gives terms in UTF-8 order, which is the order of ties: the kept ones stream by in
 chunks, each adds to the sums of all pairs of sources, and each source keeps its best 200 so far.
@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ LEAST_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
 #: Leaves a task's tries may have before it hands them on; bytes at which tries are first cut; leaves that may meet
 #: under one prefix before it is cut deeper; kept terms in a chunk.
-MAX_LEAVES, DEPTH, MAX_MEET, CHUNK = 150_000, 4, 500_000, 2_048
+MAX_LEAVES, DEPTH, MAX_MEET, CHUNK = 250_000, 4, 500_000, 2_048
 #: Groups of language and source that are broadcast; more are joined by shuffle.
 MAX_GROUPS = 100_000
 #: Terms in UTF-8: ASCII letters and all bytes beyond ASCII.
@@ -37,67 +39,93 @@ PART = "lang string, prefix binary, n long, longest long, sources array<string>,
 KEPT = "lang string, n_terms long, totals array<struct<source: string, n: long>>, sources array<string>, terms binary, sizes binary, source binary, counts binary"
 
 
+class Node:
+    """An inner node: the leaf of the term that ends here, if any, and what is below by the next byte."""
+
+    __slots__ = ("below", "end")
+
+    def __init__(self) -> None:
+        self.below: dict[int, Node | dict] = {}
+        self.end: dict[int, int] | None = None
+
+
 class Trie:
-    """A radix trie of byte strings. A node is [edges or None, leaf or None]: edges by their first byte, each a label
-    and a node; a leaf has its counters, the number of documents under -1."""
+    """A byte trie whose last stretch is a container: a plain dict from the rest of a term to its leaf, which becomes a
+    node with a container for each byte once it has over BURST terms. A leaf has the counters of sources by number, and
+    the number of documents under -1."""
+
+    BURST = 1024
 
     def __init__(self) -> None:
-        self.root: list = [None, None]
+        self.root: Node | dict = {}
         self.size = 0
 
     def leaf(self, term: bytes) -> dict[int, int]:
-        """The counters of a term, new if it has none. A label that the term leaves half-way is split there."""
-        node, at = self.root, 0
-        while at < len(term):
-            if node[0] is None:
-                node[0] = {}
-            edge = node[0].get(term[at])
-            if edge is None:
-                below = [None, None]
-                node[0][term[at]] = (term[at:], below)
-                node = below
-                break
-            label, below = edge
-            if not term.startswith(label, at):
-                same = 1
-                while same < len(label) and at + same < len(term) and label[same] == term[at + same]:
-                    same += 1
-                half = [{label[same]: (label[same:], below)}, None]
-                node[0][term[at]] = (label[:same], half)
-                below, label = half, label[:same]
-            node, at = below, at + len(label)
-        if node[1] is None:
-            node[1] = {-1: 0}
+        """The counters of a term, new if it has none."""
+        node, above, at = self.root, None, 0
+        while type(node) is Node:
+            if at == len(term):
+                if node.end is None:
+                    node.end = {-1: 0}
+                    self.size += 1
+                return node.end
+            above, node = node, node.below.get(term[at])
+            if node is None:
+                node = above.below[term[at]] = {}
+            at += 1
+        rest = term[at:]
+        leaf = node.get(rest)
+        if leaf is None:
+            leaf = node[rest] = {-1: 0}
             self.size += 1
-        return node[1]
+            if len(node) > self.BURST:
+                burst = Node()
+                for k, x in node.items():
+                    if k:
+                        burst.below.setdefault(k[0], {})[k[1:]] = x
+                    else:
+                        burst.end = x
+                if above is None:
+                    self.root = burst
+                else:
+                    above.below[term[at - 1]] = burst
+        return leaf
 
     def walk(self) -> Iterator[tuple[bytes, dict[int, int]]]:
         """Terms with their counters in byte order; code points have the same order."""
-        stack = [(b"", self.root)]
+        stack: list = [(b"", self.root)]
         while stack:
             above, node = stack.pop()
-            if node[1] is not None:
-                yield above, node[1]
-            if node[0]:
-                stack += [(above + node[0][k][0], node[0][k][1]) for k in sorted(node[0], reverse=True)]
+            if type(node) is Node:
+                if node.end is not None:
+                    yield above, node.end
+                stack += [(above + bytes((k,)), node.below[k]) for k in sorted(node.below, reverse=True)]
+            else:
+                for rest in sorted(node):
+                    yield above + rest, node[rest]
 
 
 def packed(leaves: list[tuple[bytes, dict[int, int]]], names: list[str]) -> dict:
     """Leaves as flat arrays, with the sources that they name; a term has no zero byte, so one can part them."""
-    used = sorted({s for _, leaf in leaves for s in leaf if s >= 0})
-    place = {s: i for i, s in enumerate(used)}
+    place: dict[int, int] = {}
+    source, counts = [], []
+    for _, leaf in leaves:
+        for s, n in leaf.items():
+            if s >= 0:
+                source.append(place.setdefault(s, len(place)))
+                counts.append(n)
     return {
-        "sources": [names[s] for s in used], "terms": b"\0".join(t for t, _ in leaves), "docs": np.array([leaf[-1] for _, leaf in leaves], np.int64).tobytes(), "sizes": np.array([len(leaf) - 1 for _, leaf in leaves], np.int32).tobytes(),
-        "source": np.array([place[s] for _, leaf in leaves for s in leaf if s >= 0], np.int32).tobytes(), "counts": np.array([n for _, leaf in leaves for s, n in leaf.items() if s >= 0], np.int64).tobytes(),
+        "sources": [names[s] for s in place], "terms": b"\0".join([t for t, _ in leaves]), "docs": array("q", [leaf[-1] for _, leaf in leaves]).tobytes(), "sizes": array("i", [len(leaf) - 1 for _, leaf in leaves]).tobytes(),
+        "source": array("i", source).tobytes(), "counts": array("q", counts).tobytes(),
     }
 
 
-def unpacked(row) -> Iterator[tuple[bytes, int, list[tuple[str, int]]]]:
-    """(term, documents, [(source, count)]) of each leaf of a part, in byte order."""
-    names, at = list(row.sources), 0
-    source, counts = np.frombuffer(row.source, np.int32).tolist(), np.frombuffer(row.counts, np.int64).tolist()
-    for term, docs, size in zip(row.terms.split(b"\0"), np.frombuffer(row.docs, np.int64).tolist(), np.frombuffer(row.sizes, np.int32).tolist()):
-        yield term, docs, [(names[s], n) for s, n in zip(source[at : at + size], counts[at : at + size])]
+def unpacked(row, own: list | None = None) -> Iterator[tuple[bytes, int, list[tuple]]]:
+    """(term, documents, [(source, count)]) of each leaf of a part, in byte order; sources as ``own`` has them."""
+    names, at = list(row.sources) if own is None else own, 0
+    pairs = list(zip([names[s] for s in memoryview(row.source).cast("i")], memoryview(row.counts).cast("q")))
+    for term, docs, size in zip(row.terms.split(b"\0"), memoryview(row.docs).cast("q"), memoryview(row.sizes).cast("i")):
+        yield term, docs, pairs[at : at + size]
         at += size
 
 
@@ -115,14 +143,9 @@ class Numbers(dict):
 
 def cut(lang: str, leaves: Iterator[tuple[bytes, dict[int, int]]], names: list[str], depth: int) -> Iterator[dict]:
     """The parts of a trie, one for each beginning of ``depth`` bytes."""
-    part: list = []
-    for term, leaf in leaves:
-        if part and term[:depth] != part[0][0][:depth]:
-            yield {"lang": lang, "prefix": part[0][0][:depth], "n": len(part), "longest": max(len(t) for t, _ in part), **packed(part, names)}
-            part = []
-        part.append((term, leaf))
-    if part:
-        yield {"lang": lang, "prefix": part[0][0][:depth], "n": len(part), "longest": max(len(t) for t, _ in part), **packed(part, names)}
+    for prefix, some in groupby(leaves, lambda x: x[0][:depth]):
+        part = list(some)
+        yield {"lang": lang, "prefix": prefix, "n": len(part), "longest": max([len(t) for t, _ in part]), **packed(part, names)}
 
 
 def frames(rows: Iterator[dict], schema: str, size: int = 4_096) -> Iterator[pd.DataFrame]:
@@ -153,23 +176,25 @@ def counted(docs: DataFrame, depth: int = DEPTH, max_leaves: int = MAX_LEAVES) -
 
         for batch in batches:
             for (lang, source), some in batch.groupby(["lang", "source"], sort=False)["text"]:
-                total, seen, number = Counter(), Counter(), numbers[source]
+                total, again, number = Counter(), {}, numbers[source]  # all occurrences; those after a document's first
 
                 def settle() -> None:
-                    leaves, trie = known[lang], tries[lang]
+                    leaves, find = known[lang], tries[lang].leaf
                     for term, n in total.items():
                         leaf = leaves.get(term)
                         if leaf is None:
-                            leaf = leaves[term] = trie.leaf(term)
+                            leaf = leaves[term] = find(term)
                         leaf[number] = leaf.get(number, 0) + n
-                        leaf[-1] += seen[term]
+                        leaf[-1] += n - again.get(term, 0)
                     total.clear()
-                    seen.clear()
+                    again.clear()
 
                 for text in some:
                     terms = TERM(text.encode().lower())  # of bytes, lower() changes A-Z only
                     total.update(terms)
-                    seen.update(set(terms))
+                    for term, n in Counter(terms).items():
+                        if n > 1:
+                            again[term] = again.get(term, 0) + n - 1
                     if len(total) > max_leaves:
                         settle()
                         yield from frames(handed_on(), PART)
@@ -195,7 +220,7 @@ def cut_deeper(parts: DataFrame, depth: int, max_meet: int = MAX_MEET) -> DataFr
             for batch in batches:
                 for row in batch.itertuples():
                     numbers = Numbers()
-                    leaves = ((t, {-1: d} | {numbers[s]: n for s, n in c}) for t, d, c in unpacked(row))
+                    leaves = ((t, {-1: d, **dict(c)}) for t, d, c in unpacked(row, [numbers[s] for s in row.sources]))
                     yield from frames(cut(row.lang, leaves, numbers.names, deeper), PART)
 
         again = parts.join(large, ["lang", "prefix"], "left_semi").mapInPandas(run, PART)
@@ -231,11 +256,12 @@ def merged(parts: DataFrame, least_docs: int = LEAST_DOCS, chunk: int = CHUNK) -
                             yield handed_on()
                             numbers, kept = Numbers(), []
                     at = (row.lang, row.prefix)
-                    for term, docs, counts in unpacked(row):
-                        leaf = trie.leaf(term[len(row.prefix) :])
+                    own, depth = [numbers[s] for s in row.sources], len(row.prefix)
+                    for term, docs, counts in unpacked(row, own):
+                        leaf = trie.leaf(term[depth:])
                         leaf[-1] += docs
                         for source, n in counts:
-                            leaf[numbers[source]] = leaf.get(numbers[source], 0) + n
+                            leaf[source] = leaf.get(source, 0) + n
             if at is not None:
                 traverse()
                 if kept:
