@@ -7,6 +7,7 @@ import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 #: Where the tables of ``written`` lie.
@@ -53,6 +54,25 @@ def discard(*tables: DataFrame) -> None:
             _delete(df.sparkSession, _paths.pop(df))
 
 
+class Pile:
+    """Tables of one schema that rounds write, each to be read alone or all as one: no plan grows with the rounds."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.rounds = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round; what is returned reads it again."""
+        self.rounds, path = self.rounds + 1, f"{self.path}/round={self.rounds}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def read(self, schema: StructType) -> DataFrame:
+        """All rounds so far, with the column ``round``."""
+        out = self.spark.read.schema(StructType([*schema.fields, StructField("round", IntegerType())])).parquet(self.path)
+        _paths[out] = self.path
+        return out
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that ``written`` left behind in this application, once the results are stored."""
     _delete(spark, shared_folder(spark))
