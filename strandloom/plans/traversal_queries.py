@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import dbg, traversal
+from strandloom.operators import alignpaths, dbg, traversal
+from strandloom.plans.more_queries import K as LONG_K
 from strandloom.plans.more_queries import _contigs
 from strandloom.plans.orf_queries import DNA_SQL
+from strandloom.plans.path_queries import _graph
 from strandloom.plans.registry import query
 from strandloom.session import written
 
@@ -80,3 +82,25 @@ def q_stop_paths(spark, sf_dir):
     of = walks.select("path", F.md5(F.array_join(F.transform("s", lambda x: x["seq"]), ",")).alias("path_md5"), (F.aggregate("s", F.lit(0), lambda a, x: a + F.length(x["seq"])) - (F.size("s") - 1) * (K - 1)).cast("long").alias("size"))
     each = found.select("path", "open", F.explode(traversal.bits(F.col("genomes"))).alias("g")).join(named, "g").join(of, "path")
     return each.select(F.col("genome_id").alias("item_id"), "path_md5", F.size("path").cast("long").alias("n_nodes"), "size", "open")
+
+
+_SIDE = lambda s, e, d: f"CASE WHEN {s} >= lo AND {e} <= hi THEN 53 WHEN {s} >= lo THEN CASE WHEN {d} > 0 THEN 5 ELSE 3 END WHEN {e} <= hi THEN CASE WHEN {d} > 0 THEN 3 ELSE 5 END ELSE 0 END"
+
+
+@query("path_overlaps", f"""WITH s AS (SELECT item_id, length({DNA_SQL}) AS n FROM benchmark), i AS (SELECT item_id, n, unnest(range(0, n // 20)) AS orf FROM s),
+w AS (SELECT item_id, orf, 20 * orf AS s, 20 * orf + 40 + 17 * (orf % 4) AS e, CASE WHEN orf % 3 = 0 THEN -1 ELSE 1 END AS d FROM i WHERE 20 * orf + 40 + 17 * (orf % 4) <= n),
+p AS (SELECT a.item_id, a.orf AS src, b.orf AS dst, a.s, a.e, a.d, b.s AS s2, b.e AS e2, b.d AS d2, greatest(a.s, b.s) AS lo, least(a.e, b.e) AS hi FROM w a JOIN w b ON a.item_id = b.item_id AND a.orf < b.orf AND b.s < a.e),
+t AS (SELECT *, hi - lo AS bp, {_SIDE('s', 'e', 'd')} AS x, {_SIDE('s2', 'e2', 'd2')} AS y FROM p)
+SELECT item_id, src, dst, CASE WHEN bp > 60 THEN 'i' WHEN x = 53 OR y = 53 THEN 'w' WHEN x = 3 AND y = 3 THEN 'c' WHEN x = 5 AND y = 5 THEN 'd' ELSE 'u' END AS type, bp FROM t""")
+def q_path_overlaps(spark, sf_dir):
+    """How stretches of passages overlap, told from their paths through the graph alone; SQL has their coordinates."""
+    placed, members, nodes = _graph(spark, sf_dir)
+    steps = written(dbg.genome_paths(placed, members, nodes), "paths")
+    contigs = _contigs(spark, sf_dir)
+    at = F.explode(F.when(F.length("seq") >= 20, F.sequence(F.lit(0), F.floor(F.length("seq") / 20).cast("int") - 1))).alias("orf")
+    w = contigs.select("genome_id", "contig_id", F.lit(0).alias("piece"), F.length("seq").alias("n"), at).withColumn("start", 20 * F.col("orf"))
+    w = written(w.withColumn("end", F.col("start") + 40 + 17 * (F.col("orf") % 4)).where("end <= n").withColumn("strand", F.when(F.col("orf") % 3 == 0, -1).otherwise(1)).drop("n"), "stretches")
+    keys = ["genome_id", "contig_id", "piece", "start", "end"]
+    lifted = alignpaths.sized(dbg.lift(w, steps).join(w, keys).select(F.col("genome_id").alias("key"), "orf", "strand", "coords"), nodes, ["key", "orf"])
+    read = lifted.withColumn("path", F.when(F.col("strand") < 0, alignpaths.turned(F.col("path"))).otherwise(F.col("path")))
+    return alignpaths.path_overlaps(read, LONG_K).select(F.col("key").alias("item_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "type", "bp")
