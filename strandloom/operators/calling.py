@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.sequence import reverse_complement
+
 # Weights of the ORF score.
 GENE_WEIGHT, TIS_WEIGHT, THRESHOLD = 0.9746869839852076, 0.25380288790532707, 0.47256101519707244
 START_WEIGHT = {"ATG": 0.84249804151264, "GTG": 0.7083689705744909, "TTG": 0.7512400826652517}
@@ -37,6 +39,27 @@ def tis_window(seq: Column, start: Column, width: int = 16) -> Column:
     return F.when(start >= width, F.reverse(F.concat(F.substr(whole, F.lit(1), F.lit(width)), F.substr(whole, F.lit(width + 4), F.lit(width)))))
 
 
+def start_windows(contigs: DataFrame, orfs: DataFrame, keys: list[str], seq: str, width: int = 16) -> DataFrame:
+    """(keys, strand, start, end, window): ``tis_window`` of the starts of ORFs (keys, strand, start, end on the forward
+    strand), upstream bases of the contig included.
+
+    A contig meets all its ORFs in one row, so its sequence is not copied for each; it is cut as bytes, which need no
+    counting from its beginning.
+    """
+    listed = orfs.groupBy(*keys).agg(F.collect_set(F.struct("strand", "start", "end")).alias("_o"))
+    raw = F.col(seq).cast("binary")
+
+    def window(o: Column) -> Column:
+        forward = o["strand"] > 0
+        first = F.when(forward, o["start"] - width).otherwise(o["end"] - 3 - width)
+        around = F.substr(raw, F.greatest(first, F.lit(0)) + 1, F.lit(2 * width + 3)).cast("string")
+        whole = (first >= 0) & (first + 2 * width + 3 <= F.length(seq))
+        return F.when(whole, tis_window(F.when(forward, around).otherwise(reverse_complement(around)), F.lit(width), width))
+
+    each = contigs.join(listed, keys).select(*keys, F.explode(F.transform("_o", lambda o: F.struct(o["strand"].alias("strand"), o["start"].alias("start"), o["end"].alias("end"), window(o).alias("window")))).alias("_x"))
+    return each.select(*keys, "_x.*")
+
+
 def orf_score(gene_prob: Column, tis_prob: Column, start_codon: Column, length: Column) -> Column:
     """(weighted gene probability + weighted start site + start codon - threshold) * length."""
     start = F.lit(START_WEIGHT["ATG"])  # as are unknown starts

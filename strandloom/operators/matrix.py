@@ -178,12 +178,18 @@ def power_law(curve: DataFrame, rounds: int = 100) -> tuple[float, float, float]
     return float(theta[0]), float(theta[1]), float(np.sqrt(cov[1, 1]))
 
 
-def roary_table(members: DataFrame, genomes: list[str], value: str = "orf") -> DataFrame:
+def genomes_of(rows: DataFrame) -> list[str]:
+    """The genomes of a table in order, for the driver: they are to be the columns of another."""
+    return [r[0] for r in rows.select("genome").where("genome IS NOT NULL").distinct().orderBy("genome").collect()]
+
+
+def roary_table(members: DataFrame, genomes: list[str] | None = None, value: str = "orf") -> DataFrame:
     """The wide table: per gene its summary columns and one column per genome with its members, joined by ;.
 
-    members (gene, genome, <value>, length, annotation). The genomes are named by the caller, as a table's columns
-    must be; rows are ordered by the number of genomes, then by gene.
+    members (gene, genome, <value>, length, annotation). The columns are the genomes of the table unless the caller
+    names them; rows are ordered by the number of genomes, then by gene.
     """
+    genomes = genomes if genomes is not None else genomes_of(members)
     summary = members.groupBy("gene").agg(
         F.array_join(F.sort_array(F.collect_set("annotation")), ";").alias("annotation"),
         F.count_distinct("genome").alias("n_isolates"),
@@ -198,8 +204,9 @@ def roary_table(members: DataFrame, genomes: list[str], value: str = "orf") -> D
     return summary.join(wide, "gene").orderBy(F.col("n_isolates").desc(), "gene")
 
 
-def rtab(pairs: DataFrame, genomes: list[str]) -> DataFrame:
-    """Genes by genomes as 0 and 1."""
+def rtab(pairs: DataFrame, genomes: list[str] | None = None) -> DataFrame:
+    """Genes by genomes as 0 and 1; the genomes are those of the table unless the caller names them."""
+    genomes = genomes if genomes is not None else genomes_of(pairs)
     return pairs.groupBy("gene").pivot("genome", genomes).agg(F.lit(1)).na.fill(0)
 
 

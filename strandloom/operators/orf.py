@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequence import START_CODONS, STOP_CODONS, reverse_complement
+from strandloom.functions.sequence import START_CODONS, STOP_CODONS, codon_positions, reverse_complement
 
 
 def read_codons(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -94,3 +94,11 @@ def both_strands(contigs: DataFrame, keys: list[str], seq: str, min_len: int = 9
     forward = F.col("id.o.s") > 0
     lo = F.when(forward, F.col("start")).otherwise(F.col("id.o.n") - F.col("start") - F.col("len"))
     return found.select(*[F.col(f"id.k.{c}").alias(c) for c in keys], F.col("id.o.s").alias("strand"), "frame", lo.alias("start"), (lo + F.col("len")).alias("end"), "stop", "len", "dna", "partial5", "partial3")
+
+
+def stop_frequency(contigs: DataFrame, seq: str, stops=STOP_CODONS) -> float:
+    """Stop codons per place of three bases, both strands and all frames, of all contigs; 0 without such places."""
+    both = F.col(seq), reverse_complement(F.col(seq))
+    n = sum((F.size(codon_positions(s, stops)) for s in both), F.lit(0))
+    found, of = contigs.where(F.col(seq).isNotNull()).agg(F.sum(n), F.sum(2 * F.greatest(F.length(seq) - 2, F.lit(0)))).first()
+    return found / of if of else 0.0

@@ -218,8 +218,9 @@ def q_roary(spark, sf_dir):
     """The wide table of genes with a column an isolate; suppliers are genes and return flags isolates."""
     li = table(spark, sf_dir, "lineitem")
     m = li.select(F.col("l_suppkey").alias("gene"), F.col("l_returnflag").alias("genome"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("orf"), F.col("l_quantity").cast("int").alias("length"), F.col("l_linestatus").alias("annotation"))
-    out = matrix.roary_table(m, ["A", "N", "R"])
-    return out.select(*[c for c in out.columns if c not in "ANR"], *[F.md5(F.nullif(F.col(g), F.lit(""))).alias(g) for g in "ANR"])
+    flags = matrix.genomes_of(m)
+    out = matrix.roary_table(m, flags)
+    return out.select(*[c for c in out.columns if c not in flags], *[F.md5(F.nullif(F.col(g), F.lit(""))).alias(g) for g in flags])
 
 
 @query("codon_file", ORF_PAIRS_SQL.replace("('ATG', 'GTG', 'TTG')", "('ATG', 'CTG')").replace("'ATG', 'GTG', 'TTG', 'TAA', 'TGA', 'TAG'", "'ATG', 'CTG', 'TAA', 'TAG'").replace("'TAA', 'TGA', 'TAG'", "'TAA', 'TAG'"))

@@ -82,4 +82,4 @@ def q_roary_lengths(spark, sf_dir):
 
 @query("gene_rtab", PAIRS_SQL + " SELECT gene, " + ", ".join(f"max((genome = 'src{i}')::INT)::INT AS src{i}" for i in range(20)) + " FROM pairs GROUP BY gene")
 def q_rtab(spark, sf_dir):
-    return matrix.rtab(word_pairs(spark, sf_dir), [f"src{i}" for i in range(20)])
+    return matrix.rtab(word_pairs(spark, sf_dir))

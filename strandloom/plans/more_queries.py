@@ -188,6 +188,7 @@ def q_gene_presence(spark, sf_dir):
     """The whole workflow: documents are contigs, their sources genomes; which gene is in which genome."""
     from strandloom import workflow
 
-    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    contigs = d.select(F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("genome_id"), F.col("doc_id").alias("contig_id"), S.dna(F.col("text")).alias("seq")).where("genome_id IS NOT NULL")
+    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).withColumn("source", F.coalesce("source", F.lit("")))
+    named = written(dbg.dense_ids(d.select("source").distinct(), "source", "genome_id"), "sources")
+    contigs = d.join(F.broadcast(named) if named.count() <= 100_000 else named, "source").select("genome_id", F.col("doc_id").alias("contig_id"), S.dna(F.col("text")).alias("seq"))
     return workflow.run(contigs, workflow.Settings(len_cutoff=0.9, identity=0.9, find_missing=False))["presence"]

@@ -7,6 +7,7 @@ folder where several others read them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +33,10 @@ class Settings:
     len_cutoff: float = 0.98
     identity: float = 0.98
     family_identity: float = 0.7
-    min_support: int = 1
+    #: How the graph is cleaned: strict, moderate or sensitive. Supports that are given override the mode's.
+    mode: str = "strict"
+    trailing_support: int | None = None
+    edge_support: int | None = None
     edge_share: float = 0.05
     max_distance: int = 10_000
     core: float = 0.95
@@ -43,6 +47,26 @@ class Settings:
     annotations: DataFrame | None = field(default=None, repr=False)  # (query: cluster id as text, hit, bitscore, title)
 
 
+@dataclass(frozen=True)
+class Cleaning:
+    """Genes at the ends of the graph in fewer genomes than ``trailing_support`` go, ``rounds`` times; edges in fewer
+    than ``edge_support`` go where they look like misassemblies."""
+
+    trailing_support: int
+    rounds: int
+    edge_support: int
+
+
+def cleaning(s: Settings, n_genomes: int) -> Cleaning:
+    """The supports of a mode, which grow with the number of genomes, from two on."""
+    share = lambda x: max(2, math.ceil(x * n_genomes))
+    modes = {"strict": Cleaning(share(0.05), 1_000, share(0.01)), "moderate": Cleaning(share(0.01), 1_000, share(0.01)), "sensitive": Cleaning(2, 0, 0)}
+    if s.mode not in modes:
+        raise ValueError(f"mode {s.mode} is none of {', '.join(modes)}")
+    own = modes[s.mode]
+    return Cleaning(own.trailing_support if s.trailing_support is None else s.trailing_support, own.rounds, own.edge_support if s.edge_support is None else s.edge_support)
+
+
 def read_genomes(spark: SparkSession, listing: str) -> DataFrame:
     """(genome_id, isolate, contig_id, seq) of the FASTA files that a list of paths names."""
     paths = fasta.read_paths(spark, listing)
@@ -61,10 +85,12 @@ def called(contigs: DataFrame, s: Settings) -> DataFrame:
     group = F.struct("genome_id", "contig_id", "strand")
     sites = found.withColumn("site", S.translate_full(F.substr("dna", F.lit(1), F.lit(12))))
     counts = kmer.genome_counts(sites, "genome_id", "site").withColumnRenamed("n_genomes", "site_genomes")
-    freq = found.agg((F.lit(3) / F.lit(64)).alias("f")).first()[0]
+    freq = orf.stop_frequency(pieces, "seq", s.stops)
     if s.start_scorer:
-        window = F.substr("dna", F.lit(1), F.lit(33))
-        sites = calling.score_distinct(sites.withColumn("_w", window), "_w", s.start_scorer, "tis").drop("_w")
+        windows = written(calling.start_windows(pieces, found, ["genome_id", "contig_id"], "seq"), "windows")
+        scored = calling.score_distinct(windows.where("window IS NOT NULL"), "window", s.start_scorer, "tis").drop("window")
+        # without enough bases before it a start is as likely as not
+        sites = sites.join(scored, ["genome_id", "contig_id", "strand", "start", "end"], "left").withColumn("tis", F.coalesce("tis", F.lit(0.5)))
     else:
         sites = sites.withColumn("tis", F.lit(0.5))
     shape = F.struct("start", "end", "partial5", "partial3", "dna", "tis")
@@ -97,7 +123,7 @@ def clustered(orfs: DataFrame, s: Settings) -> DataFrame:
     return written(groups.join(ids, "centroid").join(orfs.select(F.md5("protein").alias("member"), "genome_id", "orf_id"), "member").select(F.col("cluster").cast("long").alias("cluster"), "genome_id", "orf_id"), "members")
 
 
-def graph_of(orfs: DataFrame, members: DataFrame, s: Settings) -> dict[str, DataFrame]:
+def graph_of(orfs: DataFrame, members: DataFrame, s: Settings, n_genomes: int) -> dict[str, DataFrame]:
     """nodes (node, genome, orf, ...) and edges (u, v, n_genomes, genomes) of the cleaned gene graph, after paralogs and
     families are merged."""
     m = members.select("cluster", F.col("genome_id").alias("genome"), F.col("orf_id").alias("orf"))
@@ -119,9 +145,10 @@ def graph_of(orfs: DataFrame, members: DataFrame, s: Settings) -> dict[str, Data
     final = written(named.join(merged, "node").select(F.col("merged").alias("node"), "genome", "orf"), "final")
     edges = written(genegraph.edges_of(genegraph.cluster_steps(steps, final.select("genome", "orf", F.col("node").alias("cluster")))), "edges")
     sizes = final.groupBy("node").agg(F.count_distinct("genome").alias("size"))
-    kept, edges = genegraph.trim_ends(sizes, edges, s.min_support)
+    clean = cleaning(s, n_genomes)
+    kept, edges = genegraph.trim_ends(sizes, edges, clean.trailing_support, clean.rounds)
     ends = kept.join(genegraph.degrees(edges).select("node", "has_end"), "node", "left").withColumn("has_end", F.coalesce("has_end", F.lit(True)))
-    edges = written(genegraph.clean_edges(ends, edges, s.min_support, s.edge_share), "edges")
+    edges = written(genegraph.clean_edges(ends, edges, clean.edge_support, s.edge_share), "edges")
     return {"members": written(final.join(kept.select("node"), "node", "left_semi"), "members"), "edges": edges, "sizes": written(ends, "sizes")}
 
 
@@ -147,7 +174,7 @@ def run(contigs: DataFrame, settings: Settings | None = None) -> dict[str, DataF
     contigs = written(contigs.select("genome_id", "contig_id", F.upper("seq").alias("seq")), "contigs")
     orfs = written(on_best_paths(written(called(contigs, s), "called"), s), "genes")
     members = clustered(orfs, s)
-    graph = graph_of(orfs, members, s)
+    graph = graph_of(orfs, members, s, contigs.select("genome_id").distinct().count())
     out = {"orfs": orfs, "clusters": members, "edges": graph["edges"]}
     own = graph["members"].select("node", "genome", "orf")
     if s.find_missing:

@@ -37,7 +37,7 @@ def gene(rng, n=80):
 @pytest.fixture(scope="module")
 def planted():
     rng = random.Random(17)
-    genes = [gene(rng) for _ in range(7)]
+    genes, rare = [gene(rng) for _ in range(7)], gene(rng)
     genomes, has = [], []
     for g in range(4):
         own = [k for k in range(7) if not (g == 2 and k == 3)]  # one genome lacks a gene
@@ -48,13 +48,15 @@ def planted():
                 at = 3 * 40
                 s = s[:at] + CODON["W" if S.CODON_TABLE[s[at : at + 3]] != "W" else "A"] + s[at + 3 :]
             text += (revcomp(s) if k % 2 else s) + SPACER
+        if g == 3:  # what one genome alone has at a contig's end
+            text += rare + SPACER
         genomes.append(text)
         has.append(own)
-    return genes, genomes, has
+    return genes, genomes, has, rare
 
 
 def test_planted_genes_are_found(spark, planted, tmp_path):
-    genes, genomes, has = planted
+    genes, genomes, has, rare = planted
     listing = []
     for g, text in enumerate(genomes):
         path = tmp_path / f"iso{g}.fa"
@@ -70,6 +72,7 @@ def test_planted_genes_are_found(spark, planted, tmp_path):
             assert (g, genes[k]) in found or (g == 1 and k == 5)
     # every planted gene is one cluster of the genomes that have it
     node_of = {(r.genome, r.orf): r.node for r in out["members"].collect()}
+    assert (3, rare) in found and not {(r.genome_id, r.orf_id) for r in out["orfs"].collect() if r.dna == rare} & set(node_of)  # trimmed
     dna_of = {(r.genome_id, r.orf_id): r.dna for r in out["orfs"].collect()}
     for k, s in enumerate(genes):
         nodes = {node_of[x] for x, d in dna_of.items() if d == s}
@@ -90,3 +93,30 @@ def test_empty(spark):
     none = spark.createDataFrame([], "genome_id long, contig_id long, seq string")
     out = workflow.run(none)
     assert all(df.count() == 0 for df in out.values())
+
+
+def test_supports_by_mode():
+    got = {m: [workflow.cleaning(workflow.Settings(mode=m), n) for n in (4, 100, 1000)] for m in ("strict", "moderate", "sensitive")}
+    assert [(c.trailing_support, c.edge_support) for c in got["strict"]] == [(2, 2), (5, 2), (50, 10)]
+    assert [(c.trailing_support, c.edge_support) for c in got["moderate"]] == [(2, 2), (2, 2), (10, 10)]
+    assert [(c.trailing_support, c.rounds, c.edge_support) for c in got["sensitive"]] == [(2, 0, 0)] * 3
+    assert workflow.cleaning(workflow.Settings(trailing_support=7, edge_support=1), 50) == workflow.Cleaning(7, 1000, 1)
+    with pytest.raises(ValueError):
+        workflow.cleaning(workflow.Settings(mode="lax"), 3)
+
+
+def test_start_windows_and_stop_frequency(spark, planted):
+    from strandloom.operators import calling, orf
+
+    genomes = planted[1]
+    contigs = spark.createDataFrame([(g, 0, t) for g, t in enumerate(genomes)] + [(9, 0, None), (9, 1, "TA")], "genome_id long, contig_id long, seq string")
+    spots = [(g, 0, d, a, a + 30) for g in (0, 1) for d in (1, -1) for a in (0, 15, 16, 20, len(genomes[g]) - 30, len(genomes[g]) - 46, 100)]
+    orfs = spark.createDataFrame(spots, "genome_id long, contig_id long, strand int, start int, end int")
+    got = {(r.genome_id, r.strand, r.start): r.window for r in calling.start_windows(contigs, orfs, ["genome_id", "contig_id"], "seq").collect()}
+    for g, _, d, a, b in spots:
+        t, at = (genomes[g], a) if d > 0 else (revcomp(genomes[g]), len(genomes[g]) - b)
+        whole = at >= 16 and at + 19 <= len(t)
+        assert got[g, d, a] == ((t[at - 16 : at] + t[at + 3 : at + 19])[::-1] if whole else None)
+    n = sum(s[i : i + 3] in S.STOP_CODONS for t in genomes for s in (t, revcomp(t)) for i in range(len(t) - 2))
+    assert orf.stop_frequency(contigs, "seq") == pytest.approx(n / sum(2 * (len(t) - 2) for t in genomes))
+    assert orf.stop_frequency(contigs.limit(0), "seq") == 0
