@@ -12,6 +12,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Where the tables of ``written`` lie.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Folders that were written, in order; what was deleted since is not taken out.
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    _made.append(path)
     return out
 
 
@@ -59,6 +62,7 @@ class Pile:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path, self.rounds = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _made.append(self.path)
 
     def add(self, df: DataFrame) -> DataFrame:
         """Write a round; what is returned reads it again."""
@@ -73,6 +77,20 @@ class Pile:
         return out
 
 
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since a ``mark``, but for those of ``keep``: a stage's own, once its result is stored."""
+    kept = {_paths[df] for df in keep if df in _paths}
+    for path in _made[since:]:
+        if path not in kept:
+            _delete(spark, path)
+    _made[since:] = [p for p in _made[since:] if p in kept]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that ``written`` left behind in this application, once the results are stored."""
     _delete(spark, shared_folder(spark))

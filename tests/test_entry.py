@@ -46,3 +46,17 @@ def test_scratch_tables_go(spark):
     folder = shared_folder(spark).removeprefix("file:")
     discard(gone, spark.range(3))
     assert glob.glob(f"{folder}/kept-*") and not glob.glob(f"{folder}/gone-*") and kept.count() == 10
+
+
+def test_a_stage_is_swept(spark):
+    import glob
+
+    from strandloom.session import Pile, mark, shared_folder, sweep, written
+
+    before = written(spark.range(4), "before")
+    since = mark()
+    out, _, pile = written(spark.range(5), "result"), written(spark.range(6), "aside"), Pile(spark, "rounds")
+    assert [pile.add(spark.range(n)).count() for n in (2, 3)] == [2, 3] and pile.read(spark.range(1).schema).count() == 5
+    sweep(spark, since, out)
+    folder = shared_folder(spark).removeprefix("file:")
+    assert before.count() == 4 and out.count() == 5 and not glob.glob(f"{folder}/aside-*") and not glob.glob(f"{folder}/rounds-*")
