@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, linededup, mixing, simhash, toxicity
 from strandloom.llm.registry_base import register
-from strandloom.session import table, written
+from strandloom.session import discard, mark, sweep, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row stays. Null texts stay null, with a null n_chars; rows equal in id and text are one document and make no
     template recur; equal lines of several documents stay in the one with the smaller id, null before all.
     """
-    return linededup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # other columns wait in a struct, where none of their names can clash
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    box = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")] if rest else []
+    left = linededup.deduplicated(docs.select("doc_id", "text", *box))
+    value = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[value.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,9 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``. Each one's own tables, and its input, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        since, before = mark(), docs
         docs = written(stage(spark, docs, sf_dir), name)
+        sweep(spark, since, docs)
+        discard(before)
     return docs
 
 

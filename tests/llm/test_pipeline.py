@@ -53,8 +53,8 @@ def test_run_gives_the_same_rows_again(spark):
 def odd_rows(spark):
     long = "word by word it goes on " * 20_000
     rows = [(1, None, None, None, None), (None, "", "en", "a", 0), (None, "a text without any id that is here", "en", "a", 34), (2, long, "de", None, len(long)), (2, "two texts share this very id", "de", "b", 28), (3, "the same row is there twice", "en", "b", 27), (3, "the same row is there twice", "en", "b", 27), (None, None, None, None, None)]
-    extra = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, `a.b` int, _id int, score double"
-    return spark.createDataFrame([(*r, "k", 1, 2, 3, 0.5) for r in rows], extra)
+    extra = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, `a.b` int, _id int, score double, n_lines_ int, n_dropped_ string"
+    return spark.createDataFrame([(*r, "k", 1, 2, 3, 0.5, 4, "n") for r in rows], extra)
 
 
 def test_odd_rows_in_every_stage(spark):
