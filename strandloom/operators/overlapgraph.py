@@ -70,11 +70,11 @@ def settled(scores: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     into = edges.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     done, left, rest = Pile(scores.sparkSession, "settled"), written(scores, "open"), written(edges, "open-edges")
-    kept = edges
+    kept, every = edges, None
     while not left.isEmpty():
         ready = left.join(rest.select(F.col("b").alias("v")).distinct(), "v", "left_anti")
-        if done.rounds:
-            old = every.select(F.col("v").alias("a"), "best", "top")  # noqa: F821
+        if every is not None:
+            old = every.select(F.col("v").alias("a"), "best", "top")
             met = kept.join(ready.select(F.col("v").alias("b")), "b").join(old, "a")
             came = met.groupBy(F.col("b").alias("v")).agg(F.collect_list(F.struct("a", "best", "cost")).alias("p"), F.array_distinct(F.flatten(F.collect_list("top"))).alias("above"))
             now = ready.join(came, "v", "left")
@@ -97,7 +97,7 @@ def settled(scores: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         new_left, new_rest = written(left.join(wave.select("v"), "v", "left_anti"), "open"), written(rest.join(wave.select(F.col("v").alias("a")), "a", "left_anti"), "open-edges")
         discard(left, rest)
         left, rest = new_left, new_rest
-    if not done.rounds:
+    if every is None:
         return scores.select("v", F.col("score").alias("best"), F.lit(None).cast("long").alias("back")), kept
     return every.select("v", "best", "back"), kept
 

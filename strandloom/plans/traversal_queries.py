@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import alignpaths, dbg, traversal
+from strandloom.operators import alignpaths, dbg, overlapgraph, traversal
+from strandloom.operators.bestpath import PENALTY
 from strandloom.plans.more_queries import K as LONG_K
 from strandloom.plans.more_queries import _contigs
 from strandloom.plans.orf_queries import DNA_SQL
@@ -94,6 +95,12 @@ t AS (SELECT *, hi - lo AS bp, {_SIDE('s', 'e', 'd')} AS x, {_SIDE('s2', 'e2', '
 SELECT item_id, src, dst, CASE WHEN bp > 60 THEN 'i' WHEN x = 53 OR y = 53 THEN 'w' WHEN x = 3 AND y = 3 THEN 'c' WHEN x = 5 AND y = 5 THEN 'd' ELSE 'u' END AS type, bp FROM t""")
 def q_path_overlaps(spark, sf_dir):
     """How stretches of passages overlap, told from their paths through the graph alone; SQL has their coordinates."""
+    out = alignpaths.path_overlaps(_stretch_paths(spark, sf_dir), LONG_K)
+    return out.select(F.col("key").alias("item_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "type", "bp")
+
+
+def _stretch_paths(spark, sf_dir):
+    """(key, orf, strand, path): overlapping stretches of the passages as paths of nodes."""
     placed, members, nodes = _graph(spark, sf_dir)
     steps = written(dbg.genome_paths(placed, members, nodes), "paths")
     contigs = _contigs(spark, sf_dir)
@@ -102,5 +109,24 @@ def q_path_overlaps(spark, sf_dir):
     w = written(w.withColumn("end", F.col("start") + 40 + 17 * (F.col("orf") % 4)).where("end <= n").withColumn("strand", F.when(F.col("orf") % 3 == 0, -1).otherwise(1)).drop("n"), "stretches")
     keys = ["genome_id", "contig_id", "piece", "start", "end"]
     lifted = alignpaths.sized(dbg.lift(w, steps).join(w, keys).select(F.col("genome_id").alias("key"), "orf", "strand", "coords"), nodes, ["key", "orf"])
-    read = lifted.withColumn("path", F.when(F.col("strand") < 0, alignpaths.turned(F.col("path"))).otherwise(F.col("path")))
-    return alignpaths.path_overlaps(read, LONG_K).select(F.col("key").alias("item_id"), F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "type", "bp")
+    return written(lifted.withColumn("path", F.when(F.col("strand") < 0, alignpaths.turned(F.col("path"))).otherwise(F.col("path"))), "stretch-paths")
+
+
+# a stretch's best total from those of all before it: each later stretch of a passage can be reached from each earlier one
+_BP = "(least(ee[i], ee[j]) - ss[j])"
+_COST = f"""CASE WHEN {_BP} <= 0 THEN 0 WHEN {_BP} > 60 THEN NULL WHEN ee[j] <= ee[i] THEN 0 WHEN dd[i] > 0 AND dd[j] < 0 THEN {PENALTY['c']!r} * {_BP} WHEN dd[i] < 0 AND dd[j] > 0 THEN {PENALTY['d']!r} * {_BP} ELSE {PENALTY['u']!r} * {_BP} END"""
+
+
+@query("overlap_graph_paths", f"""WITH RECURSIVE s AS (SELECT item_id, length({DNA_SQL}) AS n FROM benchmark), i AS (SELECT item_id, n, unnest(range(0, n // 20)) AS orf FROM s),
+w AS (SELECT item_id, orf, 20 * orf AS s, 20 * orf + 40 + 17 * (orf % 4) AS e, CASE WHEN orf % 3 = 0 THEN -1 ELSE 1 END AS d, ((orf * 37) % 23 * 10 - 40)::DOUBLE AS x FROM i WHERE 20 * orf + 40 + 17 * (orf % 4) <= n),
+g AS (SELECT item_id, count(*) AS n, list(s ORDER BY orf) AS ss, list(e ORDER BY orf) AS ee, list(d ORDER BY orf) AS dd, list(x ORDER BY orf) AS xx FROM w GROUP BY item_id),
+r AS (SELECT item_id, 1 AS j, [xx[1]] AS b FROM g UNION ALL
+SELECT g.item_id, h.j, list_append(r.b, g.xx[h.j] + greatest(0, coalesce(list_max(list_transform(range(1, h.j), lambda i: r.b[i] - {_COST.replace('ee[', 'g.ee[').replace('ss[', 'g.ss[').replace('dd[', 'g.dd[').replace('[j]', '[h.j]')})), 0))) FROM r JOIN g USING (item_id) CROSS JOIN LATERAL (SELECT r.j + 1 AS j) h WHERE r.j < g.n)
+SELECT item_id, round(list_max(b), 6) AS total FROM r JOIN g USING (item_id) WHERE j = n AND list_max(b) >= 100""")
+def q_overlap_graph_paths(spark, sf_dir):
+    """What the best chain of stretches of each passage scores, over the overlaps that the graph shows."""
+    stretches = _stretch_paths(spark, sf_dir)
+    found = written(alignpaths.path_overlaps(stretches, LONG_K), "overlaps")
+    scored = stretches.select("key", F.col("orf").cast("long").alias("orf"), ((F.col("orf") * 37) % 23 * 10 - 40).cast("double").alias("score"))
+    out = overlapgraph.best_gene_paths(scored, found.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")}), 100.0)
+    return out.groupBy(F.col("key").alias("item_id")).agg(F.round(F.max("total"), 6).alias("total"))
