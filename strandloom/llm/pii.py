@@ -284,7 +284,7 @@ def looked_at(text: str) -> list[tuple[int, int]]:
     Runs of digits are whole as found. The surroundings of at signs take in their addresses and end at a blank.
     """
     regions = [(m.start(), m.end(), False) for m in NUMBERS.finditer(text)]
-    if "at" in text or "AT" in text or "At" in text:
+    if any(x in text for x in ("at", "AT", "At", "aT")):
         for m in AT.finditer(text):
             lo = m.start() - (text[m.start() - 1 : m.start()] == " ")
             while lo > 0 and text[lo - 1] in LOCAL:

@@ -32,3 +32,9 @@ def test_regions_are_apart_and_linear():
         got = pii.looked_at(text)
         assert all(0 <= a < b <= len(text) for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
     assert time.time() - began < 20
+
+
+def test_at_in_any_letters():
+    for at in ("(at)", "(AT)", "(At)", "(aT)"):
+        text = f"write to bob {at} site (dot) org today"
+        assert any(f"bob {at} site (dot) org" in text[a:b] for a, b in pii.looked_at(text)), at
