@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import alignpaths, dbg, overlapgraph, traversal
+from strandloom.operators import alignpaths, dbg, outward, overlapgraph, traversal
 from strandloom.operators.bestpath import PENALTY
 from strandloom.plans.more_queries import K as LONG_K
 from strandloom.plans.more_queries import _contigs
@@ -130,3 +130,56 @@ def q_overlap_graph_paths(spark, sf_dir):
     scored = stretches.select("key", F.col("orf").cast("long").alias("orf"), ((F.col("orf") * 37) % 23 * 10 - 40).cast("double").alias("score"))
     out = overlapgraph.best_gene_paths(scored, found.withColumns({c: F.col(c).cast("long") for c in ("src", "dst")}), 100.0)
     return out.groupBy(F.col("key").alias("item_id")).agg(F.round(F.max("total"), 6).alias("total"))
+
+
+#: Genes of the passages: stretches of 30, 37 or 44 bases, one in every 70. They are searched around, and joined over, so many bases.
+RADIUS, REACH = 30, 60
+_GENES_SQL = f"""gn AS (SELECT item_id, orf, 70 * orf + 5 AS a, 70 * orf + 35 + 7 * (orf % 3) AS b FROM (SELECT item_id, length(seq) AS n, unnest(range(0, length(seq) // 70)) AS orf FROM s) WHERE 70 * orf + 35 + 7 * (orf % 3) <= n),
+oc AS (SELECT DISTINCT c.item_id, m.seq AS v, m.size, c.i - 1 - (length(walk.seq) - {K}) AS beg FROM c JOIN walk ON walk.kmer = c.kmer AND walk.dir = c.strand JOIN m ON m.h = walk.h AND m.hd = walk.hd),
+st AS (SELECT DISTINCT x.item_id, a.seq AS v, b.seq AS w, b.size FROM (SELECT item_id, kmer, side, other, -other_side AS od FROM l UNION ALL SELECT item_id, other, other_side, kmer, -side FROM l) x JOIN n a ON a.t = x.kmer AND a.td = x.side JOIN n b ON b.h = x.other AND b.hd = x.od),
+gp AS (SELECT gn.item_id, gn.orf, v, size, beg, greatest(a - beg, 0) AS lo, least(b - beg, size) AS hi FROM gn JOIN oc ON oc.item_id = gn.item_id AND beg < b AND beg + size > a),
+hs AS (SELECT item_id, orf, 1 AS side, x.v AS v, x.lo AS near, x.hi AS far, x.size - x.hi AS spare FROM (SELECT item_id, orf, arg_max({{'v': v, 'lo': lo, 'hi': hi, 'size': size}}, beg) AS x FROM gp GROUP BY ALL)
+  UNION ALL SELECT item_id, orf, -1, reverse(translate(x.v, 'ACGT', 'TGCA')), x.size - x.hi, x.size - x.lo, x.lo FROM (SELECT item_id, orf, arg_min({{'v': v, 'lo': lo, 'hi': hi, 'size': size}}, beg) AS x FROM gp GROUP BY ALL))"""
+
+
+def _genes(spark, sf_dir, nodes, paths, named):
+    """(genome_id, gene, path): the genes of the passages."""
+    own = _contigs(spark, sf_dir).join(named, "genome_id").select(F.col("g").alias("genome_id"), "contig_id", F.lit(0).alias("piece"), F.length("seq").alias("n"))
+    each = own.select("*", F.explode(F.when(F.col("n") >= 70, F.sequence(F.lit(0), F.floor(F.col("n") / 70).cast("int") - 1))).alias("gene")).withColumn("start", 70 * F.col("gene") + 5)
+    each = written(each.withColumn("end", F.col("start") + 30 + 7 * (F.col("gene") % 3)).where("end <= n").drop("n").withColumn("gene", F.col("gene").cast("long")), "gene-stretches")
+    lifted = dbg.lift(each, paths).join(each, ["genome_id", "contig_id", "piece", "start", "end"])
+    return written(alignpaths.sized(lifted.select("genome_id", "gene", "coords"), nodes, ["genome_id", "gene"]), "genes")
+
+
+@query("outward_walks", INDEX_SQL + f""", {_GENES_SQL},
+cv AS (SELECT DISTINCT item_id, v FROM gp WHERE lo = 0 AND hi = size), fu AS (SELECT item_id, v FROM cv UNION SELECT item_id, reverse(translate(v, 'ACGT', 'TGCA')) FROM cv),
+sf AS (SELECT st.*, fu.v IS NOT NULL AS taken FROM st LEFT JOIN fu ON fu.item_id = st.item_id AND fu.v = st.w),
+pw AS (SELECT item_id, orf, side, [v] AS path, v, spare AS len, false AS past, false AS ended FROM hs
+UNION ALL SELECT pw.item_id, orf, side, list_append(path, sf.w), sf.w, len + sf.size - {K - 1}, sf.taken, e.seq IS NOT NULL
+  FROM pw JOIN sf ON sf.item_id = pw.item_id AND sf.v = pw.v LEFT JOIN e ON e.item_id = pw.item_id AND e.seq = sf.w WHERE len < {RADIUS} AND NOT list_contains(path, sf.w) AND NOT (past AND sf.taken)),
+fr AS (SELECT pw.item_id, orf, side, path, len, past, ended, count(sf.w) AS n_may, count(sf.w) FILTER (NOT sf.taken) AS n_free FROM pw LEFT JOIN sf ON sf.item_id = pw.item_id AND sf.v = pw.v AND NOT list_contains(path, sf.w) GROUP BY ALL)
+SELECT * FROM (SELECT item_id, orf, side, md5(array_to_string(path, ',')) AS path_md5, len(path) AS n_nodes, len AS bases, CASE WHEN len >= {RADIUS} THEN 'radius' WHEN ended THEN 'end' WHEN n_may = 0 THEN 'dead' WHEN past AND n_free = 0 THEN 'blocked' END AS why FROM fr) WHERE why IS NOT NULL""")
+def q_outward_walks(spark, sf_dir):
+    """How passages go on beyond their genes at both sides, by the graph; two nodes in a row that genes take up stop a walk."""
+    nodes, paths, index, named, n = indexed(spark, sf_dir)
+    walks = written(outward.extend(_genes(spark, sf_dir, nodes, paths, named), traversal.graph_steps(index, paths, n, True), K, n, RADIUS), "walks")
+    parts = walks.select("path", F.posexplode("path").alias("at", "node")).distinct().join(spelled(nodes), "node").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("p"))
+    named_walks = walks.join(parts.select("path", F.md5(F.array_join(F.transform("p", lambda x: x["seq"]), ",")).alias("path_md5")), "path").join(named, walks["genome_id"] == named["g"])
+    return named_walks.select(named["genome_id"].alias("item_id"), F.col("gene").alias("orf"), F.col("side").cast("long").alias("side"), "path_md5", F.size("path").cast("long").alias("n_nodes"), F.col("length").alias("bases"), "why")
+
+
+@query("graph_connections", INDEX_SQL + f""", {_GENES_SQL},
+pl AS (SELECT item_id, orf, v, near, far FROM hs UNION SELECT item_id, orf, reverse(translate(v, 'ACGT', 'TGCA')), length(v) - far, length(v) - near FROM hs),
+dn AS (SELECT hs.item_id, hs.orf, hs.side, hs.v, hs.spare, hs.far, min({{'near': pl.near, 'far': pl.far, 'orf': pl.orf}}) FILTER (pl.orf IS NOT NULL) AS x FROM hs LEFT JOIN pl ON pl.item_id = hs.item_id AND pl.v = hs.v AND pl.orf <> hs.orf AND (pl.near, pl.far, pl.orf) > (hs.near, hs.far, hs.orf) GROUP BY ALL),
+sg AS (SELECT st.*, EXISTS (SELECT 1 FROM pl WHERE pl.item_id = st.item_id AND pl.v = st.w) AS meets FROM st),
+pw AS (SELECT item_id, orf, side, [v] AS path, v, spare AS len, false AS met FROM dn WHERE x IS NULL
+UNION ALL SELECT pw.item_id, orf, side, list_append(path, sg.w), sg.w, CASE WHEN sg.meets THEN len ELSE len + sg.size - {K - 1} END, sg.meets
+  FROM pw JOIN sg ON sg.item_id = pw.item_id AND sg.v = pw.v WHERE NOT met AND len - {K - 1} <= {REACH} AND NOT list_contains(path, sg.w)),
+ar AS (SELECT pw.item_id, pw.orf, pw.side, pw.path, pw.len, min({{'near': pl.near, 'far': pl.far, 'orf': pl.orf}}) AS x FROM pw JOIN pl ON pl.item_id = pw.item_id AND pl.v = pw.v AND pl.orf <> pw.orf WHERE met GROUP BY ALL),
+al AS (SELECT item_id, orf, x.orf AS other, x.near - far AS gap FROM dn WHERE x IS NOT NULL UNION ALL SELECT item_id, orf, x.orf, len - {K - 1} + x.near FROM ar)
+SELECT item_id, least(orf, other) AS a, greatest(orf, other) AS b, min(gap) AS gap FROM al WHERE gap <= {REACH} GROUP BY ALL""")
+def q_graph_connections(spark, sf_dir):
+    """Which genes of a passage come next to each other by the graph, and how many bases lie between."""
+    nodes, paths, index, named, n = indexed(spark, sf_dir)
+    pairs = outward.connections(outward.next_genes(_genes(spark, sf_dir, nodes, paths, named), traversal.graph_steps(index, paths, n, True), K, n, REACH))
+    return pairs.join(named, pairs["genome_id"] == named["g"]).select(named["genome_id"].alias("item_id"), "a", "b", "gap")
