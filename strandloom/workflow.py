@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import bestpath, calling, cluster, dbg, families, filters, genegraph, kmer, matrix, orf, overlap, refind
+from strandloom.operators import bestpath, calling, cluster, dbg, families, filters, genegraph, genemodel, kmer, matrix, orf, overlap, refind
 from strandloom.session import written
 from strandloom.sources import fasta, saved, tables
 
@@ -44,6 +44,9 @@ class Settings:
     #: Models of coding sequences and of start sites: sequences in, probabilities out. Without one, 1 and a half.
     gene_scorer: calling.Scorer | None = None
     start_scorer: calling.Scorer | None = None
+    #: Without them: models that each genome's ORFs of ``train_len`` bases teach, in place of 1 and a half.
+    self_trained: bool = False
+    train_len: int = 300
     annotations: DataFrame | None = field(default=None, repr=False)  # (query: cluster id as text, hit, bitscore, title)
 
 
@@ -86,9 +89,10 @@ def called(contigs: DataFrame, s: Settings) -> DataFrame:
     sites = found.withColumn("site", S.translate_full(F.substr("dna", F.lit(1), F.lit(12))))
     counts = kmer.genome_counts(sites, "genome_id", "site").withColumnRenamed("n_genomes", "site_genomes")
     freq = orf.stop_frequency(pieces, "seq", s.stops)
-    if s.start_scorer:
+    if s.start_scorer or s.self_trained:
         windows = written(calling.start_windows(pieces, found, ["genome_id", "contig_id"], "seq"), "windows")
-        scored = calling.score_distinct(windows.where("window IS NOT NULL"), "window", s.start_scorer, "tis").drop("window")
+        windows = windows.where("window IS NOT NULL")
+        scored = (calling.score_distinct(windows, "window", s.start_scorer, "tis") if s.start_scorer else _own_starts(windows, found, s)).drop("window")
         # without enough bases before it a start is as likely as not
         sites = sites.join(scored, ["genome_id", "contig_id", "strand", "start", "end"], "left").withColumn("tis", F.coalesce("tis", F.lit(0.5)))
     else:
@@ -97,13 +101,28 @@ def called(contigs: DataFrame, s: Settings) -> DataFrame:
     starts = written(sites.join(counts, "site").select(group.alias("id"), "frame", F.coalesce("stop", F.lit(-1)).alias("stop"), F.when(F.col("strand") > 0, F.col("start")).otherwise(F.col("end")).alias("start"), "len", "tis", "site_genomes", F.lit(freq).alias("stop_freq"), "site", shape.alias("orf")), "starts")
     best = calling.choose_starts(starts.drop("orf")).select("id", "frame", "stop", "start")
     one = starts.join(best, ["id", "frame", "stop", "start"]).select("id.*", "len", "orf.*")
-    gene = calling.score_distinct(one, "dna", s.gene_scorer, "gene") if s.gene_scorer else one.withColumn("gene", F.lit(1.0))
+    if s.gene_scorer:
+        gene = calling.score_distinct(one, "dna", s.gene_scorer, "gene")
+    elif s.self_trained:
+        odds = genemodel.self_trained(written(one.select("genome_id", F.col("dna").alias("seq")), "starts"), pieces.select("genome_id", "seq"), s.train_len)
+        gene = one.join(odds.select("genome_id", F.col("seq").alias("dna"), genemodel.probability(F.col("odds")).alias("gene")), ["genome_id", "dna"])
+    else:
+        gene = one.withColumn("gene", F.lit(1.0))
     scored = gene.withColumn("score", calling.orf_score(F.col("gene"), F.col("tis"), F.substr("dna", F.lit(1), F.lit(3)), F.col("len"))).where(filters.good_score(F.col("score"), s.min_orf_score))
     by = Window.partitionBy("genome_id").orderBy("contig_id", "start", "end", "strand")
     numbered = scored.withColumns({"orf_id": F.row_number().over(by).cast("long"), "n_nodes": F.lit(1)})
     return calling.without_copies(numbered, "genome_id", "dna", "n_nodes").drop("n_nodes").withColumn("protein", S.translate_to_stop(F.col("dna")))
 
 
+def _own_starts(windows: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """``windows`` with ``tis``: how much each looks like the first starts of its genome's long ORFs."""
+    stops = ["genome_id", "contig_id", "strand", "frame", "stop"]
+    first = found.where((F.col("len") >= s.train_len) & ~F.col("partial5")).groupBy(*stops).agg(F.max_by(F.struct("start", "end"), "len").alias("x")).select("genome_id", "contig_id", "strand", "x.start", "x.end")
+    training = windows.join(first, ["genome_id", "contig_id", "strand", "start", "end"], "left_semi").select("genome_id", F.col("window").alias("seq"))
+    odds = genemodel.log_odds(windows.select("genome_id", F.col("window").alias("seq")), genemodel.start_models(training), genemodel.window_slots, "odds")
+    return windows.join(odds.select("genome_id", F.col("seq").alias("window"), genemodel.probability(F.col("odds")).alias("tis")), ["genome_id", "window"])
+
+
 def on_best_paths(orfs: DataFrame, s: Settings) -> DataFrame:
     """The ORFs of the heaviest set on each contig."""
     key = F.concat_ws(":", "genome_id", "contig_id")
