@@ -63,11 +63,11 @@ def genome():
         stops = ("TAA", "TGA", "TAG")
         genes = [coding(r, r.randrange(40, 300)) for _ in range(60)]
         chance = []
-        while len(chance) < 40:
-            s = [c for c in ("".join(r.choices(letters, k=3)) for _ in range(r.randrange(40, 130))) if c not in stops]
+        while len(chance) < 60:
+            s = [c for c in ("".join(r.choices(letters, k=3)) for _ in range(r.randrange(40, 200))) if c not in stops]
             chance.append("ATG" + "".join(s) + "TAA")
         orfs += [(g, s, True) for s in genes] + [(g, s, False) for s in chance]
-        contigs += [(g, x + "".join(r.choices(letters, k=300)) + (y if i % 2 else rc(y))) for i, (x, y) in enumerate(zip(genes, chance + chance[:20]))]
+        contigs += [(g, x + "".join(r.choices(letters, k=300)) + (y if i % 2 else rc(y))) for i, (x, y) in enumerate(zip(genes, chance))]
     return orfs, contigs
 
 
