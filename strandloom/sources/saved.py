@@ -13,8 +13,9 @@ SCHEMAS = {
     "clusters": "cluster_id long, genome_id long, orf_id long",
     "index": "node_id long, genome_id long, orf_id long",
 }
-#: The column whose values have folders of their own, so that one genome is read without the others.
-PARTITIONED = {"orfs": "genome_id", "edges": "genome_id"}
+#: The column by which rows lie together and in order, so that one genome is read by its pages, without the others.
+#: Genomes have no folders of their own, as these would be as many as there are genomes.
+ORDERED = {"orfs": "genome_id", "edges": "genome_id"}
 
 
 def checked(df: DataFrame, kind: str) -> DataFrame:
@@ -33,9 +34,8 @@ def checked(df: DataFrame, kind: str) -> DataFrame:
 def save(df: DataFrame, kind: str, path: str) -> None:
     """Write a table of ``kind``; an existing one is an error, as by Spark's default."""
     out = checked(df, kind)
-    part = PARTITIONED.get(kind)
-    # a genome is a folder, so its rows come together first
-    (out.repartition(part).write.partitionBy(part) if part else out.write).parquet(path)
+    by = ORDERED.get(kind)
+    (out.hint("rebalance", by).sortWithinPartitions(by) if by else out).write.parquet(path)
 
 
 def load(spark: SparkSession, kind: str, path: str) -> DataFrame:

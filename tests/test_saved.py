@@ -21,6 +21,13 @@ def test_schemas_are_checked(spark, tmp_path):
     assert saved.load(spark, "clusters", str(tmp_path / "clusters")).count() == 0
 
 
+def test_files_do_not_grow_with_genomes(spark, tmp_path):
+    saved.save(spark.range(2000).selectExpr("id AS genome_id", "id * 10 AS orf_id", "'ACG' AS dna", "1.0 AS score"), "orfs", str(tmp_path / "orfs"))
+    assert len(list((tmp_path / "orfs").rglob("*.parquet"))) <= 200
+    back = saved.load(spark, "orfs", str(tmp_path / "orfs"))
+    assert back.count() == 2000 and [r.orf_id for r in back.where("genome_id = 1234").collect()] == [12340]
+
+
 def test_codon_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"codons": {\n "start": ["ATG"],\n "stop": ["TAA", "TAG"]}}')
     (tmp_path / "b.json").write_text('{"codons": {"start": ["CTG"]}}')
@@ -54,3 +61,20 @@ def test_a_long_stretch_is_solved_in_one_sweep():
     start = [10 * i for i in range(n)]
     path, total = bestpath.heaviest(list(range(n)), start, [s + 11 for s in start], [20.0] * n, {(i, i + 1): ("u", 1) for i in range(n - 1)})
     assert len(path) == n and total == pytest.approx(20.0 * n - bestpath.PENALTY["u"] * (n - 1))
+
+
+def test_orfs_of_overlapping_frames_and_long_pieces(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 700))) for _ in range(60)] + ["ATG" * 5000 + "TAA", "ATGTAA", "ATGTA", "A" * 50, "ATG\n" * 20 + "TAA", None]
+    want = set()
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - 2):
+            if t[p : p + 3] in orf.START_CODONS and i != 60:
+                stop = next((q for q in range(p, len(t) - 2, 3) if t[q : q + 3] in orf.STOP_CODONS), None)
+                if stop is not None and stop + 3 - p >= 30:
+                    want.add((i, p % 3, p, stop, stop + 3 - p, t[p : stop + 3]))
+    got = [tuple(r) for r in orf.orf_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, seq string"), "id", "seq", 30, with_dna=True).collect()]
+    assert len(got) == len(set(got)) and {r for r in got if r[0] != 60} == want
+    assert sorted(r[2] for r in got if r[0] == 60) == list(range(0, 15003 - 29, 3))[: 5000 - 8]
