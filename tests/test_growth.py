@@ -20,3 +20,22 @@ def test_lines_of_one_number_in_any_file_order(spark, tmp_path):
         spark.createDataFrame(order, "l_orderkey long, l_linenumber int, l_suppkey long, d string").selectExpr("*", "CAST(d AS timestamp) AS l_shipdate").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
         got.append(sorted(map(tuple, all_queries()["missing_neighbours"](spark, str(tmp_path / name)).collect())))
     assert got[0] and got[0] == got[1]
+
+
+def test_variants_of_a_hub_are_paired_by_bits(spark):
+    import random
+
+    rng = random.Random(3)
+    dense = [(min(0, n), max(0, n), [f"g{k}" for k in range(70) if rng.random() < 0.7]) for n in range(1, 40)]
+    sparse = [(100, 100 + n, [f"g{n % 35}", f"g{35 + n % 35}"]) for n in range(1, 70)]
+    edges = [(u, v, len(g), sorted(g)) for u, v, g in dense + sparse + [(1, 2, ["g0", "g1"])]]
+    found = genegraph.structural_variants(spark.createDataFrame(edges, "u long, v long, n_genomes int, genomes array<string>"), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan  # pairs of a hub are not shuffled once a genome
+    at = {}
+    for u, v, _, g in edges:
+        at.setdefault(u, {})[v] = set(g)
+        at.setdefault(v, {})[u] = set(g)
+    want = {(n, a, b, len(m[a] & m[b])) for n, m in at.items() if len(m) > 2 for a in m for b in m if a < b and len(m[a] & m[b]) > 1}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want and any(n == 100 for n, *_ in want)
