@@ -39,3 +39,21 @@ def test_variants_of_a_hub_are_paired_by_bits(spark):
     want = {(n, a, b, len(m[a] & m[b])) for n, m in at.items() if len(m) > 2 for a in m for b in m if a < b and len(m[a] & m[b]) > 1}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want and any(n == 100 for n, *_ in want)
+
+
+def test_located_orfs_of_a_repeated_line(spark):
+    import random
+
+    from strandloom.operators import refind
+
+    rng = random.Random(8)
+    line, tail = "".join(rng.choice("ACGT") for _ in range(60)), "".join(rng.choice("ACGT") for _ in range(50))
+    seq = tail[:20] + line * 50 + tail
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    cut = [seq[20 + 60 * i : 20 + 60 * i + 45] for i in range(50)] + [seq[20 + 60 * i :] for i in range(50)] + [flip(seq[700:790]), "ACGTTGCA" * 9, seq[5:12]]
+    contigs = spark.createDataFrame([(1, 0, seq), (1, 1, "AC" + seq), (2, 0, tail)], "genome int, contig_id int, seq string")
+    orfs = spark.createDataFrame([(1, i, x) for i, x in enumerate(cut)], "genome int, orf_id int, dna string")
+    found = refind.located(orfs, contigs)
+    assert "filter(o" not in found._jdf.queryExecution().optimizedPlan().toString()  # no list of a contig's ORFs
+    want = {(i, 0, seq.find(x) + 1, False) if x in seq else (i, 0, seq.find(flip(x)) + 1, True) for i, x in enumerate(cut) if x in seq or flip(x) in seq}
+    assert {(r.orf_id, r.contig_id, r.start, r.reverse) for r in found.collect()} == want and len(want) == 102
