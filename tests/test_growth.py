@@ -57,3 +57,17 @@ def test_located_orfs_of_a_repeated_line(spark):
     assert "filter(o" not in found._jdf.queryExecution().optimizedPlan().toString()  # no list of a contig's ORFs
     want = {(i, 0, seq.find(x) + 1, False) if x in seq else (i, 0, seq.find(flip(x)) + 1, True) for i, x in enumerate(cut) if x in seq or flip(x) in seq}
     assert {(r.orf_id, r.contig_id, r.start, r.reverse) for r in found.collect()} == want and len(want) == 102
+
+
+def test_a_dense_graph_is_not_walked(spark, monkeypatch):
+    from strandloom.operators import families
+
+    def walked(*_):
+        raise AssertionError("pairs next to each other need no walk")
+
+    monkeypatch.setattr(families, "neighbourhoods", walked)
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(a + 1, 6)] + [(10, 11), (11, 12)], "u long, v long")
+    nodes = spark.createDataFrame([(n, n) for n in [*range(6), 10, 11, 12]], "node long, genome int")
+    similar = spark.createDataFrame([(0, 1, 0.9), (2, 3, 0.9), (4, 11, 0.9)], "a long, b long, identity double")
+    got = {r.node: r.merged for r in families.collapse_families(nodes, edges, similar, 0.7, depths=(1,)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 10: 10, 11: 11, 12: 12}
