@@ -71,3 +71,52 @@ def test_a_dense_graph_is_not_walked(spark, monkeypatch):
     similar = spark.createDataFrame([(0, 1, 0.9), (2, 3, 0.9), (4, 11, 0.9)], "a long, b long, identity double")
     got = {r.node: r.merged for r in families.collapse_families(nodes, edges, similar, 0.7, depths=(1,)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 10: 10, 11: 11, 12: 12}
+
+
+def test_orfs_are_found_in_arrays(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.sequence import dna
+    from strandloom.operators.orf import orf_pairs
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  \nÀé\U0001f600ABYZ") for _ in range(rng.choice((0, 3, 9, 400, 4000)))) for _ in range(40)] + [None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    direct = orf_pairs(rows, "id", "text", 30, with_dna=True, prose=True)
+    assert "regexp" not in direct._jdf.queryExecution().optimizedPlan().toString()  # neither recoded nor cut by patterns
+    recoded = rows.select("id", dna(F.col("text")).alias("seq"))
+    got = sorted(map(tuple, direct.collect()))
+    assert got == sorted(map(tuple, orf_pairs(recoded, "id", "seq", 30, with_dna=True).collect())) and len(got) > 50
+    want = []
+    for i, seq in map(tuple, recoded.where("seq IS NOT NULL").collect()):
+        for b in range(len(seq) - 2):
+            stop = next((p for p in range(b, len(seq) - 2, 3) if seq[p : p + 3] in ("TAA", "TGA", "TAG")), None)
+            if seq[b : b + 3] in ("ATG", "GTG", "TTG") and stop is not None and stop + 3 - b >= 30:
+                want.append((i, b % 3, b, stop, stop + 3 - b, seq[b : stop + 3]))
+    assert got == sorted(want)
+
+
+def test_short_stretches_share_batches(spark):
+    import random
+
+    from strandloom.operators import bestpath
+
+    rng = random.Random(6)
+    orfs, overlaps = [], []
+    for n in range(3000):  # a key each thousand, a stretch each pair
+        key, at, lap = "abc"[n // 1000], 500 * (n % 1000), rng.randrange(1, 60)
+        orfs += [(key, 2 * n, at, at + 100, 200.0), (key, 2 * n + 1, at + 100 - lap, at + 200, 200.0 + 2 * lap)]
+        overlaps.append((key, 2 * n, 2 * n + 1, "i" if n % 7 == 0 else "u", lap))
+    o = spark.createDataFrame(orfs, "key string, orf long, start int, end int, score double")
+    l = spark.createDataFrame(overlaps, "key string, src long, dst long, type string, bp int")
+    found = bestpath.best_paths(o, l)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no call for each stretch
+    want = {(k, x) for k, a, b, kind, lap in overlaps for x in ((a, b) if kind == "u" and 3.895921717182765 * lap < 200 else (b,))}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # stretches that go on in the next batch
+    try:
+        assert {tuple(r) for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
