@@ -52,8 +52,7 @@ WITH s AS (SELECT source, {DNA_SQL} AS seq FROM documents), k AS (SELECT source,
 c AS (SELECT source, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer FROM k)
 SELECT n_genomes, count(*) AS n_kmers FROM (SELECT kmer, count(DISTINCT source) AS n_genomes FROM c GROUP BY kmer) GROUP BY n_genomes""")
 def q_kmer_genomes(spark, sf_dir):
-    d = balanced(table(spark, sf_dir, "documents").select("source", "text")).select("source", S.dna(F.col("text")).alias("s"))
-    counts = kmer.genome_counts(kmer.distinct_kmers(d, "source", "s", 10, both_strands=True), "id", "kmer")
+    counts = kmer.genomes_of_kmers(balanced(table(spark, sf_dir, "documents").select("source", "text")), "source", "text", 10, prose=True)
     return counts.groupBy("n_genomes").agg(F.count("*").alias("n_kmers"))
 
 

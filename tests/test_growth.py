@@ -120,3 +120,54 @@ def test_short_stretches_share_batches(spark):
         assert {tuple(r) for r in found.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _canonical(seq, k):
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    return [min(seq[i : i + k], flip(seq[i : i + k])) for i in range(len(seq) - k + 1) if set(seq[i : i + k]) <= set("ACGT")]
+
+
+def test_genomes_of_kmers_as_bits(spark, monkeypatch):
+    import random
+
+    from strandloom.operators import kmer
+
+    rng = random.Random(4)
+    rows = [(None if n == 7 else n % 150, "".join(rng.choice("ACGTN" if n % 9 == 0 else "AC") for _ in range(rng.choice((2, 30))))) for n in range(300)]
+    want = {}
+    for g, seq in rows:
+        for x in _canonical(seq, 4):
+            want.setdefault(x, set()).update([] if g is None else [g])
+    number = lambda x: int(x.translate(str.maketrans("ACGT", "0123")), 4)
+    monkeypatch.setattr(kmer, "WORDS", 1)  # tables are given up and begun again
+    found = kmer.genomes_of_kmers(spark.createDataFrame(rows, "g int, seq string"), "g", "seq", 4)
+    assert {tuple(r) for r in found.collect()} == {(number(x), len(g)) for x, g in want.items()}
+
+
+def test_kmers_are_counted_as_numbers(spark):
+    from collections import Counter
+
+    from strandloom.operators import dbg
+
+    refs, reads = ["ACGTTGCATTACGNNACGTTACG", "", "ACG"], ["TTGCATTAAAAAAAAA", "CCGGATTAC", "é" + "ACGTTG"]
+    c = Counter(x for s in reads for x in _canonical(s, 5))
+    want = Counter(x for s in refs for x in _canonical(s, 5)) + Counter({x: n for x, n in c.items() if n > 1})
+    table = lambda t: spark.createDataFrame([(s,) for s in t] + [(None,)], "seq string")
+    got = dbg.counts_of(table(refs), table(reads), 5)
+    assert dict(map(tuple, got.collect())) == dict(want) and got.count() == len(want)
+
+
+def test_pairs_that_share_one_node_make_no_rows(spark):
+    import random
+    from collections import Counter
+
+    from strandloom.operators import overlap
+
+    rng = random.Random(2)
+    rows = [(n, rng.randrange(40)) for n in range(60) for _ in range(rng.choice((1, 2, 4, 30)))] + [(1, None), (None, 1)]
+    table = spark.createDataFrame(rows, "item int, node int")
+    want = dict(Counter(r.n_shared for r in overlap.shared_pairs(table, "item", "node").collect()))
+    for most in (64, 10, 0):
+        assert dict(map(tuple, overlap.shared_counts(table, "item", "node", most).collect())) == want
+    apart = spark.createDataFrame([(n, 0) for n in range(3000)], "item int, node int")
+    assert list(map(tuple, overlap.shared_counts(apart, "item", "node").collect())) == [(1, 3000 * 2999 // 2)]
