@@ -171,3 +171,38 @@ def test_pairs_that_share_one_node_make_no_rows(spark):
         assert dict(map(tuple, overlap.shared_counts(table, "item", "node", most).collect())) == want
     apart = spark.createDataFrame([(n, 0) for n in range(3000)], "item int, node int")
     assert list(map(tuple, overlap.shared_counts(apart, "item", "node").collect())) == [(1, 3000 * 2999 // 2)]
+
+
+def test_ends_are_trimmed_by_degrees(spark, monkeypatch):
+    import random
+
+    from strandloom import session
+
+    rng, names, write = random.Random(7), [], session.written
+    pairs = {tuple(sorted(rng.sample(range(80), 2))) for _ in range(70)} | {(100 + n, 101 + n) for n in range(9)}
+    size = {n: rng.choice((1, 1, 1, 5)) for n in [*range(80), *range(100, 110)]}
+    monkeypatch.setattr(genegraph, "written", lambda df, name: names.append(name) or write(df, name))
+    for rounds in (0, 1, 3, 1000):
+        left, links = set(size), set(pairs)
+        for _ in range(rounds):
+            gone = {n for n in left if size[n] < 3 and sum(n in e for e in links) <= 1}
+            left, links = left - gone, {e for e in links if not gone & set(e)}
+        names.clear()
+        nodes, edges = genegraph.trim_ends(spark.createDataFrame(list(size.items()), "node long, size int"), spark.createDataFrame(sorted(pairs), "u long, v long"), 3, rounds)
+        assert {r.node for r in nodes.collect()} == left and {tuple(r) for r in edges.collect()} == links
+        assert names.count("edges") == 1  # rounds write what changes, not the edges
+
+
+def test_genomes_of_edges_as_bits(spark):
+    import random
+
+    rng = random.Random(9)
+    for n in (3, 70, 600):  # the last in too many words
+        rows = [(rng.choice([None, *(f"g{i}é" for i in range(n))]), rng.randrange(9), rng.randrange(9)) for _ in range(900)] + [(None, 20, 21)]
+        want = {}
+        for g, a, b in rows:
+            if a != b:
+                want.setdefault((min(a, b), max(a, b)), set()).update([] if g is None else [g])
+        steps = spark.createDataFrame(rows, "genome string, src int, dst int")
+        for found in (genegraph.edges_of(steps, steps.select("genome")), genegraph.edges_of(steps)):
+            assert {(r.u, r.v): (r.n_genomes, r.genomes) for r in found.collect()} == {k: (len(g), sorted(g)) for k, g in want.items()}
