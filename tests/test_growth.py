@@ -73,6 +73,77 @@ def test_a_dense_graph_is_not_walked(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 10: 10, 11: 11, 12: 12}
 
 
+def test_pairs_that_share_a_genome_are_not_looked_for(spark, monkeypatch):
+    from strandloom.operators import families
+
+    def looked(*_):
+        raise AssertionError("no pair can merge")
+
+    monkeypatch.setattr(families, "near_pairs", looked)
+    edges = spark.createDataFrame([(0, n) for n in range(1, 6)], "u long, v long")  # all beside a hub
+    nodes = spark.createDataFrame([(n, g) for n in range(6) for g in (n, n + 1, 99)], "node long, genome int")
+    similar = spark.createDataFrame([(a, b, 0.9) for a in range(6) for b in range(a + 1, 6)], "a long, b long, identity double")
+    for e in (edges, edges.selectExpr("*", "array(0) AS genomes")):
+        assert {r.node: r.merged for r in families.collapse_families(nodes, e, similar, 0.7).collect()} == {n: n for n in range(6)}
+
+
+def _families(nodes, edges, similar, depths):
+    """Groups by plain loops; edges are {(u, v): genomes, or None if none are kept}."""
+    group, has = {n: n for n, _ in nodes}, {}
+    for depth in depths:
+        has = {n: {g for x, g in nodes if group[x] == n and g is not None} for n in group.values()}
+        beside, next_to = {}, {}
+        for (u, v), g in edges.items():
+            if (e := tuple(sorted((group[u], group[v]))))[0] != e[1]:
+                beside.setdefault(e, set()).update(g or ())
+                next_to.setdefault(e[0], set()).add(e[1])
+                next_to.setdefault(e[1], set()).add(e[0])
+        best = {}
+        for a, b, x in similar:
+            if x >= 0.7 and (e := tuple(sorted((group[a], group[b]))))[0] != e[1]:
+                best[e] = max(x, best.get(e, 0))
+        near = {}
+        for n in group.values():
+            near[n] = {n}
+            for _ in range(depth):
+                near[n] |= {y for x in near[n] for y in next_to.get(x, ())}
+        busy = {n for n, x in next_to.items() if len(x) > 2}
+        root = {n: n for n in group.values()}
+        for (a, b), _ in sorted(((e, x) for e, x in best.items() if near[e[0]] & near[e[1]] & busy), key=lambda t: (-t[1], *t[0])):
+            allowed = beside.get((a, b), set())
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b and has[a] & has[b] <= allowed:
+                root[max(a, b)], has[min(a, b)] = min(a, b), has[a] | has[b]
+        for n in group:
+            group[n] = root[group[n]]
+            while root[group[n]] != group[n]:
+                group[n] = root[group[n]]
+    return group
+
+
+def test_families_as_by_plain_loops(spark):
+    import random
+
+    from strandloom.operators import families
+
+    rng, merged = random.Random(12), 0
+    for case in range(4):
+        nodes = sorted({(n, rng.choice([None, *range(130)])) for n in range(50) for _ in range(rng.choice((1, 2, 9)))}, key=str)
+        pairs = {tuple(sorted(rng.sample(range(50), 2))) for _ in range(55)}
+        edges = {e: sorted(rng.sample(range(130), 60)) if case % 2 else None for e in pairs}
+        similar = [(*sorted(rng.sample(range(50), 2)), rng.choice((0.6, 0.7, 0.8, 0.9))) for _ in range(150)]
+        kept = "u long, v long" + ", genomes array<int>" * (case % 2)
+        e = spark.createDataFrame([(u, v, g)[: 2 + case % 2] for (u, v), g in edges.items()], kept)
+        found = families.collapse_families(spark.createDataFrame(nodes, "node long, genome int"), e, spark.createDataFrame(similar, "a long, b long, identity double"), 0.7)
+        want = _families(nodes, edges, similar, (1, 2, 3))
+        assert dict(map(tuple, found.collect())) == want and found.count() == len(want)
+        merged += sum(n != m for n, m in want.items())
+    assert merged > 20
+
+
 def test_orfs_are_found_in_arrays(spark):
     import random
 
