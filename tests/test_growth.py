@@ -277,3 +277,60 @@ def test_genomes_of_edges_as_bits(spark):
         steps = spark.createDataFrame(rows, "genome string, src int, dst int")
         for found in (genegraph.edges_of(steps, steps.select("genome")), genegraph.edges_of(steps)):
             assert {(r.u, r.v): (r.n_genomes, r.genomes) for r in found.collect()} == {k: (len(g), sorted(g)) for k, g in want.items()}
+
+
+def test_words_of_proteins_are_numbers(spark):
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.sequence import kmers
+    from strandloom.operators import cluster
+
+    rng, seqs = random.Random(10), {"", "MKV*"}
+    for _ in range(12):
+        base = "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=rng.choice((9, 40, 70)))) + "*"
+        for _ in range(15):
+            s = list(base)
+            for _ in range(rng.randint(0, 4)):
+                s[rng.randrange(len(s))] = rng.choice("ACDEFX")
+            seqs.add("".join(s)[rng.choice((0, 0, 1, 3, 20)) :])
+    items = spark.createDataFrame([(f"p{i:03}", s) for i, s in enumerate(rng.sample(sorted(seqs), len(seqs)))], "item string, seq string")
+    nodes = items.select("item", F.explode(F.array_distinct(kmers(F.col("seq"), 5))).alias("node"))
+    found = cluster.protein_pairs(items, 5, 0.8, 0.85)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "min_by" not in plan  # words go once, as numbers
+    got = sorted(map(tuple, found.collect()))
+    # by plain loops: the longest item with each word takes part in all its pairs
+    of, first = {r.item: r.seq for r in items.collect()}, {}
+    for item, seq in sorted(of.items(), key=lambda t: (-len(t[1]), t[0])):
+        for i in range(len(seq) - 4):
+            first.setdefault(seq[i : i + 5], item)
+    pairs = {(first[s[i : i + 5]], m) for m, s in of.items() for i in range(len(s) - 4)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(c, m): edits(of[c], of[m]) for c, m in pairs if c != m and len(of[m]) >= 0.8 * len(of[c])}
+    want = sorted((c, m, 1 - d / len(of[c])) for (c, m), d in want.items() if d <= int((1 - 0.85) * len(of[c]) + 1e-9))
+    assert [(c, m, round(x, 9)) for c, m, x in got] == [(c, m, round(x, 9)) for c, m, x in want] and len(got) > 30
+    assert sorted(map(tuple, cluster.centroid_pairs(items, nodes, 0.8, 0.85).collect())) == got
+    with pytest.raises(Exception, match="letters and"):
+        cluster.protein_pairs(spark.createDataFrame([("a", "MK1V")], "item string, seq string"), 3).collect()
+
+
+def test_frames_are_translated_once(spark):
+    from pyspark.sql import functions as F
+
+    from strandloom.functions.sequence import translate_to_stop
+    from strandloom.operators.orf import orf_pairs
+
+    rows = spark.createDataFrame([(1, "CCATGAAAGTGTTTNACTAACCATGATTGAAAATAGC"), (2, "ATGTGATTGCCCTAA"), (3, "GTGé€GTTGTAATGA")], "id int, seq string")
+    found = orf_pairs(rows, "id", "seq", 6, with_dna=True, with_protein=True).select("protein", translate_to_stop(F.col("dna")).alias("want")).collect()
+    assert found and all(r.protein == r.want for r in found)
