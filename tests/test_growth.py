@@ -389,3 +389,22 @@ def test_copies_are_matched_in_batches(spark):
                     if a not in want and b not in want.values():
                         want[a] = b
                 assert {n: merged[n] for n in genomes[g] if n in merged} == want
+
+
+def test_only_what_is_missing_is_located_on_the_other_strand(spark, monkeypatch):
+    import random
+
+    from strandloom.operators import refind
+
+    rng, asked, look = random.Random(13), [], refind._first_places
+    monkeypatch.setattr(refind, "_first_places", lambda a, *rest: asked.append(a.count()) or look(a, *rest))
+    seq = "".join(rng.choices("ACGT", k=400))
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    contigs = spark.createDataFrame([(1, 0, seq), (1, 1, "é" + seq[100:])], "genome int, contig_id int, seq string")
+    here = [seq[i : i + 40] for i in (0, 90, 120)] + [None]
+    for cut, calls in ((here, [3]), ([*here, flip(seq[50:99]), flip(seq[300:320]), "ACGT" * 20], [6, 3])):
+        asked.clear()
+        orfs = spark.createDataFrame([(1, i, x) for i, x in enumerate(cut)], "genome int, orf_id int, dna string")
+        got = {r.orf_id: (r.contig_id, r.start, r.reverse) for r in refind.located(orfs, contigs).collect()}
+        want = {i: (0, seq.find(x) + 1, False) if x in seq else (0, seq.find(flip(x)) + 1, True) for i, x in enumerate(cut) if x and (x in seq or flip(x) in seq)}
+        assert got == want and asked == calls
