@@ -408,3 +408,15 @@ def test_only_what_is_missing_is_located_on_the_other_strand(spark, monkeypatch)
         got = {r.orf_id: (r.contig_id, r.start, r.reverse) for r in refind.located(orfs, contigs).collect()}
         want = {i: (0, seq.find(x) + 1, False) if x in seq else (0, seq.find(flip(x)) + 1, True) for i, x in enumerate(cut) if x and (x in seq or flip(x) in seq)}
         assert got == want and asked == calls
+
+
+def test_genomes_of_weak_edges_are_not_written(spark, tmp_path, monkeypatch):
+    from strandloom.plans import graph_queries
+
+    tables, write = [], graph_queries.written
+    monkeypatch.setattr(graph_queries, "written", lambda df, name: tables.append(write(df, name)) or tables[-1])
+    texts = [(n, f"s{n:02}", "hub one hub two hub" + " few" * (n < 13) + " lone" * (n == 3)) for n in range(15)]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, all_queries()["structural_variants"](spark, str(tmp_path)).collect()))
+    assert got == [("hub", "one", "two", 15)]
+    assert {(r.u, r.v): r.genomes and len(r.genomes) for r in tables[0].collect()} == {("hub", "one"): 15, ("hub", "two"): 15, ("few", "hub"): None, ("few", "lone"): None}
